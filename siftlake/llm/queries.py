@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, packing, token_files, url_rules
+from . import chat, packing, substrings, token_files, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op5_substrings": substrings.op5_substrings,
     "op6_packing": packing.op6_packing,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_token_files": token_files.op10_token_files,
 }
 SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op5_substrings": substrings.OP5_SQL,
     "op9_url_rules": url_rules.OP9_SQL,
 }
