@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, packing, substrings, token_files, url_rules
+from . import chat, language, minhash, packing, substrings, token_files, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_minhash": minhash.op3_minhash,
     "op5_substrings": substrings.op5_substrings,
     "op6_packing": packing.op6_packing,
+    "op8_language": language.op8_language,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_token_files": token_files.op10_token_files,
 }
