@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, language, minhash, packing, substrings, token_files, url_rules
+from . import chat, language, minhash, packing, quality, substrings, token_files, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_quality": quality.op2_quality,
     "op3_minhash": minhash.op3_minhash,
     "op5_substrings": substrings.op5_substrings,
     "op6_packing": packing.op6_packing,
