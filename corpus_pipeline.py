@@ -1,19 +1,55 @@
-"""A training corpus from ``documents``: stages that each take and return the table, written as Parquet in between."""
+"""A training corpus from ``documents``: stages that each take and return the table, written as Parquet in between.
+
+Language ID drops documents without a letter or far from every language; near-dedup keeps the document with the smallest
+``doc_id`` of each group; substring dedup cuts repeated passages out of the texts (and drops documents of which nothing is left);
+decontamination drops documents with a leaked benchmark item; packing gives the training sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from siftlake.llm.common import shared_path, table
+from siftlake.llm.decontaminate import leaks
+from siftlake.llm.language import UNKNOWN, learn_profiles, predict
+from siftlake.llm.minhash import near_duplicates
 from siftlake.llm.packing import pack_powers_of_two
+from siftlake.llm.substrings import remove_repeated
+
+#: Least score of a document's language. Texts in a learned language score 0.4 and more; 0 shares no n-gram with any.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = predict(docs, learn_profiles(docs.select("doc_id", "text", "lang")))
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group; rows with a null ``doc_id`` belong to no group."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_number", number).where("_number = 1").drop("_number")
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = remove_repeated(docs).where("n_removed = 0 OR n_removed < n_words")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_powers_of_two(docs)
 
 
-STAGES = [("packing", packing)]
-#: SQL can't express the stages.
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
+#: SQL can't express the stages; tests/llm/test_pipeline.py compares them with brute force.
 ORACLE_SQL = None
 
 
