@@ -1 +1 @@
-""""""
+"""Operators over chunks, candidates and findings; each takes and returns DataFrames."""
