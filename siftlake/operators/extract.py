@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,17 +74,17 @@ def triggered(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
 
 
 def triggered_by_anchor(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
-    """As ``triggered``, through an equi-join of each chunk's distinct trigrams with one trigram of each keyword.
+    """As ``triggered``, through an equi-join of each chunk's distinct anchors with the patterns: the first three letters of each keyword.
 
-    Every text that holds a keyword holds its trigram, so nothing is lost; the keywords are confirmed after the join.
+    One pass with a look-ahead finds anchors that overlap, too. Every text that holds a keyword holds its anchor, so nothing is
+    lost; the keywords are confirmed after the join.
     """
     spark = chunks.sparkSession
     rows = sorted({(k[:3], d.id, n) for d in detectors for n, _ in enumerate(d.patterns) for k in d.keywords})
     anchors = spark.createDataFrame(rows, "gram string, detector_id string, pattern_no int")
     low = F.lower("text")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda k: F.substring(low, k, F.lit(3))))
-    wanted = F.array(*(F.lit(g) for g in sorted({r[0] for r in rows})))
-    met = chunks.withColumn("gram", F.explode(F.array_intersect(grams, wanted))).join(anchors, "gram").drop("gram").dropDuplicates(["doc_id", "detector_id", "pattern_no"])
+    met_grams = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(re.escape(g) for g in sorted({r[0] for r in rows}))}))"), F.lit(1)))
+    met = chunks.withColumn("gram", F.explode(met_grams)).join(anchors, "gram").drop("gram").dropDuplicates(["doc_id", "detector_id", "pattern_no"])
     return met.where(F.exists(_keywords(detectors, F.col("detector_id")), lambda k: F.contains(low, k)))
 
 

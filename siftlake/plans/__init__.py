@@ -1 +1 @@
-""""""
+"""Detector catalogues, and the registered queries with their SQL."""
