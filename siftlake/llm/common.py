@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.storage import shared_path, stored
+
+__all__ = ["SPACE", "ascii_lower", "file_system", "shared_path", "stored", "table", "words"]
+
 #: Runs of ASCII white space: what separates words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -26,30 +27,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that the driver and all executors share, as a full URI.
-
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session (one machine) may leave it unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="siftlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: this cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def file_system(uri: str):
     """The Arrow file system and the path in it; works in tasks as on the driver."""
     from pyarrow import fs
