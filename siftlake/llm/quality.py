@@ -13,7 +13,7 @@ into one; if that has too few rows too, all of it is kept.
 
 Nulls and odd rows: a null text has no words and fails the base rules; a null language or source is a value of its own; a
 statistic that hardly varies in a group counts with a least standard deviation (``FLOORS``); repeated rows are judged each by
-itself; extra columns come along. An empty table gives an empty result.
+itself; extra columns come along, save those with names of the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [c for c in docs.columns if c not in ("text", "_words", "_windows", "_sorted", "_places")]
+    made = {"text", "_words", "_windows", "_sorted", "_places", "_lines", "_group", "_lang", "_source", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", *NAMES}
+    own = [c for c in docs.columns if c not in made]
     blank = "\\t\\n\\u000b\\f\\r "
     full_lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     windows = F.when(F.size("_words") >= REPEAT_WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - REPEAT_WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, REPEAT_WINDOW)))).otherwise(F.array().cast("array<long>"))
