@@ -23,9 +23,11 @@ def lines(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "base_line", split.alias("_at", "line")).select("doc_id", (F.col("base_line") + F.col("_at") + 1).alias("line_no"), "line")
 
 
-def spans(text: Column, regex: str) -> Column:
-    """All matches with the place of their first character: array of (start, value)."""
-    parts, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+def spans(parts: Column, found: Column) -> Column:
+    """The matches of a pattern with the place of their first character, from what is between them and what they are: array of (start, value).
+
+    Both are columns that are there already, as an expression inside a lambda would be computed for each match.
+    """
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, value: string>>").alias("out"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -33,12 +35,13 @@ def spans(text: Column, regex: str) -> Column:
         value = F.get(found, k)
         return F.struct((at + F.length(value)).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), value.alias("value")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start: int, value: string>>"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda acc: acc["out"])
 
 
 def located(chunks: DataFrame, regex: str) -> DataFrame:
     """A row for each match: doc_id, value, byte_offset and line_no, both with the chunk's base."""
-    rows = chunks.select("*", F.explode(spans(F.col("text"), regex)).alias("_span"))
+    rows = chunks.withColumn("_found", F.regexp_extract_all("text", F.lit(regex), F.lit(0))).where(F.size("_found") > 0)
+    rows = rows.withColumn("_parts", F.split("text", regex, -1)).select("*", F.explode(spans(F.col("_parts"), F.col("_found"))).alias("_span"))
     before = F.left("text", F.col("_span.start"))
     return rows.select("doc_id", F.col("_span.value").alias("value"), (F.col("base_offset") + F.octet_length(before)).alias("byte_offset"), (F.col("base_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line_no"))
 
@@ -68,9 +71,10 @@ def _catalogue(detectors: tuple[Detector, ...]) -> Column:
 
 def triggered(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
     """Chunks with the patterns that can match them: one of the keywords and all required literals are there, in any case."""
-    low = F.lower("text")
+    low = F.col("_low")
     can = lambda p: F.exists(p["keywords"], lambda k: F.contains(low, k)) & F.forall(p["required"], lambda k: F.contains(low, F.lower(k)))
-    return chunks.select("*", F.explode(F.filter(_catalogue(detectors), can)).alias("_p")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p")
+    rows = chunks.withColumn("_low", F.lower("text"))
+    return rows.select("*", F.explode(F.filter(_catalogue(detectors), can)).alias("_p")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p", "_low")
 
 
 def triggered_by_anchor(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
@@ -99,14 +103,20 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = Fal
     A pattern's group is the value; a match whose group took no part gives no row. Patterns are literals, compiled once for each task.
     """
     found = (triggered_by_anchor if anchors else triggered)(chunks, detectors)
-    values = None
-    for d in detectors:
-        for n, p in enumerate(d.patterns):
-            here = (F.col("detector_id") == d.id) & (F.col("pattern_no") == n)
-            whole, own = spans(F.col("text"), p.regex), F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group))
-            pair = F.transform(whole, lambda s, k: F.struct((s["start"] + F.instr(s["value"], F.get(own, k)) - 1).alias("start"), F.get(own, k).alias("value")))  # noqa: B023
-            values = F.when(here, pair) if values is None else values.when(here, pair)
-    rows = found.select("doc_id", "path", "text", "base_line", "base_offset", "detector_id", F.explode(values).alias("m")).where("m.value <> ''")
+
+    def by_pattern(make) -> Column:
+        out = None
+        for d in detectors:
+            for n, p in enumerate(d.patterns):
+                here = (F.col("detector_id") == d.id) & (F.col("pattern_no") == n)
+                out = F.when(here, make(p)) if out is None else out.when(here, make(p))
+        return out
+
+    rows = found.withColumn("_whole", by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(0)))).where(F.size("_whole") > 0)
+    rows = rows.withColumn("_own", by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)) if p.group else F.col("_whole")))
+    rows = rows.withColumn("_parts", by_pattern(lambda p: F.split("text", p.regex, -1))).withColumn("_spans", spans(F.col("_parts"), F.col("_whole")))
+    pairs = F.transform("_spans", lambda s, k: F.struct((s["start"] + F.instr(s["value"], F.get("_own", k)) - 1).alias("start"), F.get("_own", k).alias("value")))
+    rows = rows.select("doc_id", "path", "text", "base_line", "base_offset", "detector_id", F.explode(pairs).alias("m")).where("m.value <> ''")
     before = F.left("text", F.col("m.start"))
     line_no = F.col("base_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     return rows.select("doc_id", "path", "detector_id", F.col("m.value").alias("value"), line_no.alias("line_no"), (F.col("base_offset") + F.octet_length(before)).alias("byte_offset"))

@@ -86,8 +86,8 @@ def lowered(rank: Column, steps: Column | int = 1) -> Column:
 
 def bigram_model(words: DataFrame) -> DataFrame:
     """Log probability of each pair of letters after its first, over all words (one word for each row of ``word``); with one more of each pair that occurs."""
-    pairs = words.select(F.explode(F.regexp_extract_all(F.lower("word"), F.lit("[a-z]+"), F.lit(0))).alias("w")).where("length(w) > 1")
-    pairs = pairs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substring(F.col("w"), k, F.lit(2)))).alias("pair"))
-    counts = pairs.groupBy("pair").agg((F.count("*") + 1).alias("n"))
+    pairs = words.select(F.explode(F.regexp_extract_all(F.lower("word"), F.lit("[a-z]+"), F.lit(0))).alias("w")).where("length(w) > 1").groupBy("w").agg(F.count("*").alias("n"))
+    pairs = pairs.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substring(F.col("w"), k, F.lit(2)))).alias("pair"))
+    counts = pairs.groupBy("pair").agg((F.sum("n") + 1).alias("n"))
     totals = counts.groupBy(F.left("pair", F.lit(1)).alias("first")).agg(F.sum("n").alias("total"))
     return counts.join(totals, F.left(counts.pair, F.lit(1)) == totals["first"]).select("pair", F.log(F.col("n") / F.col("total")).alias("log_p"))
