@@ -36,7 +36,8 @@ def test_stages_equal_brute_force(spark):
 def test_stages_take_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "some words in a text " * 20, "en", "a", 5), (None, "some words in a text " * 20, "en", "a", 5), (2, "some words in a text " * 20, "en", None, 5), (2, "some words in a text " * 20, "en", None, 5), (3, "", "de", "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for df, n in ((docs, 3), (docs.limit(0), 0)):
+    # No letter: gone. Rows of one doc_id: one stays. Rows without an id repeat its passages, which are cut out, and nothing is left.
+    for df, n in ((docs, 1), (docs.limit(0), 0)):
         for name, stage in corpus_pipeline.STAGES[:4]:
             df = stored(stage(spark, df, DATA), name)
         assert df.count() == n
