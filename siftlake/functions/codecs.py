@@ -54,7 +54,7 @@ def aws_account(key_id: Column) -> Column:
     """
     value = F.aggregate(F.sequence(F.lit(5), F.lit(14)), F.lit(0).cast("long"), lambda acc, k: acc * 32 + F.instr(F.lit(BASE32), F.substring(key_id, k, F.lit(1))) - 1)
     account = F.shiftright(F.shiftright(value, 2).bitwiseAND(F.lit(0x7FFFFFFFFF80)), 7)
-    return F.when(key_id.rlike("^(AKIA|ASIA)[A-Z2-7]{16}$"), F.lpad(account.cast("string"), 12, "0"))
+    return F.when(key_id.rlike("^(AKIA|ASIA)[A-Z2-7]{16}$"), F.lpad(account.cast("string"), F.greatest(F.lit(12), F.length(account.cast("string"))), F.lit("0")))
 
 
 def jwt_part(token: Column, part: int) -> Column:

@@ -70,3 +70,47 @@ def inflate(chunks: DataFrame, most: int = 1 << 24) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "text", "state"])
 
     return chunks.select("doc_id", "payload").mapInPandas(run, "doc_id long, text string, state string")
+
+
+#: The digits of Z85.
+Z85 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-:+=^!/*?&<>()[]{}@%$#"
+
+
+def _numbered(text: Column, regex: str, base: int) -> Column:
+    """Every match's number (in group 1) as the character with that code; what stands between stays."""
+    parts, codes = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(1))
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.conv(code, base, 16), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(F.arrays_zip(parts.alias("p"), codes.alias("c")), lambda x: F.concat(x["p"], F.coalesce(letter(x["c"]), F.lit("")))), "")
+
+
+def html_entities(text: Column) -> Column:
+    """Named entities of the common kind, and decimal and hexadecimal ones."""
+    for name, letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(letter))
+    return F.replace(_numbered(_numbered(text, "&#([0-9]{1,7});", 10), "&#[xX]([0-9a-fA-F]{1,6});", 16), F.lit("&amp;"), F.lit("&"))
+
+
+def unicode_escapes(text: Column) -> Column:
+    return _numbered(text, r"\\u([0-9a-fA-F]{4})", 16)
+
+
+def octal_escapes(text: Column) -> Column:
+    return _numbered(text, r"\\([0-3][0-7]{2})", 8)
+
+
+def quoted_printable(text: Column) -> Column:
+    """Soft line breaks go; coded bytes, read as UTF-8, come back."""
+    return F.try_url_decode(F.regexp_replace(F.replace(F.replace(F.regexp_replace(text, "=\r?\n", ""), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B")), "=([0-9A-F]{2})", "%$1"))
+
+
+def mime_words(text: Column) -> Column:
+    """The text of a MIME word in base64 and UTF-8; null if it isn't one."""
+    return C.decode_base64(F.nullif(F.regexp_extract(text, r"^=\?[uU][tT][fF]-8\?[bB]\?([A-Za-z0-9+/=]+)\?=$", 1), F.lit("")))
+
+
+def z85(text: Column) -> Column:
+    """Text of a Z85 value; null if it isn't one."""
+    value = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.lit(0).cast("long"), lambda acc, p: acc * 85 + F.instr(F.lit(Z85), F.substring(text, k * 5 + p, F.lit(1))) - 1)
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(text) / 5).cast("int") - 1), lambda k: F.lpad(F.hex(value(k)), 8, "0")), "")
+    good = (F.length(text) >= 5) & (F.length(text) % 5 == 0) & (F.translate(text, Z85, "") == "")
+    return F.when(good, F.try_validate_utf8(F.unhex(hexes).cast("string")))

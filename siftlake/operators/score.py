@@ -91,3 +91,20 @@ def bigram_model(words: DataFrame) -> DataFrame:
     counts = pairs.groupBy("pair").agg((F.sum("n") + 1).alias("n"))
     totals = counts.groupBy(F.left("pair", F.lit(1)).alias("first")).agg(F.sum("n").alias("total"))
     return counts.join(totals, F.left(counts.pair, F.lit(1)) == totals["first"]).select("pair", F.log(F.col("n") / F.col("total")).alias("log_p"))
+
+
+def generic_confidence(entropy: Column, length: Column) -> Column:
+    """Confidence of an assigned value: a base, lifted by entropy and length, 0.95 at most."""
+    lift = F.when(entropy >= 4.5, 0.2).when(entropy >= 3.5, 0.1).otherwise(0.0) + F.when(length >= 32, 0.15).when(length >= 20, 0.05).otherwise(0.0)
+    return F.least(F.lit(0.95), 0.5 + lift)
+
+
+def fallback_confidence(entropy: Column, keyword: Column) -> Column:
+    """Confidence of a token that only its entropy tells, by tier, and a little more on a keyword's line; 0.9 at most."""
+    return F.least(F.lit(0.9), F.when(entropy >= 5.8, 0.75).when(entropy >= 4.5, 0.65).otherwise(0.55) + F.when(keyword, 0.10).otherwise(0.0))
+
+
+def randomness(words: DataFrame, model: DataFrame) -> DataFrame:
+    """Mean log probability of each word's letter pairs; low means random."""
+    pairs = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), k, F.lit(2)))).alias("pair"))
+    return pairs.join(model, "pair").groupBy("word").agg(F.avg("log_p").alias("mean_log_p"))

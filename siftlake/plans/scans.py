@@ -337,7 +337,7 @@ def path_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""{SCAN}, a AS (SELECT doc_id, value, list_reduce(list_transform(range(5, 15), lambda k: (strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', substr(value, k, 1)) - 1)::BIGINT), lambda x, y: x * 32 + y) AS acc FROM matches WHERE detector_id = 'aws-access-key')
-SELECT doc_id, CASE WHEN regexp_matches(value, '^(AKIA|ASIA)[A-Z2-7]{{16}}$') THEN CASE WHEN length((((acc >> 2) & 140737488355200) >> 7)::VARCHAR) > 12 THEN ((((acc >> 2) & 140737488355200) >> 7)::VARCHAR)[1:12] ELSE lpad((((acc >> 2) & 140737488355200) >> 7)::VARCHAR, 12, '0') END END AS account FROM a""")
+SELECT doc_id, CASE WHEN regexp_matches(value, '^(AKIA|ASIA)[A-Z2-7]{{16}}$') THEN lpad((((acc >> 2) & 140737488355200) >> 7)::VARCHAR, greatest(12, length((((acc >> 2) & 140737488355200) >> 7)::VARCHAR))::INT, '0') END AS account FROM a""")
 def aws_account_decode(spark: SparkSession, folder: str) -> DataFrame:
     found = E.scan(_seeded(spark, folder), BUILT_IN[:1])
     return found.select("doc_id", C.aws_account(F.col("value")).alias("account"))
