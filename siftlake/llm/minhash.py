@@ -4,11 +4,12 @@ Two permutations make all coordinates of a signature: sigma spreads the shingles
 shifted by k places, gives coordinate k: the least pi((sigma(s) + k) mod 2^32) over the set. Bands of coordinates are hashed to
 buckets, candidates from the buckets are confirmed on their full shingle sets, and links make connected components.
 
-Documents with the same set are one node (their copies are never paired). In a bucket, all nodes are first compared with
-a leader, which differs from band to band, so a group of any size costs a few comparisons for each member. What this
-leaves apart is then compared with all the rest of its bucket: first with further leaders, while the number of open
-pairs is large, and at last each open pair itself, so that every pair of different sets that shares a bucket is either
-in one component or compared. No pair is dropped for its number. With the defaults, a pair at the threshold
+Documents with the same set are one node (their copies are never paired). Each bucket has a leader, the member with the
+most company over all its buckets, and all members are compared with it: a group of any size costs one comparison for each member and leader.
+What this leaves apart from its leader is then compared with the leader's other members through what distinguishes them from the leader:
+two sets that are similar enough share a number of such differences that follows from their sizes, so
+both have one among their rarest ones (prefix filtering), and only pairs that meet there are confirmed. So every pair of different sets with a common leader is
+either in one component or shown or tested to be no link, and no pair is dropped for its number. With the defaults, a pair at the threshold
 of 0.8 shares no bucket with a chance of about 1e-8.
 
 Nulls, ties and odd rows: a text without words has an empty set and is linked with nothing; one with fewer words than a shingle has
@@ -33,10 +34,6 @@ COORDINATES, BANDS = 192, 64
 CHUNK = 1 << 15
 #: Members that are compared with one copy of a leader's set.
 SALT_ROWS = 256
-#: Open pairs for each node, up to which all of them are compared at once; and the rounds of leaders that may lower them.
-OPEN_PER_NODE, LEADER_ROUNDS = 8, 6
-#: Different leaders of a group, from band to band.
-LEADER_ORDERS = 3
 
 
 def shingle_sets(tokens: np.ndarray, lengths: np.ndarray, size: int) -> list[np.ndarray]:
@@ -128,26 +125,85 @@ def _like_sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A set that is compared with many is copied to as many salts as it needs."""
+def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and others) with both sets. A set that meets many is copied to as many salts as it needs."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    salted = pairs.join(salts, "a").select(*pairs.columns, F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     left = sets.join(salts, sets.node == salts.a).select("a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col("n").alias("a_n"), F.col("members").alias("a_set"))
-    right = salted.join(sets, salted.b == sets.node).select("a", "salt", "b", F.col("n").alias("b_n"), F.col("members").alias("b_set"))
+    right = salted.join(sets, salted.b == sets.node).select("a", "salt", "b", *more, F.col("n").alias("b_n"), F.col("members").alias("b_set"))
+    return right.join(left, ["a", "salt"]).select("a", "b", "a_n", "b_n", "a_set", "b_set", *more)
+
+
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    known, values = None, None
+    for k in range(batch.num_rows):
+        data = batch.column(4)[k].as_py()
+        if data != known:
+            known, values = data, from_bytes(data)
+        yield values, from_bytes(batch.column(5)[k].as_py())
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values = None, None
         for batch in batches:
-            keep, (a, b, a_n, b_n) = [], (batch.column(k).to_pylist() for k in range(4))
-            for k in range(batch.num_rows):
-                data = batch.column(4)[k].as_py()
-                if data != known:
-                    known, values = data, from_bytes(data)
-                both = len(np.intersect1d(values, from_bytes(batch.column(5)[k].as_py()), assume_unique=True))
-                keep.append(100 * both >= percent * (a_n[k] + b_n[k] - both))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([v for v, y in zip(c, keep, strict=True) if y] for c in (a, b))], ["a", "b"])
+            a, b, a_n, b_n = (batch.column(k).to_pylist() for k in range(4))
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in _decoded(batch)]
+            keep = [100 * n >= percent * (p + q - n) for n, p, q in zip(shared, a_n, b_n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    return right.join(left, ["a", "salt"]).select("a", "b", "a_n", "b_n", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+    return _side_by_side(pairs, sets).mapInArrow(compare, "a long, b long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, b, component, open) what only one of the sets has, and how much that is of each; a's own are even numbers, b's odd."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lacks, adds, both = [], [], []
+            for x, y in _decoded(batch):
+                lacked, added = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                lacks.append(len(lacked))
+                adds.append(len(added))
+                both.append(np.concatenate([lacked * np.uint64(2), added * np.uint64(2) + np.uint64(1)]).view(np.int64))
+            columns = [batch.column(k) for k in (0, 1, 2, 3, 6, 7)] + [pa.array(lacks, pa.int64()), pa.array(adds, pa.int64()), pa.array(both, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "a_n", "b_n", "component", "open", "lacks", "adds", "elements"])
+
+    return _side_by_side(pairs, sets).mapInArrow(compare, "a long, b long, a_n long, b_n long, component long, open boolean, lacks long, adds long, elements array<long>")
+
+
+def _meeting(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one leader's members that may be links between components.
+
+    Sets x and y that lack and add some of leader c's elements share |c| - lacks(x) - lacks(y) + (shared differences), which must be
+    t (|x| + |y|) at least, with t = percent / (100 + percent). An open member, one that isn't linked with the leader, has k = t (|x| + |c|) - |c| + lacks(x) > 0.
+    From that follow the least numbers of shared differences: k / (1 - t) for an open member with any other, k + (1 - 2 t) |c| for two open
+    ones, and (1 - t) lacks(y) + t adds(y) for a linked one with an open one.
+    """
+    of_a, of_b = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+    placed = star.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", F.coalesce("_cb", "b").alias("component"), (F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).alias("open"))
+    several = placed.groupBy("a").agg(F.count("*").alias("all"), F.count_if("open").alias("n_open")).where("all > 1 AND n_open > 0").select("a")
+    found = stored(_differences(placed.join(several, "a", "left_semi"), sets), "differences")
+
+    t = percent / (100 + percent)
+    least = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-9))
+    k = t * (F.col("b_n") + F.col("a_n")) - F.col("a_n") + F.col("lacks")
+    prefix = lambda x: F.size("elements") - least(x) + 1
+    rows = found.select("a", "b", "b_n", "component", "open", prefix(F.when(F.col("open"), k / (1 - t)).otherwise((1 - t) * F.col("lacks") + t * F.col("adds"))).alias("p_any"), prefix(k + (1 - 2 * t) * F.col("a_n")).alias("p_open"), F.explode("elements").alias("e"))
+    common = rows.groupBy("a", "e").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e"))
+    ranked = rows.join(common.where("times > 1"), ["a", "e"]).withColumn("alone", F.lit(0))
+    # Elements that one member alone has come first in every order, and meet nothing; only their number matters.
+    alone = rows.join(common.where("times = 1"), ["a", "e"]).groupBy("a", "b").agg(F.count("*").alias("n_alone"))
+    ranked = ranked.drop("alone").withColumn("place", place).join(alone, ["a", "b"], "left").withColumn("place", F.col("place") + F.coalesce("n_alone", F.lit(0)))
+    ranked = stored(ranked.where("place <= p_any OR (open AND place <= p_open)").select("a", "b", "b_n", "component", "open", "p_any", "p_open", "e", "place"), "prefixes")
+
+    mine = ranked.where("open").select("a", "e", F.col("b").alias("x"), F.col("b_n").alias("x_n"), F.col("component").alias("x_component"), (F.col("place") <= F.col("p_any")).alias("x_any"), (F.col("place") <= F.col("p_open")).alias("x_open"))
+    meets = F.when(F.col("open"), F.col("x_open") & (F.col("place") <= F.col("p_open")) & (F.col("x") < F.col("b"))).otherwise(F.col("x_any") & (F.col("place") <= F.col("p_any")))
+    met = mine.join(ranked, ["a", "e"]).where(meets & (F.col("x_component") != F.col("component")) & _like_sizes("x_n", "b_n", percent))
+    return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,16 +228,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     sketched = stored(sketches(docs, shingle, coordinates, bands), "sketches")
     nodes = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
 
-    # Each bucket's members with its leader; a running window needs no more than the row at hand.
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket")).select("bucket", "node", "n", F.xxhash64("node", F.col("band") % LEADER_ORDERS).alias("place"))
-    leader = F.first(F.struct("node", "n")).over(Window.partitionBy("bucket").orderBy("place", "node").rowsBetween(Window.unboundedPreceding, 0))
-    entries = entries.withColumn("leader", leader).where("leader.node <> node")
-    members = stored(entries.select("bucket", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), "node", "n"), "members")
-    if not members.limit(1).count():
-        labels = members.select("node", F.col("node").alias("component"))
-        return _labelled(sketched, nodes, labels)
-
-    wanted = members.select("node").union(members.select("leader")).distinct()
+    # Members of buckets that hold several; a running window needs no more than the row at hand.
+    entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    first = F.first(F.struct("node", "n")).over(Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    entries = stored(entries.withColumn("first", first).where("first.node <> node"), "entries")
+    if not entries.limit(1).count():
+        return _labelled(sketched, nodes, entries.select("node", F.col("node").alias("component")))
+    members = entries.select("bucket", "node", "n").union(entries.select("bucket", "first.node", "first.n").distinct())
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    company = members.join(sizes, "bucket").groupBy("node", "n").agg(F.sum("size").alias("company"))
+    leaders = members.join(company, ["node", "n"]).groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node"), "n")).alias("leader"))
+    star = members.join(leaders, "bucket").select((-F.col("leader.node")).alias("a"), F.col("leader.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).where("a <> b").distinct()
+    star = stored(star, "stars")
+
+    wanted = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,36 +249,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
                 sets = _sets_of(batch, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([to_bytes(np.unique(s >> np.uint64(16))) for s in sets], pa.binary())], ["node", "n", "members"])
 
-    chosen = docs.join(wanted, docs.doc_id == wanted.node, "left_semi")
+    # The wanted ids grow with the corpus, so they are never broadcast.
+    chosen = docs.join(wanted.hint("merge"), docs.doc_id == wanted.node, "left_semi")
     sets = stored(_word_hashes(chosen, "doc_id").mapInArrow(gather, "node long, n long, members binary").where("n > 0"), "sets")
 
-    pairs = members.where(_like_sizes("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_confirmed(pairs, sets, percent), "links")
+    links = stored(_confirmed(star.where(_like_sizes("a_n", "b_n", percent)).select("a", "b"), sets, percent), "links")
     labels = components(links)
-    tested = pairs
-    for turn in range(LEADER_ROUNDS + 1):
-        # Rows of members whose leader is in another component: they may be linked with others of the bucket.
-        placed = members.join(labels, "node", "left").join(labels.select(F.col("node").alias("leader"), F.col("component").alias("other")), "leader", "left")
-        placed = stored(placed.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("other", "leader").alias("other")), "placed")
-        left_out = placed.where("component <> other").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-        counts = placed.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("other")).alias("open"))
-        n_open = counts.where("all > 1 AND open > 0").agg(F.sum(F.col("all") * F.col("open"))).first()[0] or 0
-        if not n_open:
-            break
-        last = turn == LEADER_ROUNDS or n_open <= OPEN_PER_NODE * sets.count()
-        if not last:
-            left_out = left_out.groupBy("bucket").agg(F.min_by(F.struct("a", "a_n", "a_component"), F.xxhash64("a", F.lit(turn))).alias("x")).select("bucket", "x.*")
-        found = left_out.join(placed, "bucket").where((F.col("a_component") != F.col("component")) & _like_sizes("a_n", "n", percent))
-        found = found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = stored(found.join(known, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_confirmed(found, sets, percent), "links")
-        tested = tested.unionByName(found)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-        if last:
-            break
+    more = stored(_confirmed(_meeting(star, labels, sets, percent), sets, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     return _labelled(sketched, nodes, labels)
 
 
