@@ -72,9 +72,10 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
+    # At most MAX_LANGUAGES rows.
     shares = known.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in counts.items()], "lang string, share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(shares, "lang").where(place < F.col("share")).select("lang", "text")
+    chosen = known.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
