@@ -84,11 +84,13 @@ def triggered_by_anchor(chunks: DataFrame, detectors: tuple[Detector, ...]) -> D
     lost; the keywords are confirmed after the join.
     """
     spark = chunks.sparkSession
+    if sum(len(d.patterns) for d in detectors) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns in one scan")
     rows = sorted({(k[:3], d.id, n) for d in detectors for n, _ in enumerate(d.patterns) for k in d.keywords})
     anchors = spark.createDataFrame(rows, "gram string, detector_id string, pattern_no int")
     low = F.lower("text")
     met_grams = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(re.escape(g) for g in sorted({r[0] for r in rows}))}))"), F.lit(1)))
-    met = chunks.withColumn("gram", F.explode(met_grams)).join(anchors, "gram").drop("gram").dropDuplicates(["doc_id", "detector_id", "pattern_no"])
+    met = chunks.withColumn("gram", F.explode(met_grams)).join(F.broadcast(anchors), "gram").drop("gram").dropDuplicates(["doc_id", "detector_id", "pattern_no"])
     return met.where(F.exists(_keywords(detectors, F.col("detector_id")), lambda k: F.contains(low, k)))
 
 
