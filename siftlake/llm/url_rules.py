@@ -59,7 +59,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules (host, path, verdict)")
-    return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP9_SQL = r"""
