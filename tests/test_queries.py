@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import DATA, same_rows
-from siftlake.plans import findings, policies, registry, scans  # noqa: F401
+from siftlake.plans import engine, findings, policies, registry, scans  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
