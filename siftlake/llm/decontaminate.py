@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .substrings import rolling_hashes
 
-SEED, COVERAGE = 5, 0.6
+SEED, COVERAGE = 5, 0.5
 #: Seeds (and words) of a benchmark that may be sent to every task: 24 bytes each.
 MOST_SEEDS = 2_000_000
 FOUND = "doc_id long, item_id long, tiled_words long, item_words long, coverage double, n_tiles long"
