@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 
 #: A tokenizer file may be this large, so that it can be sent to every executor.
 MAX_FILE_BYTES = 64 << 20
-#: Pieces that a worker remembers at most; then it forgets all and begins anew.
-MAX_PIECES = 700_000
+#: Pieces that a worker remembers at most, and their longest length; when it has as many, it forgets all and begins anew.
+MAX_PIECES, MAX_PIECE = 700_000, 64
 
 _ODD_SPACE = re.compile(r"\s | \s").search
 _RARE_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]").search
@@ -46,13 +46,15 @@ class _Pieces(dict):
         self.space = self.split(" a")[0][0].removesuffix("a") if prefix else ""
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
-            self.clear()
         if piece.isascii() and piece.isalpha():
             parts = [self.space + piece]  # letters only: the pre-tokenizer leaves them whole
         else:
             parts = [x for x, _ in self.split(self.prefix + piece)]
-        self[piece] = ids = array.array("I", [t.id for x in parts for t in self.model.tokenize(x)]).tobytes()
+        ids = array.array("I", [t.id for x in parts for t in self.model.tokenize(x)]).tobytes()
+        if len(piece) <= MAX_PIECE:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -89,14 +91,12 @@ class Encoder:
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(definition: Broadcast) -> Encoder:
-    """One encoder for each worker process, kept from task to task."""
-    key = definition._jid if hasattr(definition, "_jid") else id(definition)
-    if key not in _encoders:
+    """One encoder for each worker process and definition, kept from task to task with what it remembers."""
+    if definition.value not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(definition.value)
-    return _encoders[key]
-
+        _encoders[definition.value] = Encoder(definition.value)
+    return _encoders[definition.value]
