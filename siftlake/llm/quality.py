@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table, words
+from .common import stored, table, words
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
@@ -46,13 +46,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     made = {"text", "_words", "_windows", "_sorted", "_places", "_lines", "_group", "_lang", "_source", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", *NAMES}
     own = [c for c in docs.columns if c not in made]
-    blank = "\\t\\n\\u000b\\f\\r "
     full_lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     windows = F.when(F.size("_words") >= REPEAT_WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - REPEAT_WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, REPEAT_WINDOW)))).otherwise(F.array().cast("array<long>"))
     rows = docs.select(
         *own,
         words(F.col("text")).alias("_words"),
-        F.length(F.translate(text, blank.encode().decode("unicode_escape"), "")).cast("long").alias("word_chars"),
+        F.length(F.translate(text, "\t\n\x0b\x0c\r ", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         full_lines.alias("_lines"),
     )
