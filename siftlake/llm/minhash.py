@@ -187,23 +187,29 @@ def _meeting(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     several = placed.groupBy("a").agg(F.count("*").alias("all"), F.count_if("open").alias("n_open")).where("all > 1 AND n_open > 0").select("a")
     found = stored(_differences(placed.join(several, "a", "left_semi"), sets), "differences")
 
-    t = percent / (100 + percent)
-    least = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-9))
+    t, tiny = percent / (100 + percent), 1 / (100 + percent)  # differences of counts times t are multiples of tiny
+    prefix = lambda least: F.size("elements") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1
     k = t * (F.col("b_n") + F.col("a_n")) - F.col("a_n") + F.col("lacks")
-    prefix = lambda x: F.size("elements") - least(x) + 1
-    rows = found.select("a", "b", "b_n", "component", "open", prefix(F.when(F.col("open"), k / (1 - t)).otherwise((1 - t) * F.col("lacks") + t * F.col("adds"))).alias("p_any"), prefix(k + (1 - 2 * t) * F.col("a_n")).alias("p_open"), F.explode("elements").alias("e"))
+    with_any = F.when(F.col("open"), k / (1 - t)).otherwise((1 - t) * F.col("lacks") + t * F.col("adds") + tiny)
+    member = F.struct("b", F.col("b_n").alias("n"), "component", "lacks", "adds", prefix(with_any).alias("p_any"), prefix(k + (1 - 2 * t) * F.col("a_n") + tiny).alias("p_open"))
+    rows = found.withColumn("m", member).select("a", "a_n", "open", "b", "m", F.explode("elements").alias("e"))
     common = rows.groupBy("a", "e").agg(F.count("*").alias("times"))
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e"))
-    ranked = rows.join(common.where("times > 1"), ["a", "e"]).withColumn("alone", F.lit(0))
     # Elements that one member alone has come first in every order, and meet nothing; only their number matters.
-    alone = rows.join(common.where("times = 1"), ["a", "e"]).groupBy("a", "b").agg(F.count("*").alias("n_alone"))
-    ranked = ranked.drop("alone").withColumn("place", place).join(alone, ["a", "b"], "left").withColumn("place", F.col("place") + F.coalesce("n_alone", F.lit(0)))
-    ranked = stored(ranked.where("place <= p_any OR (open AND place <= p_open)").select("a", "b", "b_n", "component", "open", "p_any", "p_open", "e", "place"), "prefixes")
-
-    mine = ranked.where("open").select("a", "e", F.col("b").alias("x"), F.col("b_n").alias("x_n"), F.col("component").alias("x_component"), (F.col("place") <= F.col("p_any")).alias("x_any"), (F.col("place") <= F.col("p_open")).alias("x_open"))
-    meets = F.when(F.col("open"), F.col("x_open") & (F.col("place") <= F.col("p_open")) & (F.col("x") < F.col("b"))).otherwise(F.col("x_any") & (F.col("place") <= F.col("p_any")))
-    met = mine.join(ranked, ["a", "e"]).where(meets & (F.col("x_component") != F.col("component")) & _like_sizes("x_n", "b_n", percent))
-    return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    several = rows.join(common, ["a", "e"]).withColumn("alone", F.count_if(F.col("times") == 1).over(Window.partitionBy("a", "b")))
+    several = several.where("times > 1").withColumn("place", F.col("alone") + F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e")))
+    ranked = stored(several.where("place <= m.p_any OR (open AND place <= m.p_open)").select("a", "a_n", "e", "open", "m", "place"), "prefixes")
+
+    mine = ranked.where("open").select("a", "e", F.col("m").alias("x"), F.col("place").alias("x_place"))
+    # For two open members the prefixes are those for open ones; each pair of them counts once.
+    own, other = F.when(F.col("open"), F.col("x.p_open")).otherwise(F.col("x.p_any")), F.when(F.col("open"), F.col("m.p_open")).otherwise(F.col("m.p_any"))
+    wanted = t * (F.col("x.n") + F.col("m.n")) - F.col("a_n") + F.col("x.lacks") + F.col("m.lacks") - 1e-9
+    can = (F.least("x.lacks", "m.lacks") + F.least("x.adds", "m.adds") >= wanted) & _like_sizes("x.n", "m.n", percent)
+    meet = (F.col("x_place") <= own) & (F.col("place") <= other) & (~F.col("open") | (F.col("x.b") < F.col("m.b"))) & (F.col("x.component") != F.col("m.component"))
+    met = mine.join(ranked, ["a", "e"]).where(meet & can)
+    # Beyond the prefixes, no more can be shared than the shorter rest.
+    rest = F.least(F.col("x.lacks") + F.col("x.adds") - own, F.col("m.lacks") + F.col("m.adds") - other)
+    pairs = met.groupBy("a", F.col("x.b").alias("p"), F.col("m.b").alias("q")).agg(F.count("*").alias("shared"), F.first(rest).alias("rest"), F.first(wanted).alias("wanted"))
+    return pairs.where("shared + rest >= wanted").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

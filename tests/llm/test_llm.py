@@ -137,13 +137,22 @@ def near_copies(seed=3):
     """Chains and stars of near copies, copies, and texts of no and one word."""
     rng, rows = random.Random(seed), []
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    for _ in range(6):
+    few = [word() for _ in range(4)]
+    for _ in range(4):
         base = [word() for _ in range(120)]
         last = base
-        for k in range(25):
+        for k in range(50):
             text = list(last if k % 2 else base)
-            for _ in range(rng.randrange(1, 8)):
-                text[rng.randrange(len(text))] = word()
+            for _ in range(rng.randrange(1, 12)):
+                at, how = rng.randrange(len(text) - 1), rng.randrange(4)
+                if how == 0:
+                    text[at] = word()
+                elif how == 1:
+                    text[at] = rng.choice(few)
+                elif how == 2:
+                    del text[at]
+                else:
+                    text[at], text[at + 1] = text[at + 1], text[at]
             last = text
             rows.append(" ".join(text))
             if k % 5 == 0:
