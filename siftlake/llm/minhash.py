@@ -197,18 +197,22 @@ def _meeting(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     # Elements that one member alone has come first in every order, and meet nothing; only their number matters.
     several = rows.join(common, ["a", "e"]).withColumn("alone", F.count_if(F.col("times") == 1).over(Window.partitionBy("a", "b")))
     several = several.where("times > 1").withColumn("place", F.col("alone") + F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e")))
-    ranked = stored(several.where("place <= m.p_any OR (open AND place <= m.p_open)").select("a", "a_n", "e", "open", "m", "place"), "prefixes")
+    end = lambda p: F.max(F.when(F.col("place") <= F.col(f"m.{p}"), F.struct("times", "e"))).over(Window.partitionBy("a", "b"))
+    several = several.withColumn("end_any", end("p_any")).withColumn("end_open", end("p_open"))
+    ranked = stored(several.where("place <= m.p_any OR (open AND place <= m.p_open)").select("a", "a_n", "e", "open", "m", "place", "end_any", "end_open"), "prefixes")
 
-    mine = ranked.where("open").select("a", "e", F.col("m").alias("x"), F.col("place").alias("x_place"))
+    mine = ranked.where("open").select("a", "e", F.col("m").alias("x"), F.col("place").alias("x_place"), F.col("end_any").alias("x_any"), F.col("end_open").alias("x_open"))
     # For two open members the prefixes are those for open ones; each pair of them counts once.
     own, other = F.when(F.col("open"), F.col("x.p_open")).otherwise(F.col("x.p_any")), F.when(F.col("open"), F.col("m.p_open")).otherwise(F.col("m.p_any"))
     wanted = t * (F.col("x.n") + F.col("m.n")) - F.col("a_n") + F.col("x.lacks") + F.col("m.lacks") - 1e-9
     can = (F.least("x.lacks", "m.lacks") + F.least("x.adds", "m.adds") >= wanted) & _like_sizes("x.n", "m.n", percent)
     meet = (F.col("x_place") <= own) & (F.col("place") <= other) & (~F.col("open") | (F.col("x.b") < F.col("m.b"))) & (F.col("x.component") != F.col("m.component"))
     met = mine.join(ranked, ["a", "e"]).where(meet & can)
-    # Beyond the prefixes, no more can be shared than the shorter rest.
-    rest = F.least(F.col("x.lacks") + F.col("x.adds") - own, F.col("m.lacks") + F.col("m.adds") - other)
-    pairs = met.groupBy("a", F.col("x.b").alias("p"), F.col("m.b").alias("q")).agg(F.count("*").alias("shared"), F.first(rest).alias("rest"), F.first(wanted).alias("wanted"))
+    # What is shared beyond the prefixes lies in the rest of the one that ends first (the other may hold it in its prefix), and behind the last meeting in both.
+    x_first = F.when(F.col("open"), F.col("x_open") <= F.col("end_open")).otherwise(F.col("x_any") <= F.col("end_any"))
+    x_size, m_size = F.col("x.lacks") + F.col("x.adds"), F.col("m.lacks") + F.col("m.adds")
+    rest = F.least(F.first(F.when(x_first, x_size - own).otherwise(m_size - other)), F.first(x_size) - F.max("x_place"), F.first(m_size) - F.max("place"))
+    pairs = met.groupBy("a", F.col("x.b").alias("p"), F.col("m.b").alias("q")).agg(F.count("*").alias("shared"), rest.alias("rest"), F.first(wanted).alias("wanted"))
     return pairs.where("shared + rest >= wanted").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 

@@ -170,6 +170,37 @@ def test_minhash_equals_brute_force(spark, size):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == brute_components(rows, size)
 
 
+def met_pairs(spark, leader, members):
+    """What _meeting finds in the star of a leader (node 0) and members (nodes 1, 2, ...), and the links that it has to find."""
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    every = [leader, *members]
+    star = spark.createDataFrame([(0, k) for k in range(1, len(every))], "a long, b long")
+    labels = spark.createDataFrame([(0, 0), *((k, 0) for k, m in enumerate(every) if k and alike(leader, m))], "node long, component long")
+    sets = spark.createDataFrame([(k, len(m), bytearray(substrings.to_bytes(np.array(sorted(m), np.uint64)))) for k, m in enumerate(every)], "node long, n long, members binary")
+    found = {(r.a, r.b) for r in minhash._meeting(star, labels, sets, 80).collect()}
+    linked = {k for k, m in enumerate(every) if alike(leader, m)}
+    return found, {(i, j) for i in range(1, len(every)) for j in range(i + 1, len(every)) if not {i, j} <= linked and alike(every[i], every[j])}
+
+
+def test_minhash_meets_pairs_with_prefixes_of_unlike_lengths(spark):
+    # One lacks 20 of the leader's 100 shingles and is linked, one 22 and is open; they share 13 of these, most behind the shorter prefix.
+    # Members that lack the first 8 shared ones too make the other shared ones rarer or more frequent.
+    both, first, second = set(range(13)), set(range(13, 20)), set(range(20, 29))
+    for often in (set(), set(range(8)), set(range(5, 13)), first | second):
+        fill = [set(range(100)) - {e} - {99 - n} for n, e in enumerate(sorted(often))]
+        found, wanted = met_pairs(spark, set(range(100)), [set(range(100)) - both - first, set(range(100)) - both - second, *fill])
+        assert (1, 2) in wanted and wanted <= found
+
+
+def test_minhash_meets_all_links_of_a_star(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        leader, few = set(range(100)), [rng.sample(range(100), 24) for _ in range(4)]
+        members = [leader - set(rng.sample(rng.choice(few), rng.randrange(12, 24))) - set(rng.sample(range(100), rng.randrange(4))) | set(rng.sample(range(200, 230), rng.randrange(6))) for _ in range(60)]
+        found, wanted = met_pairs(spark, leader, members)
+        assert wanted and wanted <= found
+
+
 def test_minhash_odd_rows(spark, odd):
     found = minhash.near_duplicates(odd).collect()
     assert len(found) == odd.count()
