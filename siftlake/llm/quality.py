@@ -35,8 +35,9 @@ FLOORS = (0.25, 0.05, 0.5, 0.5, 0.5)
 SHARE, LEAST, STEPS, BINS = 0.75, 100, 6, 32
 #: Factors that make the covariance of the nearest 75 % and 97.5 % consistent for five normal variables; the chi-square bound of the latter.
 RAW_FACTOR, WEIGHTED_FACTOR, WEIGHT_BOUND = 1.412, 1.055, 12.833
-#: Largest squared distance that is kept: twice the distance that one normal row in 2000 exceeds (22.1 squared), as texts have longer tails.
-CUTOFF = 4 * 22.1
+#: Largest squared distance that is kept: what one row in 2000 exceeds if the five statistics are normal. It lies below what ``FLOORS`` alone leave
+#: of the largest deviation of any one statistic (37 for repeated words, 85 for doubled lines), so that each can reject a row.
+CUTOFF = 22.1
 
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 

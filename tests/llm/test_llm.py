@@ -108,6 +108,18 @@ def test_quality_estimates_equal_numpy(spark):
     assert np.abs(mean).max() < 0.3  # the tenth that lies far off doesn't move it
 
 
+def test_quality_rejects_repeated_lines_and_symbols(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    clean = [(d, "\n".join(say(12) for _ in range(rng.randrange(10, 20))), "en", "a") for d in range(300)]
+    lines = "\n".join(f"{say(12)}\nagain" for _ in range(15))  # half of the lines are repeats, but no five words are
+    symbols = "\n".join(f"{say(12)} ###" for _ in range(15))
+    found = quality.judge_quality(spark.createDataFrame([*clean, (1000, lines, "en", "a"), (1001, symbols, "en", "a")], "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: (r.kept, r.base_failed) for r in found.collect()}
+    assert got[1000] == got[1001] == (False, False)
+    assert sum(got[d][0] for d in range(300)) >= 297
+
+
 # 3 MinHash
 
 
