@@ -92,10 +92,10 @@ def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _encoded_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks that hold a token in base64 only."""
+    """Each document's text, and behind it a line that holds a token in base64 only."""
     token = F.concat(F.lit("x ghp_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 36), F.lit(" y"))
     blob = F.translate(F.base64(F.encode(token, "UTF-8")), "\r\n", "")
-    return read(spark, folder, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("blob "), blob).alias("text"), F.lit(0).cast("long").alias("base_line"), F.lit(0).cast("long").alias("base_offset"))
+    return read(spark, folder, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\nblob "), blob).alias("text"), F.lit(0).cast("long").alias("base_line"), F.lit(0).cast("long").alias("base_offset"))
 
 
 @query("SELECT doc_id, sha256('ghp_' || sha256(doc_id::VARCHAR)[1:36]) AS credential_hash, 'github-classic-pat' AS detector_id, true AS decoded FROM documents")

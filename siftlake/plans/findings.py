@@ -136,12 +136,16 @@ def _plain() -> F.Column:
     return F.concat(F.lit("token="), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 24))
 
 
+def _behind(line: F.Column) -> F.Column:
+    return F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line)
+
+
 def _encoded(spark: SparkSession, folder: str, how: str) -> DataFrame:
     """Each document's text, and behind it a line with an encoded assignment made from its id."""
     plain = _plain()
     value = {"base64": F.base64(F.encode(plain, "UTF-8")), "hex": F.lower(F.hex(F.encode(plain, "UTF-8"))), "url": F.replace(plain, F.lit("="), F.lit("%3D")), "reverse": F.reverse(F.concat(F.lit("ghp_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 36)))}
     twice = F.translate(F.base64(F.encode(F.concat(F.lit("inner "), value["hex"]), "UTF-8")), "\r\n", "")
-    return _docs(spark, folder).select("doc_id", F.concat(F.lit("blob: "), twice if how == "twice" else value[how]).alias("text"))
+    return _docs(spark, folder).select("doc_id", _behind(F.concat(F.lit("blob: "), twice if how == "twice" else value[how])).alias("text"))
 
 
 def _assigned(rows: DataFrame) -> DataFrame:
@@ -178,11 +182,11 @@ def decode_depth2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, (doc_id % 25 + 1)::INT AS shift, 'ghp_' AS prefix FROM documents")
 def decode_caesar(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens shifted by a number of letters that depends on the document."""
+    """Each document's text, and behind it a prefix shifted by a number of letters that depends on the document."""
     from siftlake.functions.codecs import caesar
 
     shifted = F.coalesce(*(F.when(F.col("doc_id") % 25 + 1 == s, caesar(F.lit("=ghp_"), s)) for s in range(1, 26)))
-    return decode.caesar_hits(_docs(spark, folder).select("doc_id", shifted.alias("text")), ("ghp_",))
+    return decode.caesar_hits(_docs(spark, folder).select("doc_id", _behind(shifted).alias("text")), ("ghp_",))
 
 
 @query("SELECT doc_id, sha256(text) AS text_hash FROM documents")

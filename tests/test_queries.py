@@ -16,6 +16,22 @@ def test_checksums_tell_valid_tokens(spark):
     assert all(r.made_valid == r.valid for r in registry.QUERIES["crc32_base62"](spark, DATA).collect())
 
 
+def test_decoding_queries_read_the_texts(spark, tmp_path):
+    import base64
+
+    plain, token = "token=abcdefgh12345678ijkl9012", "ghp_abcdefghij0123456789ABCDEFGHIJ012345"
+    inner = base64.b64encode(b"inner " + plain.encode().hex().encode()).decode()
+    outer = base64.b64encode(f"x {token} y".encode()).decode()
+    turned = token[:4].translate(str.maketrans("ghp", "jks"))
+    blobs = {"decode_base64": base64.b64encode(plain.encode()).decode(), "decode_hex": plain.encode().hex(), "decode_url": plain.replace("=", "%3D"), "decode_reverse": token[::-1], "decode_depth2": inner, "decode_caesar": f"={turned}", "scan_decoded": outer}
+    for name, blob in blobs.items():
+        folder = tmp_path / name
+        rows = [(6, f"some words\n{blob}\nand more", "en", "a", 9), (7, None, None, None, None)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
+        found = [r.doc_id for r in registry.QUERIES[name](spark, str(folder)).collect()]
+        assert sorted(found) == [6, 6, 7], name
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
