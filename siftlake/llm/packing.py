@@ -30,7 +30,7 @@ def cuts(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length() - 1)) if n % longest >> k & 1]
 
 
-def pack_powers_of_two(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
+def pack_powers_of_two(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, bucket, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -42,7 +42,7 @@ def pack_powers_of_two(docs: DataFrame, length: int = 1024, end_id: int = 0, tok
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, number = encoder(definition), TaskContext.get().partitionId() << 33
+        encode, number = encoder(definition, added_tokens), TaskContext.get().partitionId() << 33
         rows, held = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -66,5 +66,5 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_powers_of_two(table(spark, sf_dir, "documents"))
+    pieces = pack_powers_of_two(table(spark, sf_dir, "documents"), added_tokens=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

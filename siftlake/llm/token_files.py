@@ -113,7 +113,7 @@ class Reader:
         return unpack(data, self.bits, count)[start - first * BLOCK : stop - first * BLOCK]
 
 
-def write_token_files(docs: DataFrame, out: str, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, out: str, end_id: int = 2, tokenizer: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write a file for each range of ``doc_id`` into the folder ``out``.
 
     Returns the manifest (part, file, n_docs, n_ids), which names only the files of attempts that succeeded: a task that
@@ -126,7 +126,7 @@ def write_token_files(docs: DataFrame, out: str, end_id: int = 2, tokenizer: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, writer, name = encoder(definition), TaskContext.get().partitionId(), None, ""
+        encode, part, writer, name = encoder(definition, added_tokens), TaskContext.get().partitionId(), None, ""
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
@@ -176,4 +176,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "token-files")
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), out))
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), out, added_tokens=True))

@@ -59,21 +59,23 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Encodes a text to the bytes of its ids; equal to ``encode(text, add_special_tokens=False)``.
+    """Encodes a text to the bytes of its ids; with ``added_tokens`` equal to ``encode(text, add_special_tokens=False)``.
 
     A byte-level pre-tokenizer always cuts before a space that stands between two characters other than white space,
     so the pieces between such spaces can be encoded one by one, and each distinct piece only once. Strings of
-    special tokens in a text count as ordinary text. Other kinds of tokenizer get each text whole.
+    special tokens in a text count as ordinary text, unless ``added_tokens`` is true: then a text that holds one is
+    encoded whole by the library. Other kinds of tokenizer get each text whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added_tokens: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         spec = json.loads(definition)
+        self.added = [x["content"] for x in spec["added_tokens"]] if added_tokens else []
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not [x for x in spec["added_tokens"] if not x["special"]]
         if self.by_piece:
@@ -82,7 +84,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or any(map(text.__contains__, self.added)):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if ("  " in text or "\n " in text or " \n" in text or _RARE_SPACE(text)) if text.isascii() else _ODD_SPACE(text):
             first, *rest = re.split(r"(?<=\S) (?=\S)", text)
@@ -91,12 +93,13 @@ class Encoder:
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(definition: Broadcast) -> Encoder:
+def encoder(definition: Broadcast, added_tokens: bool = False) -> Encoder:
     """One encoder for each worker process and definition, kept from task to task with what it remembers."""
-    if definition.value not in _encoders:
+    key = definition.value, added_tokens
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[definition.value] = Encoder(definition.value)
-    return _encoders[definition.value]
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

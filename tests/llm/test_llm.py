@@ -321,6 +321,25 @@ def test_encoder_equals_the_tokenizer(spark, plain_ids):
         assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(text), repr(text)
 
 
+def test_queries_take_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.Encoder(tokens.tokenizer_file(spark).value, added_tokens=True)
+    ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "no such token"]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids(text), repr(text)
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in enumerate(texts)], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    crc = lambda text, end: zlib.crc32(np.array([*ids(text), end], "<u4").tobytes())
+    assert {r.doc_id: r.doc_tokens for r in packing.op6_packing(spark, str(tmp_path)).collect()} == {d: len(ids(t)) + 1 for d, t in enumerate(texts)}
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.packing(spark, docs, "").collect()} == {d: len(ids(t)) + 1 for d, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.op10_token_files(spark, str(tmp_path)).collect()} == {d: (len(ids(t)) + 1, crc(t, 2)) for d, t in enumerate(texts)}
+
+
 def test_packing_cuts_every_document_once(spark, odd, plain_ids):
     for df in (table(spark, DATA, "documents"), odd):
         rows, pieces = df.select("doc_id", "text").collect(), packing.pack_powers_of_two(df).collect()
