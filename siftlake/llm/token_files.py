@@ -26,7 +26,7 @@ from .common import file_system, shared_path, table
 from .tokens import encoder, tokenizer_file, vocabulary_size
 
 MAGIC = b"SIFTBIT1"
-#: Ids in a block; a multiple of 8, so that blocks of any width end at a byte.
+#: Ids in a block; a multiple of 64, so that blocks of any width end at a 64-bit word.
 BLOCK = 1 << 16
 #: Documents that one read unit takes.
 UNIT_DOCS = 2048
@@ -34,20 +34,31 @@ UNIT_DOCS = 2048
 READ_IDS = 1 << 20
 
 
+def _lanes(bits: int):
+    """For each of 64 ids in a row: the 64-bit word that it begins in, its shift there, and whether it runs into the next."""
+    return [(k, k * bits // 64, np.uint64(k * bits % 64), k * bits % 64 + bits > 64) for k in range(64)]
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, the first in the lowest bits; the last byte is filled with zeros."""
-    if bits == 16:
-        return ids.astype("<u2").tobytes()
-    planes = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(planes[:, :bits].ravel(), bitorder="little").tobytes()
+    rows = np.zeros((-(-len(ids) // 64), 64), np.uint64)
+    rows.ravel()[: len(ids)] = ids
+    words = np.zeros((len(rows), bits), "<u8")  # 64 ids take as many words as an id has bits
+    for k, word, shift, over in _lanes(bits):
+        words[:, word] |= rows[:, k] << shift
+        if over:
+            words[:, word + 1] |= rows[:, k] >> (np.uint64(64) - shift)
+    return words.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
-    if bits == 16:
-        return np.frombuffer(data, "<u2", count).astype("<u4")
-    planes = np.zeros((count, 32), np.uint8)
-    planes[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=count * bits).reshape(count, bits)
-    return np.packbits(planes.ravel(), bitorder="little").view("<u4")
+    n = -(-count // 64)
+    words = np.frombuffer(data.ljust(n * bits * 8, b"\0"), "<u8", n * bits).reshape(n, bits)
+    rows, mask = np.empty((n, 64), "<u4"), np.uint64((1 << bits) - 1)
+    for k, word, shift, over in _lanes(bits):
+        value = words[:, word] >> shift
+        rows[:, k] = (value | words[:, word + 1] << (np.uint64(64) - shift) if over else value) & mask
+    return rows.ravel()[:count]
 
 
 class Writer:

@@ -1,4 +1,4 @@
-"""Token ids by a public tokenizer: an exact encoder that remembers the ids of each piece between spaces."""
+"""Token ids by a public tokenizer: an exact encoder that remembers the ids of each run that the pre-tokenizer makes."""
 
 from __future__ import annotations
 
@@ -11,11 +11,18 @@ from pyspark.sql import SparkSession
 
 #: A tokenizer file may be this large, so that it can be sent to every executor.
 MAX_FILE_BYTES = 64 << 20
-#: Pieces that a worker remembers at most, and their longest length; when it has as many, it forgets all and begins anew.
-MAX_PIECES, MAX_PIECE = 700_000, 64
+#: Runs that a worker remembers at most, in two generations, and their longest length.
+MAX_RUNS, MAX_RUN = 700_000, 64
+#: Characters of a text that are cut into runs at once.
+CUT = 1 << 20
 
-_ODD_SPACE = re.compile(r"\s | \s").search
-_RARE_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]").search
+# Characters whose class needs no test: Latin letters, ASCII digits and marks, and common white space.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_MARKS} \n\r\t]*").fullmatch
+#: The runs of a byte-level pre-tokenizer (a fixed value of its format) over these characters.
+_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\s+(?!\S)|\s+")
+#: Where a run begins, whatever stands around it.
+_BORDER = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9]|\n)").search
 
 
 def tokenizer_file(spark: SparkSession, path: str | None = None) -> Broadcast:
@@ -37,34 +44,44 @@ def vocabulary_size(path: str | None = None) -> int:
     return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")).get_vocab_size()
 
 
-class _Pieces(dict):
-    """Ids of pieces as little-endian unsigned 32-bit bytes, computed at first use."""
+class _Remembered(dict):
+    """What ``make`` gives for a key. Keys in use stay: when one generation is full, the one before it goes."""
 
-    def __init__(self, tokenizer, prefix: str):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.prefix, self.split, self.model = prefix, tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
-        self.space = self.split(" a")[0][0].removesuffix("a") if prefix else ""
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            parts = [self.space + piece]  # letters only: the pre-tokenizer leaves them whole
-        else:
-            parts = [x for x, _ in self.split(self.prefix + piece)]
-        ids = array.array("I", [t.id for x in parts for t in self.model.tokenize(x)]).tobytes()
-        if len(piece) <= MAX_PIECE:
-            if len(self) >= MAX_PIECES:
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MAX_RUN:
+            if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+class _Characters(dict):
+    """Code point to what ``make`` gives for the character."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, point: int) -> str:
+        self[point] = value = self.make(chr(point))
+        return value
 
 
 class Encoder:
     """Encodes a text to the bytes of its ids; with ``added_tokens`` equal to ``encode(text, add_special_tokens=False)``.
 
-    A byte-level pre-tokenizer always cuts before a space that stands between two characters other than white space,
-    so the pieces between such spaces can be encoded one by one, and each distinct piece only once. Strings of
-    special tokens in a text count as ordinary text, unless ``added_tokens`` is true: then a text that holds one is
-    encoded whole by the library. Other kinds of tokenizer get each text whole.
+    A byte-level pre-tokenizer cuts a text into runs of letters, digits, other marks and white space, and each run is encoded by
+    itself, so each distinct run is encoded only once. The class of a character outside of the common ones is asked of the
+    pre-tokenizer. Strings of special tokens in a text count as ordinary text, unless ``added_tokens`` is true: then a text that holds
+    one is encoded whole by the library. Other kinds of tokenizer get each text whole.
     """
 
     def __init__(self, definition: str, added_tokens: bool = False):
@@ -77,20 +94,40 @@ class Encoder:
         spec = json.loads(definition)
         self.added = [x["content"] for x in spec["added_tokens"]] if added_tokens else []
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not [x for x in spec["added_tokens"] if not x["special"]]
-        if self.by_piece:
-            self.first, self.later = _Pieces(self.tokenizer, ""), _Pieces(self.tokenizer, " ")
+        self.by_run = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not [x for x in spec["added_tokens"] if not x["special"]]
+        if self.by_run:
+            self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+            # A byte-level pre-tokenizer writes each byte as a character of its own, which the model takes.
+            self.written, self.classes = _Characters(lambda c: "".join(x for x, _ in self.split(c))), _Characters(self._like)
+            self.runs = _Remembered(self._run, MAX_RUNS // 2)
+
+    def _run(self, run: str) -> bytes:
+        return array.array("I", [t.id for t in self.model.tokenize(run.translate(self.written))]).tobytes()
+
+    def _like(self, character: str) -> str:
+        """A plain character of the same class."""
+        if _PLAIN(character):
+            return character
+        return next((x for x in "a1!" if len(self.split(x + character)) == 1), "\t")
+
+    def _parts(self, text: str):
+        """Parts of about CUT characters, cut where a run begins."""
+        first = 0
+        while len(text) - first > CUT and (border := _BORDER(text, first + CUT)):
+            yield text[first : border.start()]
+            first = border.start()
+        yield text[first:] if first else text
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or any(map(text.__contains__, self.added)):
+        if not self.by_run or any(map(text.__contains__, self.added)):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if ("  " in text or "\n " in text or " \n" in text or _RARE_SPACE(text)) if text.isascii() else _ODD_SPACE(text):
-            first, *rest = re.split(r"(?<=\S) (?=\S)", text)
-        else:
-            first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, rest))
+        out = []
+        for part in self._parts(text):
+            runs = _RUNS.findall(part) if _PLAIN(part) else (part[slice(*m.span())] for m in _RUNS.finditer(part.translate(self.classes)))
+            out.append(b"".join(map(self.runs.__getitem__, runs)))
+        return b"".join(out)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -317,10 +317,20 @@ def test_encoder_equals_the_tokenizer(spark, plain_ids):
     encode = tokens.Encoder(tokens.tokenizer_file(spark).value)
     rng = random.Random(2)
     pieces = ["a", "It's", "don't", " ", "  ", "\n", " \n", "\t", "\u00a0", "\u2003", "\x1c", "é", "中文", "123", "!!", "#", "_x", "<|endoftext|>", "🙂", "\x85", "I'll,"]
+    pieces += ["\n\n", "'s", "'", "\r", "\u01c5", "я", "٣", "²", "\u0301", "\U0001fae8", "\u3000", "½", "\x0b", "ß", "x\u0378"]
     for text in ["", " ", "a", *("".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(1500)), *(t for _, t, _, _ in texts_of()[:40])]:
         assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(text), repr(text)
 
 
+def test_encoder_cuts_long_texts(spark, plain_ids, monkeypatch):
+    monkeypatch.setattr(tokens, "CUT", 40)
+    monkeypatch.setattr(tokens, "MAX_RUNS", 60)
+    encode = tokens.Encoder(tokens.tokenizer_file(spark).value)
+    for _, text, _, _ in texts_of()[:60]:
+        text = (text or "").replace(" e", "  e").replace(" o", "\n\no").replace(" a", " \u3000a")
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(text)
+
+
 def test_queries_take_added_tokens_as_the_tokenizer_does(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
@@ -355,14 +365,23 @@ def test_packing_cuts_every_document_once(spark, odd, plain_ids):
             assert len(whole) == 4 * n and (doc_id, whole) in want
         assert sum(p.length for p in pieces) == sum(len(b) // 4 * c for (_, b), c in want.items())
     assert packing.pack_powers_of_two(odd.limit(0)).count() == 0
+    batches = defaultdict(list)
+    for p in packing.pack_powers_of_two(table(spark, DATA, "documents"), batch_tokens=2048).collect():
+        batches[p.batch_id].append(p)
+    # Each batch is a matrix: rows of one length, numbered, and no more than fit; all but one of a task and length are full.
+    assert all(len({p.length for p in b}) == 1 and sorted(p.place for p in b) == list(range(len(b))) and len(b) * b[0].length <= 2048 for b in batches.values())
+    open_ones = Counter((k >> 33, b[0].length) for k, b in batches.items() if len(b) * b[0].length < 2048)
+    assert set(open_ones.values()) == {1} and len(batches) > len(open_ones)
     assert packing.cuts(2500, 1024) == [1024, 1024, 256, 128, 64, 4] and packing.cuts(1, 1024) == [1]
 
 
-@pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
+@pytest.mark.parametrize("bits", [1, 3, 7, 16, 17, 31, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype("<u4")
     data = token_files.pack(ids, bits)
     assert len(data) == -(-1001 * bits // 8) and (token_files.unpack(data, bits, 1001) == ids).all()
+    planes = [int(i) >> k & 1 for i in ids for k in range(bits)]
+    assert data == np.packbits(planes, bitorder="little").tobytes()
 
 
 def test_token_files(spark, odd, plain_ids, monkeypatch):
