@@ -19,6 +19,7 @@ are one document, linked through any of their texts; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ COORDINATES, BANDS = 192, 64
 CHUNK = 1 << 15
 #: Members that are compared with one copy of a leader's set.
 SALT_ROWS = 256
+#: Documents whose sets and signatures are in memory at once.
+SLICE = 1024
 
 
 def shingle_sets(tokens: np.ndarray, lengths: np.ndarray, size: int) -> list[np.ndarray]:
@@ -90,20 +93,26 @@ def _word_hashes(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.transform(words(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("_hashes"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
 def _sets_of(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     column = batch.column(batch.schema.get_field_index("_hashes"))
     return shingle_sets(np.asarray(column.flatten()).view(np.uint64), np.asarray(column.value_lengths()).astype(np.int64), size)
 
 
+def _digest(members: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
+
+
 def sketches(docs: DataFrame, shingle: int, coordinates: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, digest (128 bits that name the set; null if it's empty) and the bands' hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             sets = _sets_of(batch, shingle)
             full = [s for s in sets if len(s)]
             hashes = iter(band_hashes(signatures(full, coordinates), bands) if full else ())
@@ -111,7 +120,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int, bands: int) -> Dat
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array(map(_digest, sets), pa.binary()),
                     pa.array([next(hashes) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "digest", "bands"],
@@ -128,7 +137,8 @@ def _like_sizes(a: str, b: str, percent: int):
 def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b and others) with both sets. A set that meets many is copied to as many salts as it needs."""
     more = [c for c in pairs.columns if c not in ("a", "b")]
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
+    # Written, so that the joins below are between exchanges, whose large partitions Spark can split.
+    salts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")), "salts")
     salted = pairs.join(salts, "a").select(*pairs.columns, F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     left = sets.join(salts, sets.node == salts.a).select("a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col("n").alias("a_n"), F.col("members").alias("a_set"))
     right = salted.join(sets, salted.b == sets.node).select("a", "salt", "b", *more, F.col("n").alias("b_n"), F.col("members").alias("b_set"))
@@ -148,7 +158,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             a, b, a_n, b_n = (batch.column(k).to_pylist() for k in range(4))
             shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in _decoded(batch)]
             keep = [100 * n >= percent * (p + q - n) for n, p, q in zip(shared, a_n, b_n, strict=True)]
@@ -161,7 +171,7 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """For pairs (a, b, component, open) what only one of the sets has, and how much that is of each; a's own are even numbers, b's odd."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             lacks, adds, both = [], [], []
             for x, y in _decoded(batch):
                 lacked, added = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
@@ -184,7 +194,7 @@ def _meeting(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     """
     of_a, of_b = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
     placed = star.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", F.coalesce("_cb", "b").alias("component"), (F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).alias("open"))
-    several = placed.groupBy("a").agg(F.count("*").alias("all"), F.count_if("open").alias("n_open")).where("all > 1 AND n_open > 0").select("a")
+    several = stored(placed.groupBy("a").agg(F.count("*").alias("all"), F.count_if("open").alias("n_open")).where("all > 1 AND n_open > 0").select("a"), "open-stars")
     found = stored(_differences(placed.join(several, "a", "left_semi"), sets), "differences")
 
     t, tiny = percent / (100 + percent), 1 / (100 + percent)  # differences of counts times t are multiples of tiny
@@ -238,32 +248,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     sketched = stored(sketches(docs, shingle, coordinates, bands), "sketches")
     nodes = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
 
-    # Members of buckets that hold several; a running window needs no more than the row at hand.
+    # Buckets are counted with partial sums, and only those that hold several are kept; nothing is sorted by bucket.
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    first = F.first(F.struct("node", "n")).over(Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    entries = stored(entries.withColumn("first", first).where("first.node <> node"), "entries")
-    if not entries.limit(1).count():
-        return _labelled(sketched, nodes, entries.select("node", F.col("node").alias("component")))
-    members = entries.select("bucket", "node", "n").union(entries.select("bucket", "first.node", "first.n").distinct())
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    company = members.join(sizes, "bucket").groupBy("node", "n").agg(F.sum("size").alias("company"))
-    leaders = members.join(company, ["node", "n"]).groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node"), "n")).alias("leader"))
-    star = members.join(leaders, "bucket").select((-F.col("leader.node")).alias("a"), F.col("leader.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).where("a <> b").distinct()
+    shared = stored(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    repeated = stored(sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("n > 1"), "repeated-ids")
+    same = _same_document(sketched, nodes, repeated.where("low < high"))
+    if not shared.limit(1).count():
+        return _labelled(sketched, nodes, components(same))
+    members = stored(entries.join(shared, "bucket"), "members")
+    company = stored(members.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    leaders = members.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node"), "n")).alias("leader"))
+    star = members.join(stored(leaders, "leaders"), "bucket").select((-F.col("leader.node")).alias("a"), F.col("leader.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).where("a <> b").distinct()
     star = stored(star, "stars")
 
     wanted = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = _sets_of(batch, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([to_bytes(np.unique(s >> np.uint64(16))) for s in sets], pa.binary())], ["node", "n", "members"])
+        for batch in _slices(batches):
+            sets = _sets_of(batch, shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([to_bytes(s) for s in sets], pa.binary()), pa.array(map(_digest, sets), pa.binary())], ["node", "n", "members", "digest"])
 
     # The wanted ids grow with the corpus, so they are never broadcast.
     chosen = docs.join(wanted.hint("merge"), docs.doc_id == wanted.node, "left_semi")
-    sets = stored(_word_hashes(chosen, "doc_id").mapInArrow(gather, "node long, n long, members binary").where("n > 0"), "sets")
+    sets = _word_hashes(chosen, "doc_id").mapInArrow(gather, "node long, n long, members binary, digest binary").where("n > 0")
+    if repeated.limit(1).count():  # of several rows of one doc_id, one that has the node's set
+        sets = sets.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node"])
+    sets = stored(sets.drop("digest"), "sets")
 
-    links = stored(_confirmed(star.where(_like_sizes("a_n", "b_n", percent)).select("a", "b"), sets, percent), "links")
+    links = stored(same.unionByName(_confirmed(star.where(_like_sizes("a_n", "b_n", percent)).select("a", "b"), sets, percent)), "links")
     labels = components(links)
     more = stored(_confirmed(_meeting(star, labels, sets, percent), sets, percent), "links")
     if more.limit(1).count():
@@ -271,6 +283,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     return _labelled(sketched, nodes, labels)
 
 
+def _same_document(sketched: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of the rows of each ``repeated`` doc_id."""
+    if not repeated.limit(1).count():
+        return repeated.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    rows = sketched.join(repeated, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    found = stored(rows.join(nodes.select("digest", "node"), "digest").select("doc_id", "node"), "repeated-nodes")
+    first = stored(found.groupBy("doc_id").agg(F.min("node").alias("a")), "repeated-first")
+    return found.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def _labelled(sketched: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
     rows = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
