@@ -7,17 +7,20 @@ of file and offset, joins ranges that lie close together, and fetches each joine
 Of records with equal payloads of at least ``least`` bytes, that with the smallest ``page_id`` is a response, and the others
 are revisits that refer to it and hold no payload.
 
-Nulls and odd rows: null html is an empty payload; a null url is written as an empty one; pages with a null ``page_id`` are
-responses and never referred to; rows that repeat a ``page_id`` with the same payload are responses each;
+Nulls and odd rows: null html is an empty payload; a null url is written as an empty one; a url with white space or
+control characters, which a record's head can't hold, stands there with per cent escapes and a mark, and reading undoes them; pages with a null ``page_id`` are
+responses and never referred to; a revisit's payload is that of the response with its page_id and digest; rows that repeat a ``page_id`` with the same payload are responses each;
 other columns are ignored. An empty table makes no archive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +49,10 @@ def _digest():
     return F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
 
 
+#: Characters of a url that a record's head can't hold.
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
+
+
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC record, uncompressed."""
     name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
@@ -55,7 +62,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {name(page_id)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join(url.split())}",
+        *([f"WARC-Target-URI: {quote(url)}", "X-URL-Escaped: yes"] if _UNSAFE.search(url) else [f"WARC-Target-URI: {url}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
         *([] if refers_to is None else [f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
@@ -117,7 +124,9 @@ def joined_ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = JOINE
     out: list[tuple[int, int, list[int]]] = []
     for k, (offset, length) in enumerate(rows):
         if out and offset - out[-1][1] <= gap and offset + length - out[-1][0] <= most:
-            out[-1] = (out[-1][0], max(out[-1][1], offset + length), [*out[-1][2], k])
+            start, end, inside = out[-1]
+            inside.append(k)
+            out[-1] = (start, max(end, offset + length), inside)
         else:
             out.append((offset, offset + length, [k]))
     return out
@@ -149,7 +158,7 @@ def read_records(selected: DataFrame) -> DataFrame:
                         at = offsets[first + k] - start
                         headers, block = parse(zlib.decompress(data[at : at + lengths[first + k]], 31))
                         kind = headers["warc-type"]
-                        rows.append((number(headers.get("x-page-id")), headers["warc-target-uri"], kind, headers["warc-payload-digest"].removeprefix("sha256:"), number(headers.get("x-refers-to-page-id")), block if kind == "response" else None))
+                        rows.append((number(headers.get("x-page-id")), unquote(headers["warc-target-uri"]) if "x-url-escaped" in headers else headers["warc-target-uri"], kind, headers["warc-payload-digest"].removeprefix("sha256:"), number(headers.get("x-refers-to-page-id")), block if kind == "response" else None))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
                 first = last
 
@@ -159,13 +168,15 @@ def read_records(selected: DataFrame) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    records = read_records(index).select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"))
-    records = stored(records, "warc-records")
-    responses = records.where("record_type = 'response'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
-    # What a revisit stands for is what its response holds.
-    held = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    again = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(held, "refers_to")
-    return responses.unionByName(again)
+    own = [F.length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest")]
+    records = stored(read_records(index).select("page_id", "record_type", "refers_to", "payload_digest", *own), "warc-records")
+    responses = records.where("record_type = 'response'")
+    # What a revisit stands for is what its response holds: that with its page_id, and with the digest that the revisit's record names.
+    held = responses.select(F.col("page_id").alias("refers_to"), F.col("own_digest").alias("payload_digest"), F.col("own_bytes").alias("payload_bytes")).distinct()
+    again = records.where("record_type = 'revisit'").join(held, ["refers_to", "payload_digest"], "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    plain = responses.select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
+    return plain.unionByName(again.select(*columns))
 
 
 OP4_SQL = """
