@@ -45,6 +45,8 @@ class Template:
             raise ValueError("control strings need two characters at least")
         tails = "|".join(re.escape(c[1:]) for c in sorted(self.controls, key=len, reverse=True))
         heads = "".join(sorted({re.escape(c[0]) for c in self.controls}))
+        # A longer mark before one that it begins with.
+        object.__setattr__(self, "_marks", sorted(((role, before, after) for role, (before, after, _) in self.roles.items()), key=lambda x: -len(x[1])))
         object.__setattr__(self, "_raw", re.compile(rf"([{heads}])(\\*)(?={tails})"))
         object.__setattr__(self, "_cut", re.compile(rf"([{heads}])\\(\\*)(?={tails})"))
 
@@ -61,16 +63,23 @@ class Template:
             return [(before, False), (self.escape(text), loss), (after, False)]
         return [(self.other[0] + self.escape(role) + self.other[1], False), (self.escape(text), False), (self.other[2], False)]
 
-    def parse(self, turn: str) -> tuple[str, str]:
-        """Role and text of a formatted turn: the inverse of ``segments``."""
-        for role, (before, after, _) in self.roles.items():
-            if turn.startswith(before) and turn.endswith(after) and len(turn) >= len(before) + len(after):
-                return role, self.unescape(turn[len(before) : len(turn) - len(after)])
+    def parse(self, stream: str, at: int = 0) -> tuple[str, str, int] | None:
+        """Role and text of the turn that begins at ``at`` of a formatted conversation, and where it ends; None if it isn't all there.
+
+        No text holds a control string, so the marks alone say where a turn ends.
+        """
+        for role, before, after in self._marks:
+            if stream.startswith(before, at):
+                end = stream.find(after, at + len(before))
+                return None if end < 0 else (role, self.unescape(stream[at + len(before) : end]), end + len(after))
         first, middle, last = self.other
-        role, found, text = turn.removeprefix(first).partition(middle)
-        if not turn.startswith(first) or not found or not turn.endswith(last):
+        if not stream.startswith(first, at):
+            if any(x.startswith(stream[at:]) for x in (first, *(before for before, _, _ in self.roles.values()))):
+                return None
             raise ValueError("not a turn of this template")
-        return self.unescape(role), self.unescape(text.removesuffix(last))
+        split = stream.find(middle, at + len(first))
+        end = stream.find(last, split + len(middle)) if split >= 0 else -1
+        return None if end < 0 else (self.unescape(stream[at + len(first) : split]), self.unescape(stream[split + len(middle) : end]), end + len(last))
 
     def step(self, state: str, role: str) -> str:
         return self.transitions.get(state, {}).get(role, "invalid")
@@ -122,36 +131,62 @@ def conversation_status(formatted: DataFrame, template: Template = INSTRUCT) ->
     return formatted.groupBy("conv_id").agg(F.count("*").alias("n_turns"), (F.min("valid") & last.isin(*template.accepting)).alias("valid"))
 
 
+BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, state string, valid boolean"
+
+
+class _Reader:
+    """Reads one formatted conversation, piece by piece: turns by their marks, the loss mask by its flags, and the states anew."""
+
+    def __init__(self, template: Template):
+        self.template, self.stream, self.state = template, "", template.start
+        self.turns, self.loss, self.n, self.n_loss, self.n_all = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+
+    def feed(self, segments: list[dict]) -> None:
+        piece = "".join(s["text"] for s in segments)
+        self.stream += piece
+        self.n_all += len(piece)
+        at = 0
+        while at < len(self.stream) and (turn := self.template.parse(self.stream, at)):
+            role, text, at = turn
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.state, self.n = self.template.step(self.state, role), self.n + 1
+        self.stream = self.stream[at:]
+        for s in segments:
+            if s["loss"]:
+                learned = self.template.unescape(s["text"])
+                self.loss.update(learned.encode())
+                self.n_loss += len(learned)
+
+    def row(self, conv_id: int | None) -> tuple:
+        if self.stream:
+            raise ValueError("a conversation ends within a turn")
+        return conv_id, self.n, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.n_all, self.state, self.state in self.template.accepting
+
+
 def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """Digests of what the formatted turns say, parsed with the template; see ``op1_chat_format`` for the columns."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    """What the formatted conversations say, cut into turns by the template's marks; see ``op1_chat_format`` for the columns.
+
+    ``state``: that after the last turn; ``valid``: all turns are in order, and that state is accepting.
+    """
+    names = [x.split()[0] for x in BACK.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, turns, loss, n, n_loss, n_all = None, None, None, 0, 0, 0
+        key, reader = None, None
         for batch in batches:
             rows = []
             for conv_id, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key != (conv_id,):
                     if key:
-                        rows.append((key[0], n, turns.hexdigest(), n_loss, loss.hexdigest(), n_all))
-                    key, turns, loss, n, n_loss, n_all = (conv_id,), hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                whole = "".join(s["text"] for s in segments)
-                role, text = template.parse(whole)
-                turns.update(f"{role}\n{text}\n".encode())
-                for s in segments:
-                    if s["loss"]:
-                        learned = template.unescape(s["text"])
-                        loss.update(learned.encode())
-                        n_loss += len(learned)
-                n, n_all = n + 1, n_all + len(whole)
+                        rows.append(reader.row(key[0]))
+                    key, reader = (conv_id,), _Reader(template)
+                reader.feed(segments)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         if key:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((key[0], n, turns.hexdigest(), n_loss, loss.hexdigest(), n_all), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(reader.row(key[0]), kinds, strict=True)], names)
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return _in_order(formatted.select("conv_id", "turn_no", "segments"), "turn_no").select("conv_id", "segments").mapInArrow(run, schema)
+    return _in_order(formatted.select("conv_id", "turn_no", "segments"), "turn_no").select("conv_id", "segments").mapInArrow(run, BACK)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +203,16 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), f AS (
   SELECT *, CASE role WHEN 'system' THEN 9 + 7 WHEN 'user' THEN 10 + 8 WHEN 'assistant' THEN 4 + 5 ELSE 7 + length(role) + 9 + 8 END + length(text)
-    + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(?:INST|SYS|ROLE)\]|\[\\*/TURN\]')) AS chars FROM t
+    + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(?:INST|SYS|ROLE)\]|\[\\*/TURN\]')) AS chars,
+    CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS letter FROM t
+), r AS (
+  SELECT *, regexp_full_match(letters, 's|s?u(au)*a?') AS in_order FROM (SELECT conv_id, string_agg(letter, '' ORDER BY turn, role, text) AS letters FROM f GROUP BY conv_id)
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars
-FROM f GROUP BY conv_id
+  sum(chars)::BIGINT AS formatted_chars,
+  any_value(CASE WHEN NOT in_order THEN 'invalid' WHEN letters LIKE '%s' THEN 'system' WHEN letters LIKE '%u' THEN 'user' ELSE 'assistant' END) AS state,
+  any_value(in_order AND letters LIKE '%a') AS valid
+FROM f JOIN r USING (conv_id) GROUP BY conv_id
 """
