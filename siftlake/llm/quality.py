@@ -18,6 +18,7 @@ itself; extra columns come along, save those with names of the result. An empty
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,20 +34,41 @@ NAMES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 FLOORS = (0.25, 0.05, 0.5, 0.5, 0.5)
 #: Share of a group in the minimum determinant; rows that a group needs; steps of concentration; histogram steps for a doubling of the distance.
 SHARE, LEAST, STEPS, BINS = 0.75, 100, 6, 32
-#: Factors that make the covariance of the nearest 75 % and 97.5 % consistent for five normal variables; the chi-square bound of the latter.
-RAW_FACTOR, WEIGHTED_FACTOR, WEIGHT_BOUND = 1.412, 1.055, 12.833
+#: Share of normal rows that the reweighted estimate takes.
+WEIGHTED = 0.975
 #: Largest squared distance that is kept: what one row in 2000 exceeds if the five statistics are normal. It lies below what ``FLOORS`` alone leave
 #: of the largest deviation of any one statistic (37 for repeated words, 85 for doubled lines), so that each can reject a row.
 CUTOFF = 22.1
 
+
+
+def chi_square(x: float, of: int) -> float:
+    """The chance that a chi-square variable of 5 or 7 degrees of freedom is at most ``x``."""
+    tail = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    return math.erf(math.sqrt(x / 2)) - tail * (1 + x / 3 + (x * x / 15 if of == 7 else 0))
+
+
+def bound_of(share: float) -> float:
+    """The squared distance that holds ``share`` of five normal variables."""
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, 5) < share else (low, middle)
+    return high
+
+
+def factor_of(share: float) -> float:
+    """What makes the covariance of the nearest ``share`` of normal rows consistent."""
+    return share / chi_square(bound_of(share), 7)
+
+
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    made = {"text", "_words", "_windows", "_sorted", "_places", "_lines", "_group", "_lang", "_source", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", *NAMES}
-    own = [c for c in docs.columns if c not in made]
+    own = [c for c in docs.columns if c != "text"]
     full_lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     windows = F.when(F.size("_words") >= REPEAT_WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - REPEAT_WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, REPEAT_WINDOW)))).otherwise(F.array().cast("array<long>"))
     rows = docs.select(
@@ -122,7 +144,7 @@ def _distances(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFr
 def _medians(rows: DataFrame) -> DataFrame:
     """Median and deviation from it of each statistic in each group, from histograms with steps of 1/64, as an estimate without covariances."""
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) * 64).alias("bin")) for i, x in enumerate(NAMES))))
-    counts = rows.select("_group", values.alias("v")).groupBy("_group", "v.dim", "v.bin").agg(F.count("*").alias("n"))
+    counts = stored(rows.select("_group", values.alias("v")).groupBy("_group", "v.dim", "v.bin").agg(F.count("*").alias("n")), "counts")
 
     def middle(table: DataFrame, at: str) -> DataFrame:
         order = Window.partitionBy("_group", "dim").orderBy(at)
@@ -147,10 +169,11 @@ def _nearest(placed: DataFrame, share: float) -> DataFrame:
     step = F.floor(F.log2(F.col("d2") + 1e-9) * BINS)
     placed = placed.withColumn("_step", step)
     keys = ["_group", "start"]
-    counts = placed.groupBy(*keys, "_step").agg(F.count("*").alias("n"))
+    # One row for each group, start and step; written, and so is the bound of each, so that large groups are split in the join.
+    counts = stored(placed.groupBy(*keys, "_step").agg(F.count("*").alias("n")), "distances")
     below, total = F.sum("n").over(Window.partitionBy(*keys).orderBy("_step")), F.sum("n").over(Window.partitionBy(*keys))
     bounds = counts.withColumn("below", below).withColumn("total", total).where(F.col("below") >= share * F.col("total")).groupBy(*keys).agg(F.min("_step").alias("_bound"))
-    return placed.join(bounds, keys).where(F.col("_step") <= F.col("_bound"))
+    return placed.join(stored(bounds, "bounds"), keys).where(F.col("_step") <= F.col("_bound"))
 
 
 def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
@@ -163,24 +186,29 @@ def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS)
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
         near = _nearest(_distances(both, estimates, keys), share)
-        estimates = stored(_moments(near, keys, RAW_FACTOR), "estimates")
+        estimates = stored(_moments(near, keys, factor_of(share)), "estimates")
     best = estimates.groupBy("_group").agg(F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("e")).select("_group", "e.*")
-    inside = _distances(rows, best, ["_group"]).where(F.col("d2") <= WEIGHT_BOUND)
-    return stored(_moments(inside, ["_group"], WEIGHTED_FACTOR), "estimates")
+    inside = _distances(rows, best, ["_group"]).where(F.col("d2") <= bound_of(WEIGHTED))
+    return stored(_moments(inside, ["_group"], factor_of(WEIGHTED)), "estimates")
+
+
+MADE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept")
 
 
 def judge_quality(docs: DataFrame, share: float = SHARE, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` (text, lang, source and others) without text, with the statistics, base_failed, d2 and kept."""
-    rows = statistics(docs).withColumn("base_failed", base_failed())
+    # A row's own columns travel in one struct, so that their names can't clash with those of the work.
+    own = F.struct(*(c for c in docs.columns if c != "text" and c not in MADE)).alias("_own")
+    rows = statistics(docs.select("text", own)).withColumn("base_failed", base_failed())
     rows = stored(rows.select("*", *vector()), "statistics")
-    fit = _pooled(rows.where("NOT base_failed").select("lang", "source", *NAMES), least).where("_group IS NOT NULL")
+    fit = _pooled(rows.where("NOT base_failed").select("_own.lang", "_own.source", *NAMES), least).where("_group IS NOT NULL")
     fit = stored(fit.select("_group", *NAMES), "vectors")
     estimates = robust_estimates(fit, share)
-    groups = _pooled(rows.where("NOT base_failed"), least)
+    groups = _pooled(rows.where("NOT base_failed").select("*", "_own.lang", "_own.source"), least).drop("lang", "source")
     failed = rows.where("base_failed").withColumn("_group", F.lit(None).cast(groups.schema["_group"].dataType))
     judged = _distances(groups.unionByName(failed), estimates, ["_group"])
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return judged.withColumn("kept", kept).drop("_group", *NAMES)
+    return judged.withColumn("kept", kept).select("_own.*", *MADE)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
