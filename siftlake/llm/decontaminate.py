@@ -29,6 +29,8 @@ from .substrings import rolling_hashes
 SEED, COVERAGE = 5, 0.5
 #: Seeds (and words) of a benchmark that may be sent to every task: 24 bytes each.
 MOST_SEEDS = 2_000_000
+#: Shared seeds, each with all items that have it, that are in memory at once (but for those of one document).
+EXPANDED = 1 << 22
 FOUND = "doc_id long, item_id long, tiled_words long, item_words long, coverage double, n_tiles long"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
 _NAMES = [x.split()[0] for x in FOUND.split(", ")]
@@ -95,6 +97,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]], seed: int):
         self.items, self.seeds = items, {}
+        self.lengths = np.array([len(w) for _, w in items], np.int64)
         for size in sorted({min(seed, len(w)) for _, w in items if len(w)}):
             found = [(rolling_hashes(w, size), k) for k, (_, w) in enumerate(items) if min(seed, len(w)) == size]
             hashes = np.concatenate([h for h, _ in found])
@@ -103,20 +106,48 @@ class Items:
             order = np.argsort(hashes, kind="stable")
             self.seeds[size] = (hashes[order], which[order], place[order])
 
-    def shared(self, tokens: np.ndarray, lengths: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """For a batch of documents: (document, item) to the places of the seeds that they share."""
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    def shared(self, tokens: np.ndarray, lengths: np.ndarray, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """For a batch of documents: (document, item, places of the seeds that they share), for each pair that can reach ``coverage``.
+
+        Tiles lie within shared seeds, so the words of an item that any shared seed covers bound what is tiled. This is counted for the
+        distinct seeds of a document, and only the pairs that pass get their places.
+        """
         starts = np.cumsum(lengths) - lengths
         row = np.repeat(np.arange(len(lengths)), lengths)
         for size, (seeds, which, place) in self.seeds.items():
             hashes = rolling_hashes(tokens, size)
-            low = np.searchsorted(seeds, hashes)
-            hit = np.flatnonzero((seeds[np.minimum(low, len(seeds) - 1)] == hashes) & (row[: len(hashes)] == row[size - 1 :][: len(hashes)]))
-            high = np.searchsorted(seeds, hashes[hit], "right")
-            for i, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist(), strict=True):
-                for k in range(a, b):
-                    out.setdefault((int(row[i]), int(which[k])), []).append((i - int(starts[row[i]]), int(place[k])))
-        return out
+            low = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
+            hit = np.flatnonzero((seeds[low] == hashes) & (row[: len(hashes)] == row[size - 1 :][: len(hashes)]))
+            low, doc = low[hit], row[hit]
+            # One entry for each document and seed, and of it one for each place of an item that has the seed; some million at a time.
+            order = np.lexsort((low, doc))
+            first = order[np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (low[order][1:] != low[order][:-1])])[: len(order)]]
+            times = np.searchsorted(seeds, seeds[low[first]], "right") - low[first]
+            total, at = np.concatenate([[0], np.cumsum(times)]), 0
+            while at < len(first):
+                upto = max(at + 1, int(np.searchsorted(total, total[at] + EXPANDED, "right")) - 1)
+                while upto < len(first) and doc[first[upto]] == doc[first[upto - 1]]:  # whole documents
+                    upto += 1
+                some, n = first[at:upto], times[at:upto]
+                entry = np.repeat(low[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                of, item, where = np.repeat(doc[some], n), which[entry], place[entry]
+                order = np.lexsort((where, item, of))
+                of, item, where = of[order], item[order], where[order]
+                begins = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (item[1:] != item[:-1])]))
+                reach = np.append(np.minimum(np.diff(where), size), size)
+                reach[np.append(begins[1:], len(of)) - 1] = size
+                passed = begins[np.add.reduceat(reach, begins) >= coverage * self.lengths[item[begins]]]
+                for k, j in zip(of[passed].tolist(), item[passed].tolist(), strict=True):
+                    a, z = np.searchsorted(doc, [k, k + 1])  # hits ascend by document
+                    yield k, j, _meetings(hashes[hit[a:z]], hit[a:z] - starts[k], rolling_hashes(self.items[j][1], size))
+                at = upto
+
+
+def _meetings(hashes: np.ndarray, places: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
+    """(place in the document, place in the item) where the hashes agree."""
+    order = np.argsort(item, kind="stable")
+    low, high = np.searchsorted(item[order], hashes), np.searchsorted(item[order], hashes, "right")
+    return [(int(places[k]), int(x)) for k in np.flatnonzero(high > low).tolist() for x in order[low[k] : high[k]]]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, most_seeds: int = MOST_SEEDS) -> DataFrame:
@@ -138,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
             column = batch.column(1)
             tokens, lengths = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.value_lengths()).astype(np.int64)
             starts, found = np.cumsum(lengths) - lengths, []
-            for (k, item), at in sorted(known.shared(tokens, lengths).items()):
+            for k, item, at in known.shared(tokens, lengths, coverage):
                 row = _judged(batch.column(0)[k].as_py(), tokens[starts[k] : starts[k] + lengths[k]], *known.items[item], at, seed, coverage)
                 if row:
                     found.append(row)
@@ -176,7 +207,7 @@ def _leaks_by_join(hashed: DataFrame, items: DataFrame, seed: int, coverage: flo
             for k in range(batch.num_rows):
                 doc, item = (np.asarray(batch.column(c)[k].values).view(np.uint64) for c in (1, 3))
                 known = Items([(batch.column(2)[k].as_py(), item)], seed)
-                for at in known.shared(doc, np.array([len(doc)])).values():
+                for _, _, at in known.shared(doc, np.array([len(doc)]), coverage):
                     row = _judged(batch.column(0)[k].as_py(), doc, *known.items[0], at, seed, coverage)
                     if row:
                         found.append(row)
