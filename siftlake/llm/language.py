@@ -27,8 +27,8 @@ from .common import table
 
 PROFILE = 300
 SAMPLE = 3000
-#: Distinct languages that profiles are made for at most: they are sent to every task.
-MAX_LANGUAGES = 2000
+#: Distinct languages that profiles are made for at most: they are sent to every task, 16 bytes for each n-gram of each, so 96 MB at most.
+MAX_LANGUAGES = 20_000
 UNKNOWN = "und"
 
 
@@ -97,31 +97,34 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*own)
     names = sorted(profiles)
-    keys = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
-    ranks = np.full((len(keys) + 1, len(names)), -1, np.int32)  # the last row: n-grams that no profile has
-    for k, name in enumerate(names):
-        ranks[np.searchsorted(keys, np.array(profiles[name], np.int64)), k] = np.arange(len(profiles[name]))
-    sent = docs.sparkSession.sparkContext.broadcast((names, keys, ranks))
+    # The n-grams of all profiles in order, each with its language and rank: only what the profiles hold, whatever their number.
+    grams = np.array([g for n in names for g in profiles[n]], np.int64)
+    langs = np.repeat(np.arange(len(names), dtype=np.int32), [len(profiles[n]) for n in names])
+    places = np.concatenate([np.arange(len(profiles[n]), dtype=np.int32) for n in names]) if names else np.empty(0, np.int32)
+    order = np.lexsort((langs, grams))
+    sent = docs.sparkSession.sparkContext.broadcast((names, grams[order], langs[order], places[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, keys, ranks = sent.value
+        names, keys, langs, places = sent.value
         for batch in batches:
-            langs, scores = [], []
+            found, scores = [], []
             for text in batch.column(batch.schema.get_field_index("text")):
-                grams, counts = ngrams(text.as_py())
-                if not len(grams) or not names:
-                    langs.append(UNKNOWN)
+                own, counts = ngrams(text.as_py())
+                if not len(own) or not names:
+                    found.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                grams = ranked(grams, counts, size)
-                at = np.searchsorted(keys, grams)
-                at[(at == len(keys)) | (keys[np.minimum(at, len(keys) - 1)] != grams)] = len(keys)
-                rows = ranks[at]
-                far = np.where(rows < 0, size, np.abs(rows - np.arange(len(grams))[:, None])).sum(axis=0)
+                own = ranked(own, counts, size)
+                low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+                times = high - low
+                entry = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+                # All n-grams are ``size`` places off, but those that a profile has.
+                nearer = size - np.abs(places[entry] - np.repeat(np.arange(len(own)), times))
+                far = size * len(own) - np.bincount(langs[entry], weights=nearer, minlength=len(names))
                 best = int(far.argmin())
-                langs.append(names[best])
-                scores.append(1.0 - float(far[best]) / (size * len(grams)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                found.append(names[best])
+                scores.append(1.0 - float(far[best]) / (size * len(own)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
