@@ -1,6 +1,7 @@
 """The training-data operators: SQL, brute force, round trips, held-out accuracy, and odd input."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -29,7 +30,7 @@ def odd(spark):
     long = " ".join(f"w{k % 977}" for k in range(30000))
     rows = [(1, None, "en", "a"), (2, "", None, None), (3, "one", "en", "a"), (4, long, "en", "b"), (4, long, "en", "b"), (5, long, None, "b"), (None, "a text without a number " * 3, "fr", None), (6, "  \n\t ", "de", "c"), (7, "🙂 #%& \n\n x\ny\ny", "de", "c"), (8, "<|endoftext|> a  b\u2003c \u00a0d", "es", "c")]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS)
-    clash = ("_block", "_hashes", "n_words", "kept", "removed", "node", "component", "score", "lang_pred", "_words", "_sorted", "d2", "_group")
+    clash = ("m_0", "l_4_4", "_y0", "_own", "x_words", "_step", "start", "batch_id", "_key", "_number", "state", "n_turns", "_block", "_hashes", "n_words", "kept", "removed", "node", "component", "score", "lang_pred", "_words", "_sorted", "d2", "_group")
     return df.withColumns({c: F.lit("mine") for c in clash})
 
 
@@ -48,7 +49,9 @@ def test_chat_escapes_are_reversible():
         assert t.unescape(t.escape(text)) == text
         assert not any(c in t.escape(text) for c in t.controls)
         for role in ("user", "assistant", "system", "tool", "", "[ROLE] x"):
-            assert t.parse("".join(s for s, _ in t.segments(role, text))) == (role, text)
+            turn = "".join(s for s, _ in t.segments(role, text))
+            assert t.parse(turn) == (role, text, len(turn)) and t.parse(turn[:-1]) is None
+            assert t.parse(turn + turn, len(turn)) == (role, text, 2 * len(turn))
 
 
 def test_chat_states_and_odd_rows(spark):
@@ -58,7 +61,11 @@ def test_chat_states_and_odd_rows(spark):
     assert status == {1: (3, True), 2: (2, False), 3: (2, False), None: (1, False), 4: (1, False)}
     back = {r.conv_id: r for r in chat.read_back(formatted).collect()}
     assert back[1].loss_chars == 1 and back[2].loss_chars == 5 and back[3].turns_sha256 == hashlib.sha256(b"user\n\nuser\nagain\n").hexdigest()
+    assert {k: (r.n_turns, r.valid) for k, r in back.items()} == status and back[1].state == "assistant" and back[4].state == "invalid"
     assert chat.read_back(formatted.limit(0)).count() == 0
+    # Turns are found by their marks, however the formatted text is cut into rows.
+    cut = formatted.select("conv_id", F.col("turn_no"), F.posexplode("segments")).select("conv_id", (F.col("turn_no") * 3 + F.col("pos")).alias("turn_no"), F.array("col").alias("segments"))
+    assert sorted(map(tuple, chat.read_back(cut).collect()), key=str) == sorted(map(tuple, back.values()), key=str)
 
 
 # 2 Quality rules
@@ -82,9 +89,67 @@ def test_quality_base_rules(spark, odd):
         got = quality.judge_quality(df, least=5)
         assert Counter(tuple(r) for r in got.select("doc_id", *columns).collect()) == want
         assert got.where("base_failed AND kept").count() == 0
+        assert df is not odd or got.where("m_0 = 'mine' AND _y0 = 'mine' AND _own = 'mine' AND _group = 'mine'").count() == df.count()
     assert quality.judge_quality(odd.limit(0)).count() == 0
 
 
+def numpy_estimate(data, exact=False):
+    """Mean and covariance by the steps of the operator, from the better of two starts; with the operator's histogram steps, or the exact share."""
+    floors = np.diag(np.square(quality.FLOORS))
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", data - m, np.linalg.inv(c), data - m)
+    bins = np.floor(data * 64)
+    middle = lambda x: np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+    med = middle(bins)
+    spread = middle(np.abs(bins - med))
+    starts = []
+    for m, c in (((med + 0.5) / 64, np.diag(np.square(1.4826 * spread / 64)) + floors), (data.mean(axis=0), np.cov(data.T, bias=True) + floors)):
+        for _ in range(quality.STEPS):
+            d2 = distance(m, c)
+            if exact:
+                near = data[np.argsort(d2)[: int(0.75 * len(data))]]
+            else:
+                steps = np.floor(np.log2(d2 + 1e-9) * quality.BINS)
+                near = data[steps <= np.sort(steps)[math.ceil(0.75 * len(data)) - 1]]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality.factor_of(0.75) + floors
+        starts.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(starts, key=lambda x: x[0])
+    inside = data[distance(m, c) <= quality.bound_of(0.975)]
+    return inside.mean(axis=0), np.cov(inside.T, bias=True) * quality.factor_of(0.975) + floors
+
+
+def test_quality_judges_documents_as_numpy_does(spark):
+    """The query's d2 and kept over all documents of the smallest table."""
+    groups, vectors = defaultdict(list), {}
+    for doc_id, text, lang, source in texts_of():
+        n, chars, symbols, dup, repeats, failed = base_rules(text)
+        lines = sum(bool(x.encode().split()) for x in (text or "").split("\n"))
+        if not failed:
+            vectors[doc_id] = np.array([math.log1p(n), math.log(chars / n), math.log1p(1000 * symbols / chars), math.log1p(100 * dup / max(lines, 1)), math.log1p(100 * repeats / n)])
+            groups[lang, source].append(doc_id)
+    pools, least = defaultdict(list), 20
+    for (lang, source), ids in groups.items():
+        pools[(lang, source) if len(ids) >= least else (lang, "*")] += ids
+    last = defaultdict(list)
+    for key, ids in pools.items():
+        last[key if len(ids) >= least else ("*", "*")] += ids
+    want = {}
+    for ids in last.values():
+        data = np.array([vectors[d] for d in ids])
+        m, c = numpy_estimate(data) if len(ids) >= least else (None, None)
+        for d in ids:
+            want[d] = float((vectors[d] - m) @ np.linalg.inv(c) @ (vectors[d] - m)) if m is not None else None
+    got = {r.doc_id: r for r in quality.judge_quality(table(spark, DATA, "documents"), least=least).collect()}
+    assert sum(v is not None for v in want.values()) > 100
+    for d, r in got.items():
+        assert r.kept == (not r.base_failed and (want[d] is None or want[d] <= quality.CUTOFF))
+        assert r.base_failed or r.d2 is want[d] is None or abs(r.d2 - want[d]) <= 1e-6 * max(1, want[d])
+
+
+def test_quality_factors():
+    assert abs(quality.bound_of(0.975) - 12.833) < 1e-3 and abs(quality.bound_of(0.9995) - 22.1) < 0.01
+    assert abs(quality.factor_of(0.75) - 1.412) < 1e-3 and abs(quality.factor_of(0.975) - 1.055) < 1e-3
+
+
 def test_quality_estimates_equal_numpy(spark):
     rng = np.random.default_rng(5)
     clean, bad = rng.normal(size=(900, 5)), rng.normal(6, 0.5, size=(100, 5))
@@ -100,10 +165,10 @@ def test_quality_estimates_equal_numpy(spark):
     for m, c in ((med, np.diag(np.square(1.4826 * np.median(np.abs(data - med), axis=0))) + floors), (data.mean(axis=0), np.cov(data.T, bias=True) + floors)):
         for _ in range(quality.STEPS):
             near = data[np.argsort(distance(m, c))[: int(0.75 * len(data))]]
-            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality.RAW_FACTOR + floors
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality.factor_of(0.75) + floors
         starts.append((np.linalg.slogdet(c)[1], m, c))
     _, m, c = min(starts, key=lambda x: x[0])
-    inside = data[distance(m, c) <= quality.WEIGHT_BOUND]
+    inside = data[distance(m, c) <= quality.bound_of(0.975)]
     assert np.allclose(mean, inside.mean(axis=0), atol=0.05)
     assert np.abs(mean).max() < 0.3  # the tenth that lies far off doesn't move it
 
@@ -182,6 +247,19 @@ def test_minhash_equals_brute_force(spark, size):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == brute_components(rows, size)
 
 
+def test_minhash_links_rows_of_one_id(spark):
+    rng = random.Random(11)
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    t, u, v = say(), say(), say()
+    near = " ".join([*u.split()[:-1], "changed"])
+    rows = [(1, t), (5, t), (5, u), (7, u), (8, near), (9, v), (9, v), (10, v), (10, say())]
+    for size in (2, 5):
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size).collect()
+        assert Counter((r.doc_id, r.component_id) for r in found) == Counter([(1, 1), (5, 1), (5, 1), (7, 1), (8, 1), (9, 9), (9, 9), (10, 9), (10, 9)])
+    found = minhash.near_duplicates(spark.createDataFrame([(1, t), (2, u), (2, v), (3, v)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 2), (3, 2)}
+
+
 def met_pairs(spark, leader, members):
     """What _meeting finds in the star of a leader (node 0) and members (nodes 1, 2, ...), and the links that it has to find."""
     alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
@@ -252,6 +330,18 @@ def test_warc_records_and_ranges(spark):
     assert warc.joined_ranges([(0, 10), (12, 5), (200, 5)], gap=4, most=100) == [(0, 17, [0, 1]), (200, 205, [2])]
 
 
+def test_warc_query_of_repeated_page_ids(spark, tmp_path):
+    a, b = "<p>" + "a" * 200, "<p>" + "b" * 300
+    urls = ["http://a/x y\t%20é", "\u2028 ", None, "http://c"]
+    rows = [(1, urls[0], a), (1, urls[1], b), (2, urls[2], b), (3, urls[3], a), (3, urls[3], a)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = sorted(map(tuple, warc.op4_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, 203, digest(a), "response", None), (1, 303, digest(b), "response", None), (2, 303, digest(b), "revisit", 1), (3, 203, digest(a), "revisit", 1), (3, 203, digest(a), "revisit", 1)], key=str)
+    index = warc.write_archives(table(spark, str(tmp_path), "pages"), shared_path(spark, "warc-test"))
+    assert sorted(r.url for r in warc.read_records(index).collect()) == sorted([urls[0], urls[1], "", urls[3], urls[3]])
+
+
 # 5 Substring dedup
 
 
@@ -428,6 +518,73 @@ def test_decontamination_catches_reordered_passages(spark):
     assert decontaminate.leaks(a.limit(0), b).count() == 0 and decontaminate.leaks(a, b.limit(0)).count() == 0
 
 
+def brute_tiles(doc, item, seed):
+    """Greedy string tiling from its definition: the longest match of free words is marked, again and again. Returns the marked words and tiles."""
+    used_doc, used_item, marked, n_tiles = set(), set(), 0, 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_doc and j + n not in used_item:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < seed:
+            return marked, n_tiles
+        used_doc.update(range(i, i + n))
+        used_item.update(range(j, j + n))
+        marked, n_tiles = marked + n, n_tiles + 1
+
+
+def brute_leaks(docs, items, seed=5, coverage=0.5):
+    """(doc_id, item_id) to tiled words and tiles, over all documents and items that share any ``seed`` words (without them nothing is tiled)."""
+    import regex
+
+    split = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    split_items = [(k, w, min(seed, len(w))) for k, t in items if (w := split(t))]
+    found = {}
+    for doc_id, text in docs:
+        words = split(text)
+        of_size = {n: grams(words, n) for n in {n for _, _, n in split_items}}
+        for item_id, item, size in split_items:
+            if of_size[size] & grams(item, size):
+                n, tiles = brute_tiles(words, item, size)
+                if n >= coverage * len(item):
+                    found[doc_id, item_id] = (n, len(item), tiles)
+    return found
+
+
+def test_decontamination_equals_brute_force_over_documents(spark):
+    """The whole smallest table (but for texts of over 3000 characters, which take brute force hours), broadcast seeds and join alike."""
+    docs = table(spark, DATA, "documents").where("length(text) <= 3000")
+    bench = table(spark, DATA, "benchmark")
+    want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    assert want
+    for most in (10**6, 0):
+        got = {(r.doc_id, r.item_id): (r.tiled_words, r.item_words, r.n_tiles) for r in decontaminate.leaks(docs, bench, most_seeds=most).collect()}
+        assert got == want
+    whole = [{(r.doc_id, r.item_id): tuple(r) for r in decontaminate.leaks(table(spark, DATA, "documents"), bench, most_seeds=most).collect()} for most in (10**6, 0)]
+    assert whole[0] == whole[1] and set(want) <= set(whole[0])
+
+
+def test_decontamination_with_phrases_that_all_items_share(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "EXPANDED", 50)
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    phrase = say(8)
+    items = [(k, " ".join(phrase + say(12) + (phrase if k % 3 else say(8)))) for k in range(12)] + [(None, "w1 w2"), (20, "w3"), (20, " ".join(phrase))]
+    docs = [(d, " ".join(say(20) + rng.choice(items)[1].split()[rng.randrange(4) :] + phrase * (d % 3) + say(20))) for d in range(40)] + [(None, None), (41, "")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    numbered = b.withColumn("item_id", F.coalesce("item_id", F.lit(-1)) * 1000 + F.length("text"))
+    want = brute_leaks(docs, [(r.item_id, r.text) for r in numbered.collect()])
+    for most in (10**6, 0):
+        assert {(r.doc_id, r.item_id): (r.tiled_words, r.item_words, r.n_tiles) for r in decontaminate.leaks(a, numbered, most_seeds=most).collect()} == want
+        assert decontaminate.leaks(a, b, most_seeds=most).count() == len(want)
+
+
 def test_tiles_are_greedy():
     doc, item = np.array([1, 2, 3, 9, 4, 5, 6, 7, 9, 3, 4], np.uint64), np.array([1, 2, 3, 4, 5, 6, 7], np.uint64)
     at = [(i, j) for i in range(10) for j in range(6) if (doc[i : i + 2] == item[j : j + 2]).all()]
@@ -444,6 +601,41 @@ def test_language_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
 
 
+def brute_language(texts, learned, size):
+    """Language and score of each text by the definition of the out-of-place distance, in plain Python."""
+
+    def profile(rows):
+        counts = Counter()
+        for text in rows:
+            clean = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+            padded = "\1" + "\1".join(clean) + "\1" if clean else ""
+            for n in (1, 2, 3):
+                counts.update(g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g != "\1")
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+    places = {lang: {g: k for k, g in enumerate(profile(rows))} for lang, rows in learned.items()}
+    out = []
+    for text in texts:
+        own = profile([text])
+        far = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(far), key=far.get) if own else None
+        out.append((best, 1 - far[best] / (size * len(own))) if own else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rows = [(d, t, x) for d, t, x, _ in texts_of()]
+    learned = defaultdict(list)
+    for d, t, x in rows:
+        if x is not None and t is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            learned[x].append(t)
+    want = brute_language([t for _, t, _ in rows], learned, language.PROFILE)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op8_language(spark, DATA).collect()}
+    for (d, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[d][0] == lang and abs(got[d][1] - score) < 1e-12
+
+
 def test_language_odd_rows(spark, odd):
     profiles = language.learn_profiles(table(spark, DATA, "documents"))
     found = language.predict(odd, profiles)

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -36,8 +37,23 @@ def test_stages_equal_brute_force(spark):
 def test_stages_take_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "some words in a text " * 20, "en", "a", 5), (None, "some words in a text " * 20, "en", "a", 5), (2, "some words in a text " * 20, "en", None, 5), (2, "some words in a text " * 20, "en", None, 5), (3, "", "de", "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    # No letter: gone. Rows of one doc_id: one stays. Rows without an id repeat its passages, which are cut out, and nothing is left.
+    # No letter: gone. Of rows with equal texts that with the smallest id stays.
     for df, n in ((docs, 1), (docs.limit(0), 0)):
         for name, stage in corpus_pipeline.STAGES[:4]:
             df = stored(stage(spark, df, DATA), name)
         assert df.count() == n
+
+
+def test_stages_decide_on_rows_not_ids(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    one, other, lone, lost = say(80), say(80), say(80), say(80)
+    near = " ".join(["changed", *one.split()[1:]])
+    item = next(r.text for r in table(spark, DATA, "benchmark").collect() if r.text and len(r.text.split()) > 20)
+    rows = [(1, one), (1, other), (2, near), (None, lone), (None, lone), (None, near), (None, lost), (3, f"{say(30)} {item} {say(30)}"), (None, f"{say(30)} {item} {say(30)}"), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_number", F.lit("mine"))
+    kept = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[k] for k in (0, 1, 3, 6, 7, 8, 9, 11)])
+    clean = corpus_pipeline.decontamination(spark, docs, DATA)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for k, r in enumerate(rows) if k not in (7, 8))
