@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import shared_path, table
+from siftlake.llm.common import shared_path, stored, table
 from siftlake.llm.decontaminate import leaks
 from siftlake.llm.language import UNKNOWN, learn_profiles, predict
 from siftlake.llm.minhash import near_duplicates
@@ -26,12 +26,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Each row as ``_row``, with ``_key``: a positive number for its doc_id (null or not) and text. Decisions are about rows, not about ids."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").bitwiseAND((1 << 63) - 1)
+    return docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group; rows with a null ``doc_id`` belong to no group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_number", number).where("_number = 1").drop("_number")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near-duplicate texts: that with the smallest ``doc_id`` (null counts as largest), and one of rows that repeat it.
+
+    Rows that share a ``doc_id`` are documents of their own; a text without words is in no group, but a row that repeats it goes.
+    """
+    keyed = _keyed(docs)
+    grouped = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", "_row.doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    kept = stored(grouped.join(ids, "_key").groupBy("component_id").agg(first.alias("first")).select("first._key"), "kept")
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_row"))
+    return keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_number", number).where("_number = 1").select("_row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +52,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows with a leaked benchmark item go, whatever their ``doc_id``."""
+    keyed = _keyed(docs)
+    found = leaks(keyed.select(F.col("_key").alias("doc_id"), "_row.text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
