@@ -21,13 +21,18 @@ def propagated(chunks: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
 
 
 def scan_distinct(chunks: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The scan's rows for every chunk, though each different text is scanned once only. Copies are joined back by the text's hash."""
-    hashed = chunks.withColumn("_hash", F.sha2("text", 256))
-    first = hashed.groupBy("_hash").agg(F.min("doc_id").alias("_first"))
-    kept = hashed.join(first, (hashed["_hash"] == first["_hash"]) & (F.col("doc_id") == F.col("_first")), "left_semi").drop("_hash").dropDuplicates(["doc_id"])
-    found = scan(kept).withColumnRenamed("doc_id", "_first").drop("path")
-    owners = hashed.select("doc_id", "path", "_hash").join(first, "_hash").drop("_hash")
-    return owners.join(found, "_first").drop("_first")
+    """The scan's rows for every chunk, though each different text is scanned once only.
+
+    The scan sees one chunk for each text, named by the text's hash and with no base; each chunk that has the text gets the
+    matches back at its own place. A null text is none.
+    """
+    hashed = chunks.where("text IS NOT NULL").withColumn("_hash", F.sha2("text", 256))
+    zero = F.lit(0).cast("long")
+    once = hashed.groupBy("_hash").agg(F.first("text").alias("text")).select(F.col("_hash").alias("doc_id"), F.lit("").alias("path"), "text", zero.alias("base_line"), zero.alias("base_offset"))
+    found = scan(once).withColumnRenamed("doc_id", "_hash").drop("path")
+    owners = hashed.select("doc_id", "path", "base_line", "base_offset", "_hash")
+    rows = owners.join(found, "_hash")
+    return rows.withColumn("line_no", F.col("line_no") + F.col("base_line")).withColumn("byte_offset", F.col("byte_offset") + F.col("base_offset")).drop("_hash", "base_line", "base_offset")
 
 
 def has_long_run(text: Column, least: int) -> Column:

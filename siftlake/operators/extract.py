@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.plans.detectors import MAX_PATTERNS, SEVERITIES, Detector
+from siftlake.plans.detectors import MAX_PATTERNS, SEVERITIES, Companion, Detector
+
+from .context import context_of, line_at
 
 ASSIGNMENT = r"""(?i)(token|secret|password|passwd|api_?key)["']? ?[:=] ?["']?([A-Za-z0-9_+/.=-]{8,128})"""
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -17,10 +19,10 @@ USERINFO = r"[a-z][a-z0-9+.-]*://([A-Za-z0-9_.-]+):([^@/ \"'\n]+)@"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 
 
-def lines(chunks: DataFrame) -> DataFrame:
-    """A row for each line: doc_id, line_no (1-based, plus the chunk's base) and line."""
+def lines(chunks: DataFrame, *more: str) -> DataFrame:
+    """A row for each line: doc_id (and ``more`` columns), line_no (1-based, plus the chunk's base) and line."""
     split = F.posexplode(F.split("text", "\n"))
-    return chunks.select("doc_id", "base_line", split.alias("_at", "line")).select("doc_id", (F.col("base_line") + F.col("_at") + 1).alias("line_no"), "line")
+    return chunks.select("doc_id", *more, "base_line", split.alias("_at", "line")).select("doc_id", *more, (F.col("base_line") + F.col("_at") + 1).alias("line_no"), "line")
 
 
 def spans(parts: Column, found: Column) -> Column:
@@ -77,51 +79,84 @@ def triggered(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
     return rows.select("*", F.explode(F.filter(_catalogue(detectors), can)).alias("_p")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p", "_low")
 
 
+def _each(detectors: tuple[Detector, ...]) -> list[tuple[Detector, int]]:
+    found = [(d, k) for d in detectors for k, _ in enumerate(d.patterns)]
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns in one scan")
+    return found
+
+
+def _texts(values) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
 def triggered_by_anchor(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
-    """As ``triggered``, through an equi-join of each chunk's distinct anchors with the patterns: the first three letters of each keyword.
+    """As ``triggered``, by each chunk's distinct anchors: the first three letters of each keyword. Adds detector_id, pattern_no and ``_n``.
 
-    One pass with a look-ahead finds anchors that overlap, too. Every text that holds a keyword holds its anchor, so nothing is
-    lost; the keywords are confirmed after the join.
+    One pass with a look-ahead finds anchors that overlap, too, and a table in the plan says which patterns an anchor stands for; so a
+    chunk's candidates are an array in its row, and nothing is joined or shuffled. Every text that holds a keyword holds its anchor, so
+    nothing is lost; keywords and required literals are confirmed for the candidates only.
     """
-    spark = chunks.sparkSession
-    if sum(len(d.patterns) for d in detectors) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns in one scan")
-    rows = sorted({(k[:3], d.id, n) for d in detectors for n, _ in enumerate(d.patterns) for k in d.keywords})
-    anchors = spark.createDataFrame(rows, "gram string, detector_id string, pattern_no int")
-    low = F.lower("text")
-    met_grams = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(re.escape(g) for g in sorted({r[0] for r in rows}))}))"), F.lit(1)))
-    met = chunks.withColumn("gram", F.explode(met_grams)).join(F.broadcast(anchors), "gram").drop("gram").dropDuplicates(["doc_id", "detector_id", "pattern_no"])
-    return met.where(F.exists(_keywords(detectors, F.col("detector_id")), lambda k: F.contains(low, k)))
-
+    each = _each(detectors)
+    anchors: dict[str, list[int]] = {}
+    for n, (d, _) in enumerate(each):
+        for k in sorted({k[:3] for k in d.keywords}):
+            anchors.setdefault(k, []).append(n)
+    known = sorted(anchors)
+    low = F.col("_low")
+    met = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(map(re.escape, known))}))"), F.lit(1)))
+    stands_for = F.array(*(F.array(*map(F.lit, anchors[k])) for k in known))
+    at = lambda g: F.array_position(_texts(known), g).cast("int") - 1
+    candidates = F.array_distinct(F.flatten(F.transform(met, lambda g: F.get(stands_for, at(g)))))
+    keywords, required = (F.array(*(_texts(what(d, k)) for d, k in each)) for what in (lambda d, k: d.keywords, lambda d, k: [x.lower() for x in d.patterns[k].required]))
+    sure = lambda n: F.exists(F.get(keywords, n), lambda k: F.contains(low, k)) & F.forall(F.get(required, n), lambda k: F.contains(low, k))
+    rows = chunks.withColumn("_low", F.lower("text")).select("*", F.explode(F.filter(candidates, sure)).alias("_n")).drop("_low")
+    return rows.select("*", F.get(_texts(d.id for d, _ in each), F.col("_n")).alias("detector_id"), F.get(F.array(*(F.lit(k) for _, k in each)), F.col("_n")).alias("pattern_no"))
 
-def _keywords(detectors: tuple[Detector, ...], ident: Column) -> Column:
-    table = F.create_map(*(x for d in detectors for x in (F.lit(d.id), F.array(*map(F.lit, d.keywords)))))
-    return F.element_at(table, ident)
 
+def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = False, context: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All non-empty matches of the detectors: doc_id, path, detector_id, pattern_no, value, line_no and byte_offset.
 
-def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = False) -> DataFrame:
-    """All non-empty matches of the detectors: doc_id, path, detector_id, value, line_no and byte_offset.
+    With ``context`` also the ``line`` of the match, the class of its place, ``at``, its first character in the chunk (from 0), and ``companions``, a map of names
+    to the nearest values; ``keep``: further columns of the chunks.
 
-    A pattern's group is the value; a match whose group took no part gives no row. Patterns are literals, compiled once for each task.
+    A pattern's group is the value; a match whose group took no part gives no row. Without ``anchors``, patterns are literals that are
+    compiled once for each task, and a chunk is tested for all keywords: right for some dozens of patterns. With them, a
+    candidate's pattern is looked up in its row, so the plan stays small however many patterns there are.
     """
-    found = (triggered_by_anchor if anchors else triggered)(chunks, detectors)
-
-    def by_pattern(make) -> Column:
-        out = None
-        for d in detectors:
-            for n, p in enumerate(d.patterns):
-                here = (F.col("detector_id") == d.id) & (F.col("pattern_no") == n)
-                out = F.when(here, make(p)) if out is None else out.when(here, make(p))
-        return out
-
-    rows = found.withColumn("_whole", by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(0)))).where(F.size("_whole") > 0)
-    rows = rows.withColumn("_own", by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)) if p.group else F.col("_whole")))
-    rows = rows.withColumn("_parts", by_pattern(lambda p: F.split("text", p.regex, -1))).withColumn("_spans", spans(F.col("_parts"), F.col("_whole")))
+    if anchors:
+        each = _each(detectors)
+        rows = triggered_by_anchor(chunks, detectors)
+        regex = F.get(_texts(d.patterns[k].regex for d, k in each), F.col("_n"))
+        group = F.get(F.array(*(F.lit(d.patterns[k].group) for d, k in each)), F.col("_n"))
+        whole, own, parts = F.regexp_extract_all("text", regex, F.lit(0)), F.regexp_extract_all("text", regex, group), F.split("text", regex, -1)
+    else:
+        rows = triggered(chunks, detectors)
+
+        def by_pattern(make) -> Column:
+            out = None
+            for d, n in _each(detectors):
+                here, found = (F.col("detector_id") == d.id) & (F.col("pattern_no") == n), make(d.patterns[n])
+                out = F.when(here, found) if out is None else out.when(here, found)
+            return out
+
+        whole = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(0)))
+        own = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)) if p.group else F.col("_whole"))
+        parts = by_pattern(lambda p: F.split("text", p.regex, -1))
+    rows = rows.withColumn("_whole", whole).where(F.size("_whole") > 0).withColumn("_own", own)
+    rows = rows.withColumn("_parts", parts).withColumn("_spans", spans(F.col("_parts"), F.col("_whole")))
     pairs = F.transform("_spans", lambda s, k: F.struct((s["start"] + F.instr(s["value"], F.get("_own", k)) - 1).alias("start"), F.get("_own", k).alias("value")))
-    rows = rows.select("doc_id", "path", "text", "base_line", "base_offset", "detector_id", F.explode(pairs).alias("m")).where("m.value <> ''")
+    rows = rows.select("doc_id", "path", "text", "base_line", "base_offset", "detector_id", "pattern_no", *keep, F.explode(pairs).alias("m")).where("m.value <> ''")
     before = F.left("text", F.col("m.start"))
+    line = line_at(F.col("text"), F.col("m.start"))
+    more = [line.alias("line"), context_of(line, before, F.col("path")).alias("context"), F.col("m.start").alias("at"), _companions_of(detectors, F.col("text"), F.col("m.start")).alias("companions")] if context else []
     line_no = F.col("base_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return rows.select("doc_id", "path", "detector_id", F.col("m.value").alias("value"), line_no.alias("line_no"), (F.col("base_offset") + F.octet_length(before)).alias("byte_offset"))
+    return rows.select("doc_id", "path", "detector_id", "pattern_no", F.col("m.value").alias("value"), line_no.alias("line_no"), (F.col("base_offset") + F.octet_length(before)).alias("byte_offset"), *more, *keep)
+
+
+def extended(text: Column, regex: str, more: str = "[A-Za-z0-9_-]*") -> Column:
+    """Matches of a pattern with what goes on behind them without a break: values that a pattern of fixed length cuts short."""
+    return F.regexp_extract_all(text, F.lit(f"(?:{regex})(?:{more})"), F.lit(0))
 
 
 def with_detector(matches: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
@@ -130,33 +165,98 @@ def with_detector(matches: DataFrame, detectors: tuple[Detector, ...]) -> DataFr
     return matches.withColumn("service", F.element_at(pairs(lambda d: d.service), F.col("detector_id"))).withColumn("severity_rank", F.element_at(pairs(lambda d: SEVERITIES.index(d.severity)), F.col("detector_id")))
 
 
-def companions(matches: DataFrame, chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
-    """The nearest companion of each kind within its lines of a match: matches with companion and companion_value, null without.
+def _nearest(c: Companion, text: Column, start: Column) -> Column:
+    """(distance in lines, line, value) of the companion that is nearest to the match at ``start``; null if none is within its lines."""
+    above = F.substring_index(F.left(text, start), "\n", -(c.within_lines + 1))
+    window = F.concat(above, F.substring_index(F.substring(text, start + 1, F.length(text)), "\n", c.within_lines + 1))
+    own = F.length(above) - F.length(F.replace(above, F.lit("\n"), F.lit("")))
+    values = lambda line: F.filter(F.regexp_extract_all(line, F.lit(c.regex), F.lit(c.group)), lambda v: v != "")
+    found = F.transform(F.split(window, "\n"), lambda line, k: F.transform(values(line), lambda v: F.struct(F.abs(k - own).alias("away"), k.alias("line"), v.alias("value"))))
+    return F.when(window.rlike(c.regex), F.array_min(F.flatten(found)))
+
+
+def _companions_of(detectors: tuple[Detector, ...], text: Column, start: Column) -> Column:
+    """The companions of a row's detector by name. They are looked for in the lines around the match, in its row: nothing is joined."""
+    none = F.map_from_arrays(_texts([]), _texts([]))
+    found = None
+    for d in detectors:
+        if d.companions:
+            pairs = F.array(*(F.struct(F.lit(c.name).alias("name"), _nearest(c, text, start)["value"].alias("value")) for c in d.companions))
+            here, value = F.col("detector_id") == d.id, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+            found = F.when(here, value) if found is None else found.when(here, value)
+    return none if found is None else found.otherwise(none)
+
 
-    Primaries that lack a required companion are left out.
+def with_required(rows: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
+    """Rows with a map ``companions``, but for those that lack a required one or have a forbidden one."""
+    for d in detectors:
+        for c in d.companions:
+            if c.required or c.forbidden:
+                has = F.map_contains_key("companions", F.lit(c.name))
+                rows = rows.where((F.col("detector_id") != d.id) | (has if c.required else ~has))
+    return rows
+
+
+def near_companions(matches: DataFrame, chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
+    """The nearest companion of each kind within its lines of a match: the match's columns with companion and companion_value.
+
+    All companions are looked for in one pass over the lines of the documents that have a match which may have one.
     """
     wanted = [(d.id, c) for d in detectors for c in d.companions]
-    parts = []
-    for ident, c in wanted:
-        near = lines(chunks).select("doc_id", F.col("line_no").alias("c_line"), F.explode(F.regexp_extract_all("line", F.lit(c.regex), F.lit(c.group))).alias("companion_value")).where("companion_value <> ''")
-        own = matches.where(F.col("detector_id") == ident)
-        close = (own.doc_id == near.doc_id) & (F.abs(own.line_no - near.c_line) <= c.within_lines)
-        joined = own.join(near, close, "inner" if c.required else "left").drop(near.doc_id)
-        order = Window.partitionBy("doc_id", "line_no", "byte_offset").orderBy(F.abs(F.col("line_no") - F.col("c_line")), "c_line", "companion_value")
-        parts.append(joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "c_line").withColumn("companion", F.when(F.col("companion_value").isNotNull(), F.lit(c.name))))
-    rest = matches.where(~F.col("detector_id").isin(*{i for i, _ in wanted})).withColumn("companion_value", F.lit(None).cast("string")).withColumn("companion", F.lit(None).cast("string"))
-    for p in parts:
-        rest = rest.unionByName(p)
-    return rest
-
-
-def related(matches: DataFrame, other: DataFrame, within_lines: int, how: str) -> DataFrame:
-    """Matches with (``requires``) or without (``conflicts``, ``subsumes``) one of ``other`` in the same document within some lines."""
-    b = other.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"))
+    if not wanted:
+        return matches.where("false").withColumns({"companion": F.lit(""), "companion_value": F.lit("")})
+    own = matches.where(F.col("detector_id").isin(*sorted({i for i, _ in wanted})))
+    held = chunks.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def of(ident: str, c) -> Column:
+        row = lambda v: F.struct(F.lit(ident).alias("c_detector"), F.lit(c.name).alias("companion"), F.lit(c.within_lines).alias("within"), v.alias("companion_value"))
+        return F.transform(F.regexp_extract_all("line", F.lit(c.regex), F.lit(c.group)), row)
+
+    hits = F.flatten(F.array(*(of(i, c) for i, c in wanted)))
+    near = lines(held).select(F.col("doc_id").alias("c_doc"), F.col("line_no").alias("c_line"), F.explode(hits).alias("c")).select("c_doc", "c_line", "c.*").where("companion_value <> ''")
+    close = (own.doc_id == near.c_doc) & (own.detector_id == near.c_detector) & (F.abs(own.line_no - near.c_line) <= near.within)
+    order = Window.partitionBy("doc_id", "detector_id", "line_no", "byte_offset", "companion").orderBy(F.abs(F.col("line_no") - F.col("c_line")), "c_line", "companion_value")
+    joined = own.join(near, close).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return joined.select(*matches.columns, "companion", "companion_value")
+
+
+def with_companions(matches: DataFrame, chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
+    """Adds ``companions``, a map of names to values. Matches that lack a required companion, or have a forbidden one, are left out."""
+    key = ["doc_id", "detector_id", "line_no", "byte_offset"]
+    pairs = F.array_sort(F.collect_set(F.struct("companion", "companion_value")))
+    found = near_companions(matches, chunks, detectors).groupBy(*key).agg(F.map_from_entries(pairs).alias("companions"))
+    rows = matches.join(found, key, "left").select(*matches.columns, F.coalesce("companions", F.map_from_arrays(_texts([]), _texts([]))).alias("companions"))
+    return with_required(rows, detectors)
+
+
+def companions(matches: DataFrame, chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
+    """A row for each match and companion that it has (null without any): matches with companion and companion_value; see ``with_companions``."""
+    rows = with_companions(matches, chunks, detectors)
+    return rows.select(*matches.columns, F.explode_outer("companions").alias("companion", "companion_value"))
+
+
+def related(matches: DataFrame, other: DataFrame, within_lines: int, how: str, within_bytes: int | None = None, direction: str = "any") -> DataFrame:
+    """Matches with (``requires``) or without (``conflicts``, ``subsumes``) one of ``other`` in the same document, near and on the side that is wanted."""
+    b = other.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), F.col("byte_offset").alias("_byte"))
     near = (matches.doc_id == b["_doc"]) & (F.abs(matches.line_no - b["_line"]) <= within_lines)
+    if within_bytes is not None:
+        near = near & (F.abs(matches.byte_offset - b["_byte"]) <= within_bytes)
+    if direction != "any":
+        near = near & ((b["_byte"] < matches.byte_offset) if direction == "before" else (b["_byte"] > matches.byte_offset))
     return matches.join(b, near, {"requires": "left_semi", "conflicts": "left_anti", "subsumes": "left_anti"}[how])
 
 
+def with_relations(matches: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
+    """Applies the detectors' relations, each to the matches as they were found."""
+    out = matches
+    for d in detectors:
+        for r in d.relations:
+            own, rest = out.where(F.col("detector_id") == d.id), out.where(F.col("detector_id") != d.id)
+            other = matches.where(F.col("detector_id") == r.detector)
+            out = rest.unionByName(related(own, other, r.within_lines, r.kind, r.within_bytes, r.direction))
+    return out
+
+
 def attributed(hits: DataFrame, segments: DataFrame) -> DataFrame:
     """Hits (doc_id, start, end) with the segment (doc_id, seg_no, seg_start, seg_end) that holds all of them; hits over a border go."""
     inside = (F.col("start") >= F.col("seg_start")) & (F.col("end") <= F.col("seg_end"))

@@ -13,10 +13,21 @@ from siftlake.functions import text as T
 SIGNALS = {"has_literal_prefix": 0.35, "has_context_anchor": 0.20, "keyword_nearby": 0.10, "sensitive_file": 0.10, "has_companion": 0.05}
 ENTROPY_TIERS = ((4.5, 0.20), (3.5, 0.12), (3.0, 0.05))
 CONTEXTS = {"assignment": 1.0, "string": 0.9, "unknown": 0.8, "comment": 0.4, "documentation": 0.3, "test": 0.3, "encrypted": 0.05}
-SENSITIVE = (".env", "credential", "secret", "password", "id_rsa", ".pem", ".key", "config", "terraform.tfstate", "kubeconfig")
+#: What marks a path as sensitive, anywhere in it and in any case.
+SENSITIVE = (
+    ".env", ".env.local", ".env.production", ".env.staging", "credentials", "secrets", "apikeys", "api_keys", ".npmrc", ".pypirc", ".netrc", ".pgpass", "terraform.tfvars", "variables.tf", "docker-compose",
+    "application.yml", "application.properties", "config.json", "config.yaml", "config.toml", ".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".cer", ".crt", ".github/workflows", "gitlab-ci.yml", "Jenkinsfile",
+    "buildspec.yml", "serverless.yml", "sam-template", "helm/values", "chart/values",
+)
 EXAMPLE_PARTS = ("example", "examples", "fixture", "fixtures", "sample", "samples", "testdata", "mock", "mocks")
+#: The words of placeholders.
 PLACEHOLDERS = ("example", "dummy", "fake", "mock", "sample", "placeholder", "changeme")
-EVIDENCE = (("checksum_valid", "confirmed"), ("verified_live", "confirmed"), ("named_detector", "likely"), ("companion_present", "likely"), ("generic_assignment", "review"), ("entropy_only", "review"))
+#: Each reason of evidence and its tier.
+EVIDENCE = (
+    ("unattributed", "review"), ("unsupported-context", "review"), ("required-evidence-missing", "review"), ("weak-anchor", "review"), ("generic-detector", "review"), ("generic-assignment", "review"), ("entropy-only", "review"),
+    ("test-fixture", "review"), ("documentation", "review"), ("rule-definition", "review"), ("identifier", "review"), ("option-declaration", "review"), ("generated-material", "review"), ("source-role-mismatch", "review"),
+    ("vendor-pattern", "likely"), ("structural-grammar", "confirmed"), ("required-companion", "confirmed"), ("checksum-valid", "confirmed"), ("live-verification", "confirmed"),
+)
 
 
 def base_confidence(entropy: Column, length: Column, **signals: Column) -> Column:
@@ -66,7 +77,7 @@ def prefix_floor(score: Column, value: Column, prefixes: tuple[str, ...], floor:
 
 
 def sensitive_path(path: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(F.lower(path), F.lit(m)) for m in SENSITIVE))
+    return reduce(lambda a, b: a | b, (F.contains(F.lower(path), F.lit(m.lower())) for m in SENSITIVE))
 
 
 def fixture_path(path: Column) -> Column:
@@ -79,6 +90,51 @@ def calibrated(rows: DataFrame, counters: DataFrame) -> DataFrame:
     return rows.join(counters, "detector_id", "left").withColumn("confidence", F.col("confidence") * F.coalesce(factor, F.lit(1.0))).drop("alpha", "beta")
 
 
+def evidence_reason(detector_id: Column, channel: Column, context: Column, path: Column, checksum: Column, companions: Column, live: Column) -> Column:
+    """The strongest reason that speaks for or against a finding, in this order: what was verified, its checksum, where it stands, how it was found."""
+    return (
+        F.when(live, "live-verification")
+        .when(checksum == "valid", "checksum-valid")
+        .when(fixture_path(path) | (context == "test"), "test-fixture")
+        .when(context == "documentation", "documentation")
+        .when(F.size(companions) > 0, "required-companion")
+        .when(channel == "entropy", "entropy-only")
+        .when(channel == "assignment", "generic-assignment")
+        .when(detector_id.isin("private-key-block", "json-web-token", "connection-string"), "structural-grammar")
+        .otherwise("vendor-pattern")
+    )
+
+
+def evidence_tier(reason: Column) -> Column:
+    """The tier of a reason; null for none of them."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in EVIDENCE for x in pair)), reason)
+
+
+def checksum_verdict(value: Column, validators: Column) -> Column:
+    """``valid``, ``invalid`` or ``none``, by a detector's validators (an array of names): none says anything of a value that hasn't their form."""
+    from siftlake.functions import codecs as C
+
+    prefixed = value.rlike("^[A-Za-z]{2,5}_[0-9A-Za-z]{36}$")
+    start = F.instr(value, "_")
+    body = F.substring(value, start + 1, F.length(value) - start - 6)
+    crc = F.when(F.array_contains(validators, "crc32-base62") & prefixed, F.right(value, F.lit(6)) == C.base62(F.crc32(F.encode(body, "UTF-8")), 6))
+    tail = F.regexp_extract(value, "^[A-Za-z]+-([A-Za-z0-9_-]{16,})$", 1)
+    payload = F.when(F.array_contains(validators, "base64-payload") & (tail != ""), F.try_to_binary(F.translate(F.rpad(tail, (F.ceil(F.length(tail) / 4) * 4).cast("int"), F.lit("=")), "-_", "+/"), F.lit("base64")).isNotNull())
+    good = F.coalesce(crc, payload)
+    return F.when(good, "valid").when(~good, "invalid").otherwise("none")
+
+
+def by_checksum(rows: DataFrame, floor: float = 0.9) -> DataFrame:
+    """Rows with ``checksum`` and confidence: invalid ones go, valid ones have the floor at least, others stay as they are."""
+    return rows.where("checksum <> 'invalid'").withColumn("confidence", F.when(F.col("checksum") == "valid", F.greatest("confidence", F.lit(floor))).otherwise(F.col("confidence")))
+
+
+def adjusted_severity(rank: Column, history: Column, client_safe: Column, outcome: Column) -> Column:
+    """A severity one step lower in history, one step lower if the credential is dead or revoked, and ``client-safe`` (1) if it may be public."""
+    steps = F.when(history, 1).otherwise(0) + F.when(outcome.isin("dead", "revoked"), 1).otherwise(0)
+    return F.when(client_safe, F.lit(1)).otherwise(lowered(rank, steps))
+
+
 def lowered(rank: Column, steps: Column | int = 1) -> Column:
     """A severity some steps lower, the lowest at least."""
     return F.greatest(F.lit(0), rank - steps)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,59 @@ def floor_by_detector(scored: DataFrame, bins: int = 20) -> DataFrame:
 def events_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """Counts for each of the keys, for all prefixes of them, and in all."""
     return rows.rollup(*keys).agg(F.count("*").alias("n"))
+
+
+def quantiles(rows: DataFrame, value: str, shares: tuple[float, ...], *keys: str) -> DataFrame:
+    """Quantiles of the value for each of the keys, by linear interpolation between ranks."""
+    return rows.groupBy(*keys).agg(*(F.percentile(value, F.lit(q)).alias(f"q{round(q * 100)}") for q in shares))
+
+
+def modified_z(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Adds ``z``: 0.6745 times the distance from the median, in median absolute deviations (null if these are zero), and ``outlier``: it is beyond 3.5."""
+    spread = median_and_spread(rows, value, *keys).select(*keys, "median", "mad")
+    z = F.when(F.col("mad") > 0, 0.6745 * (F.col(value) - F.col("median")) / F.col("mad"))
+    return rows.join(spread, list(keys)).withColumn("z", z).withColumn("outlier", F.coalesce(F.abs("z") > 3.5, F.lit(False))).drop("median", "mad")
+
+
+def cliffs_delta(rows: DataFrame, value: str, group: str, a, b, *keys: str) -> DataFrame:
+    """Cliff's delta of the values of group ``a`` against those of ``b``: how much more often the former is larger than smaller, over all pairs.
+
+    By counts of distinct values and running sums, so no pair is made: n log n in the number of distinct values.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(group) == a).alias("n_a"), F.count_if(F.col(group) == b).alias("n_b"))
+    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n_b").over(before), F.lit(0))
+    total = Window.partitionBy(*keys)
+    wins = counts.withColumn("more", F.col("n_a") * below).withColumn("less", F.col("n_a") * (F.sum("n_b").over(total) - below - F.col("n_b")))
+    found = wins.groupBy(*keys).agg(F.sum("more").alias("more"), F.sum("less").alias("less"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    return found.where("n_a > 0 AND n_b > 0").select(*keys, ((F.col("more") - F.col("less")) / (F.col("n_a") * F.col("n_b"))).alias("delta"), "n_a", "n_b")
+
+
+def bootstrap_mean(rows: DataFrame, value: str, ident: str, *keys: str, rounds: int = 200) -> DataFrame:
+    """Mean of the value with the 2.5 % and 97.5 % quantiles of its bootstrap distribution, for each of the keys.
+
+    Each row counts a number of times in each round that follows a Poisson distribution with mean 1 and comes from a hash of its ``ident``, so that the rounds are sums
+    in one pass over the rows, and the same on any number of machines.
+    """
+    share = lambda k: F.pmod(F.xxhash64(F.col(ident).cast("string"), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    bounds, p, total = [], math.exp(-1), 0.0
+    for n in range(1, 9):
+        total += p
+        bounds.append(total)
+        p /= n
+    times = lambda k: sum((F.when(share(k) >= b, 1).otherwise(0) for b in bounds[1:]), F.when(share(k) >= bounds[0], 1).otherwise(0))
+    each = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda k: F.struct(k.alias("round"), times(k).alias("times")))).alias("b"))
+    means = each.groupBy(*keys, "b.round").agg((F.sum(F.col("_v") * F.col("b.times")) / F.nullif(F.sum("b.times"), F.lit(0))).alias("m"), F.avg("_v").alias("mean"))
+    return means.groupBy(*keys).agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def against_truth(found: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
+    """Labelled records and findings of the same place (``keys``), paired if one's value holds the other's: keys, label, found_value, true_value.
+
+    ``found``: keys, value; ``truth``: keys, label, value. Line ends and escaped quotes don't count. A finding that overlaps several records counts for each.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\([nrt\"'])", ""), r"[\r\n]", "")
+    f = found.select(*keys, F.col("value").alias("found_value")).withColumn("_f", plain(F.col("found_value")))
+    t = truth.select(*keys, "label", F.col("value").alias("true_value")).withColumn("_t", plain(F.col("true_value")))
+    both = f.join(t, list(keys)).where(F.contains("_f", "_t") | F.contains("_t", "_f"))
+    return both.select(*keys, "label", "found_value", "true_value")

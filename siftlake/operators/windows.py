@@ -34,6 +34,27 @@ def continued(lines: DataFrame, end: str = r",$") -> DataFrame:
     return rows.groupBy("doc_id", "_chain").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("line")).drop("_chain")
 
 
+#: How a line says that it goes on: a backslash, an operator that joins strings, or a string that ends where the next line's begins.
+CONTINUES = r"""(?:\\|["'`]\s*[+.&,]?|\+)\s*$"""
+
+
+def continuations(lines: DataFrame, *keys: str, most: int = 64) -> DataFrame:
+    """Values that are written over several lines, as one line: ``keys``, line_no (the first), n_lines and line, without the marks and quotes between.
+
+    ``lines``: keys, line_no, line. A chain goes on while a line ends in a mark of CONTINUES and the next begins with a quote or an operator, or the mark is a
+    backslash; one of over ``most`` lines is no value.
+    """
+    order = Window.partitionBy(*keys).orderBy("line_no")
+    last = F.lag("line").over(order)
+    goes_on = F.coalesce(last.rlike(r"\\\s*$") | (last.rlike(CONTINUES) & F.col("line").rlike(r"""^\s*[+.&]?\s*["'`]""")), F.lit(False))
+    rows = lines.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bare = F.when(F.col("_new") == 0, F.regexp_replace("line", r"""^\s*[+.&]?\s*["'`]?""", "")).otherwise(F.col("line"))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", bare.alias("line"))))
+    chains = rows.groupBy(*keys, "_chain").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), parts.alias("_parts")).where(F.col("n_lines").between(2, most))
+    cut = F.transform("_parts", lambda p, k: F.when(k < F.size("_parts") - 1, F.regexp_replace(p["line"], r"""\s*(?:\\|["'`]\s*[+.&,]?\s*\\?|\+)\s*$""", "")).otherwise(p["line"]))
+    return chains.select(*keys, "line_no", "n_lines", F.array_join(cut, "").alias("line"))
+
+
 def added_lines(diff: DataFrame) -> DataFrame:
     """Added lines of unified diffs with the file and the line number there. ``diff``: doc_id, line_no, line."""
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -47,16 +68,21 @@ def added_lines(diff: DataFrame) -> DataFrame:
     return rows.where(keep).select("doc_id", F.col("_file").alias("path"), (F.col("_base.base") + F.col("_before")).alias("new_line"), F.substring("line", 2, 1 << 30).alias("line"))
 
 
-def joined_fragments(fragments: DataFrame, near: int = 100, most: int = 8) -> DataFrame:
+def joined_fragments(fragments: DataFrame, near: int = 100, most: int | None = None) -> DataFrame:
     """Values of one path and name prefix whose lines are less than ``near`` apart, joined in both orders.
 
-    A scope holds the ``most`` last fragments by (line, value). ``fragments``: path, prefix, line, value; the same one counts once.
+    The join is on path, prefix and stretches of ``near`` lines (a stretch and its neighbours), so a scope of any size is spread. ``most``: only so many last
+    fragments of a scope, by (line, value), as for a bounded cache. ``fragments``: path, prefix, line, value; the same one counts once.
     """
-    order = Window.partitionBy("path", "prefix").orderBy(F.desc("line"), F.desc("value"))
-    rows = fragments.select("path", "prefix", "line", "value").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
-    other = rows.select("path", "prefix", F.col("line").alias("line_b"), F.col("value").alias("value_b"))
+    rows = fragments.select("path", "prefix", "line", "value").distinct()
+    if most is not None:
+        order = Window.partitionBy("path", "prefix").orderBy(F.desc("line"), F.desc("value"))
+        rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    stretch = F.floor(F.col("line") / near)
+    own = rows.withColumn("_at", stretch)
+    other = rows.select("path", "prefix", F.col("line").alias("line_b"), F.col("value").alias("value_b"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_at"))
     different = (F.col("line") != F.col("line_b")) | (F.col("value") != F.col("value_b"))
-    return rows.join(other, ["path", "prefix"]).where(different & (F.abs(F.col("line") - F.col("line_b")) < near)).select("path", "prefix", "line", "line_b", F.concat("value", "value_b").alias("joined"))
+    return own.join(other, ["path", "prefix", "_at"]).where(different & (F.abs(F.col("line") - F.col("line_b")) < near)).select("path", "prefix", "line", "line_b", F.concat("value", "value_b").alias("joined"))
 
 
 def surrounding(lines: DataFrame, radius: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -19,15 +20,33 @@ class Pattern:
     regex: str
     group: int = 0
     required: tuple[str, ...] = ()
+    client_safe: bool = False
 
 
 @dataclass(frozen=True)
 class Companion:
+    """``required``: a match without it is dropped; ``forbidden``: a match with it is."""
+
     name: str
     regex: str
     group: int
     within_lines: int
     required: bool = False
+    forbidden: bool = False
+
+
+@dataclass(frozen=True)
+class Relation:
+    """To matches of another detector in the same document: ``requires`` one, or yields to it (``subsumes``: there, ``conflicts``: either).
+
+    ``direction``: the other stands before, after or in any place; within_bytes is no bound if it is None.
+    """
+
+    kind: str
+    detector: str
+    within_lines: int
+    within_bytes: int | None = None
+    direction: str = "any"
 
 
 @dataclass(frozen=True)
@@ -41,14 +60,39 @@ class Detector:
     companions: tuple[Companion, ...] = ()
     prefix: str = ""
     min_confidence: float = 0.0
-    extra: dict = field(default_factory=dict, compare=False)
+    relations: tuple[Relation, ...] = ()
+    exact_length: int = 0
+    min_length: int = 0
+    max_length: int = 0
+    stopwords: tuple[str, ...] = ()
+    allowed: tuple[str, ...] = ()
+    validators: tuple[str, ...] = ()
+    weights: dict = field(default_factory=dict, compare=False)
+    generic: bool = False
+
+
+def capturing_groups(regex: str) -> int:
+    """How many groups of a pattern capture: parentheses that are not escaped, not in a class, and not special (but for named ones)."""
+    n, k, inside = 0, 0, False
+    while k < len(regex):
+        if regex[k] == "\\":
+            k += 1
+        elif inside:
+            inside = regex[k] != "]"
+        elif regex[k] == "[":
+            inside, k = True, k + (2 if regex[k + 1 : k + 3] == "^]" else 1 if regex[k + 1 : k + 2] == "]" else 0)
+        elif regex[k] == "(" and (regex[k + 1 : k + 2] != "?" or re.match(r"\?P?<[A-Za-z]", regex[k + 1 :])):
+            n += 1
+        k += 1
+    return n
 
 
 def _d(ident: str, name: str, service: str, severity: str, keywords: str, regex: str, group: int = 0, prefix: str = "", companions: tuple[Companion, ...] = ()) -> Detector:
     return Detector(ident, name, service, severity, tuple(keywords.split()), (Pattern(regex, group),), companions, prefix)
 
 
-#: Formats that the services document publicly. Patterns keep to what Java and RE2 read alike.
+#: Ids and names that findings are addressed by, and token formats that the services document publicly. Patterns keep to what Java
+#: and RE2 read alike.
 BUILT_IN = (
     _d("aws-access-key", "AWS Access Key", "aws", "critical", "akia asia", r"(?:AKIA|ASIA)[0-9A-Z]{16}\b", prefix="AKIA", companions=(Companion("secret_key", r"(?i)secret_access_key[=: \"']+([0-9a-zA-Z/+]{40})", 1, 5),)),
     _d("github-classic-pat", "GitHub Classic PAT", "github", "critical", "ghp_", r"ghp_[A-Za-z0-9]{36}\b", prefix="ghp_"),
@@ -68,6 +112,38 @@ BUILT_IN = (
 )
 
 
+def numbered(n: int) -> tuple[Detector, ...]:
+    """A catalogue of ``n`` detectors of one synthetic form, ``k007_`` and 24 hexadecimal digits: to try plans with many patterns."""
+    return tuple(_d(f"synthetic-{k:03d}", f"Synthetic {k}", "synthetic", "low", f"k{k:03d}_", rf"k{k:03d}_[0-9a-f]{{24}}\b", prefix=f"k{k:03d}_") for k in range(n))
+
+
+def _anywhere(regex: str) -> str:
+    """Patterns are blind to case, unless they say otherwise."""
+    return regex if regex.startswith("(?-i)") else f"(?i){regex}"
+
+
+def _companion(c: dict) -> Companion:
+    """The group is the one that is named, or the only one that captures; else the whole match."""
+    group = c["group"] if c.get("group") is not None else 1 if capturing_groups(c["regex"]) == 1 else 0
+    requirement = c.get("requirement") or ("required" if c.get("required") else "optional")
+    if requirement not in ("optional", "required", "forbidden"):
+        raise ValueError(f"companion {c['name']}: unknown requirement {requirement}")
+    return Companion(c["name"], _anywhere(c["regex"]), group, c["within_lines"], requirement == "required", requirement == "forbidden")
+
+
+def _from_spec(spec: dict) -> Detector:
+    patterns = tuple(Pattern(_anywhere(p["regex"]), p.get("group") or 0, tuple(p.get("required_literals", ())), bool(p.get("client_safe"))) for p in spec.get("patterns", ()))
+    relations = tuple(Relation(r["kind"], r["detector"], r["within_lines"], r.get("within_bytes"), r.get("direction", "any")) for r in spec.get("detector_relations", ()))
+    if any(r.kind not in ("requires", "subsumes", "conflicts") or r.direction not in ("any", "before", "after") for r in relations):
+        raise ValueError(f"{spec['id']}: unknown relation")
+    validators = tuple(v if isinstance(v, str) else v["type"] for v in spec.get("validators", ()))
+    return Detector(
+        spec["id"], spec["name"], spec["service"], spec["severity"], tuple(k.lower() for k in spec.get("keywords", ())), patterns, tuple(map(_companion, spec.get("companions", ()))),
+        min_confidence=spec.get("min_confidence", 0.0), relations=relations, exact_length=spec.get("credential_shape", {}).get("exact_length", 0), min_length=spec.get("min_len", 0), max_length=spec.get("max_len", 0),
+        stopwords=tuple(w.lower() for w in spec.get("stopwords", ())), allowed=tuple(spec.get("allowlist_values", ())), validators=validators, weights=spec.get("match_confidence", {}), generic=spec.get("kind") == "phase2-generic",
+    )
+
+
 def load(folder: str) -> tuple[Detector, ...]:
     """Detectors from a folder of TOML files, one each. Any fault in any file is an error; ids must differ."""
     found: dict[str, Detector] = {}
@@ -82,11 +158,7 @@ def load(folder: str) -> tuple[Detector, ...]:
             raise ValueError(f"{path}: unknown severity {spec['severity']}")
         if spec["id"] in found:
             raise ValueError(f"{path}: {spec['id']} is there already")
-        anywhere = lambda regex: regex if regex.startswith("(?-i)") else f"(?i){regex}"
-        patterns = tuple(Pattern(anywhere(p["regex"]), p.get("group") or 0, tuple(p.get("required_literals", ()))) for p in spec.get("patterns", ()))
-        companions = tuple(Companion(c["name"], anywhere(c["regex"]), 0, c["within_lines"], bool(c.get("required")) or c.get("requirement") == "required") for c in spec.get("companions", ()))
-        keywords = tuple(k.lower() for k in spec.get("keywords", ()))
-        found[spec["id"]] = Detector(spec["id"], spec["name"], spec["service"], spec["severity"], keywords, patterns, companions, min_confidence=spec.get("min_confidence", 0.0), extra={k: spec[k] for k in ("verify", "tests", "validators") if k in spec})
+        found[spec["id"]] = _from_spec(spec)
     return tuple(found.values())
 
 
@@ -109,6 +181,30 @@ def pattern_table(spark: SparkSession, detectors: tuple[Detector, ...] = BUILT_I
     return spark.createDataFrame(rows, "detector_id string, pattern_no int, regex string, grp int, keywords array<string>, required array<string>")
 
 
+def audit(detectors: tuple[Detector, ...]) -> list[tuple[str, str]]:
+    """(detector id, fault): what makes a detector useless or slow, found without any data."""
+    faults = []
+    for d in detectors:
+        tests = (
+            ("no pattern", not d.patterns and not d.generic),
+            ("no keyword: it can't be triggered", not d.keywords and not d.generic),
+            ("a keyword of under three letters triggers nearly everywhere", any(len(k) < 3 for k in d.keywords)),
+            ("a pattern's group is beyond those that capture", any(p.group > capturing_groups(p.regex) for p in d.patterns)),
+            ("a companion's group is beyond those that capture", any(c.group > capturing_groups(c.regex) for c in d.companions)),
+            ("a pattern can match the empty text", any(_matches_nothing(p.regex) for p in d.patterns)),
+            ("a relation to itself", any(r.detector == d.id for r in d.relations)),
+        )
+        faults += [(d.id, name) for name, holds in tests if holds]
+    return faults
+
+
+def _matches_nothing(regex: str) -> bool:
+    try:
+        return re.match(regex, "") is not None
+    except re.error:
+        return False
+
+
 def search(table: DataFrame, wanted: str) -> DataFrame:
     """Detectors whose id, name, service or a keyword contains the text, in any case."""
     from pyspark.sql import functions as F

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.operators import decode, extract, resolve, score, suppress
+from siftlake.operators import context, decode, extract, resolve, score, shapes, suppress, windows
 from siftlake.sources.tables import read, seeded_chunks
 
-from .detectors import BUILT_IN, Detector
+from .detectors import BUILT_IN, Detector, Pattern
 from .registry import query
 from .scans import DIVERSITY, ENTROPY, PLACEHOLDER, RANKS, REDACTED, RUN, SCAN, SERVICES, STAGE_SQL, quoted
 
@@ -57,9 +57,9 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
     One finding for each credential and path. Findings in decoded text stand at the place of no line; those at a real place win over them.
     """
     policy = Policy.named(policy) if isinstance(policy, str) else policy
-    found = extract.scan(chunks, detectors).withColumn("decoded", F.lit(False))
+    found = extract.scan(chunks, detectors).drop("pattern_no").withColumn("decoded", F.lit(False))
     if policy.depth:
-        inner = decode.decode_through(chunks, policy.depth).join(chunks.select("doc_id", "path"), "doc_id")
+        inner = decode.decode_through(chunks, policy.depth, keys=("doc_id", "path"))
         inner = inner.select("doc_id", "path", "text", F.lit(0).cast("long").alias("base_line"), F.lit(0).cast("long").alias("base_offset"))
         deep = extract.scan(inner, detectors).select("doc_id", "path", "detector_id", "value", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("long").alias("byte_offset"), F.lit(True).alias("decoded"))
         found = found.unionByName(deep)
@@ -75,8 +75,129 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
     return resolve.not_in_baseline(rows, baseline) if baseline is not None else rows
 
 
+#: Producers of the scan beside the patterns: values assigned to a credential-like name (one character over the longest marks an overflow), and long tokens.
+LONGEST = 128
+ASSIGNMENT = Detector(
+    "generic-assignment", "Generic Assignment", "generic", "medium", ("token", "secret", "passw", "pwd", "passphrase", "credential", "key", "auth"),
+    (Pattern(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|passphrase|credential|api_?key|access_?key|private_?key|auth)[A-Za-z0-9_-]{0,20}["']? ?(?::=|=>|=|:) ?["']?([A-Za-z0-9_+/.=!@#$%^&*-]{8,129})""", 1),),
+)
+ENTROPY_TOKEN = Detector("entropy-token", "High-entropy Token", "generic", "low", ("token", "secret", "password", "key", "bearer"), (Pattern(extract.TOKEN),))
+CHANNELS = ("pattern", "assignment", "entropy", "multiline", "fragment", "decoded")
+NUMBERED = r"""([A-Za-z_]{2,40}?)_?[0-9]{1,3} ?[:=] ?["']?([A-Za-z0-9_+/=-]{6,128})"""
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """The rows, with their columns computed once: a generator of one row stands between, so that what follows doesn't repeat their expressions."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
+
+
+def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
+    """What the producers find, each tagged with its ``channel``: doc_id, path, detector_id, value, line_no, byte_offset, line, context and
+    companions.
+
+    Patterns over the text, over values written on several lines, over joined fragments, and over decoded text; assignments; and tokens of high entropy.
+    """
+    policy = Policy.named(policy) if isinstance(policy, str) else policy
+    named = tuple(d for d in detectors if d.id not in GENERIC)
+    many = sum(len(d.patterns) for d in named) > 64
+    columns = ("doc_id", "path", "detector_id", "value", "line_no", "byte_offset", "line", "context", "companions", "channel")
+
+    def over(rows: DataFrame, channel: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        return extract.scan(rows, named, anchors=many, context=True, keep=keep).withColumn("channel", F.lit(channel))
+
+    # One pass over the text for patterns, assignments and tokens.
+    found = extract.scan(chunks, (*named, ASSIGNMENT, ENTROPY_TOKEN), anchors=many, context=True)
+    found = found.withColumn("channel", F.when(F.col("detector_id") == ASSIGNMENT.id, "assignment").when(F.col("detector_id") == ENTROPY_TOKEN.id, "entropy").otherwise("pattern"))
+    entropy, on_line = T.byte_entropy(F.col("value")), F.col("line").rlike("(?i)token|secret|password|key|bearer")
+    strong = (on_line & (entropy >= 3.5)) | ((F.trim("line") == F.col("value")) & (entropy >= 4.5))
+    found = found.where((F.col("channel") != "entropy") | strong).select(*columns)
+
+    zero = F.lit(None).cast("long")
+    lines = extract.lines(chunks, "path")
+    joined = windows.continuations(lines, "doc_id", "path").select("doc_id", "path", F.col("line").alias("text"), (F.col("line_no") - 1).alias("base_line"), zero.alias("base_offset"))
+    found = found.unionByName(over(joined, "multiline").select(*columns))
+
+    scope = F.concat_ws("\x1f", F.col("doc_id").cast("string"), "path")
+    pairs = lines.where(F.col("line").rlike(NUMBERED)).select(scope.alias("path"), F.regexp_extract("line", NUMBERED, 1).alias("prefix"), "line_no", F.regexp_extract("line", NUMBERED, 2).alias("value"))
+    whole = windows.joined_fragments(pairs.withColumnRenamed("line_no", "line"))
+    parts = F.split("path", "\x1f", 2)
+    fragments = whole.select(F.get(parts, F.lit(0)).try_cast("long").alias("doc_id"), F.get(parts, F.lit(1)).alias("path"), F.col("joined").alias("text"), (F.least("line", "line_b") - 1).alias("base_line"), zero.alias("base_offset"))
+    found = found.unionByName(over(fragments, "fragment").select(*columns))
+
+    if policy.depth:
+        prefixes = tuple(sorted({d.prefix for d in named if len(d.prefix) >= 3}))
+        decoders = {k: v for k, v in ({d: decode.DECODERS[d] for d in decode.DEFAULT if d != "reverse"} | decode.for_prefixes(prefixes)).items()}
+        inner = decode.splice_through(decode.within_decode_limit(chunks)[0], policy.depth, decoders).where(decode.screened(F.col("text")))
+        deep = over(inner, "decoded", ("span",))
+        inside = (F.col("at") < F.col("span.end")) & (F.col("at") + F.length("value") > F.col("span.start"))
+        found = found.unionByName(deep.where(inside).select(*columns))
+    return once(found)
+
+
+def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
+    """Candidates with checksum, entropy, confidence, reason and tier of evidence, and ``stage``: why one is dropped; null: it isn't."""
+    policy = Policy.named(policy) if isinstance(policy, str) else policy
+    every = (*detectors, ASSIGNMENT, ENTROPY_TOKEN)
+    named = ~F.col("channel").isin("assignment", "entropy")
+    of = lambda what: _by_detector(every, what)
+    v = F.col("value")
+    rows = extract.with_required(extract.with_relations(found, detectors), detectors)
+    rows = rows.withColumn("checksum", score.checksum_verdict(v, F.element_at(F.create_map(*(x for d in every for x in (F.lit(d.id), F.array(*map(F.lit, d.validators)).cast("array<string>")))), F.col("detector_id"))))
+    prefix = of(lambda d: d.prefix)
+    rows = rows.withColumn("entropy", T.byte_entropy(v)).withColumn("_known", (prefix != "") & F.startswith(v, prefix)).withColumn("_sample", score.is_placeholder(v))
+    rows = once(rows)
+    base = score.base_confidence(F.col("entropy"), F.length(v), has_literal_prefix=F.col("_known"), has_context_anchor=named, keyword_nearby=F.lit(True), sensitive_file=score.sensitive_path(F.col("path")), has_companion=F.size("companions") > 0)
+    by_channel = F.when(F.col("channel") == "assignment", score.generic_confidence(F.col("entropy"), F.length(v))).when(F.col("channel") == "entropy", score.fallback_confidence(F.col("entropy"), F.lit(True))).otherwise(score.named_floor(base, named))
+    confidence = score.penalised(by_channel, v) * score.context_multiplier(F.col("context"))
+    confidence = F.when(F.col("_known") & ~F.col("_sample") & ~F.col("context").isin("encrypted", "test", "documentation", "comment"), F.greatest(confidence, F.lit(0.8))).otherwise(confidence)
+    confidence = F.when(F.col("checksum") == "valid", F.greatest(confidence, F.lit(0.9))).otherwise(confidence) * F.when(score.fixture_path(F.col("path")), 0.5).otherwise(1.0)
+    rows = once(rows.withColumn("confidence", T.safe_score(confidence)))
+    exact, least, most = of(lambda d: d.exact_length), of(lambda d: d.min_length), of(lambda d: d.max_length or LONGEST * 8)
+    own_lists = F.lit(False)
+    for d in detectors:
+        if d.stopwords or d.allowed:
+            own_lists = own_lists | ((F.col("detector_id") == d.id) & shapes.stopped(v, d.stopwords, d.allowed))
+    floor = F.greatest(of(lambda d: float(d.min_confidence)), F.lit(policy.least_confidence))
+    stage = F.coalesce(
+        F.when((exact > 0) & (F.length(v) != exact), "detector_credential_shape_invalid"),
+        F.when(F.length(v) < least, "below_detector_min_length"),
+        F.when((F.length(v) > most) | ((F.col("channel") == "assignment") & (F.length(v) > LONGEST)), "value_too_long"),
+        F.when(own_lists, "detector_list"),
+        F.when(F.col("checksum") == "invalid", "checksum_invalid"),
+        F.when(F.col("_sample"), "placeholder"),
+        F.when(F.col("channel") == "decoded", context.decoded_suppression(v, F.lit(""), named)),
+        F.when(~named, F.coalesce(suppress.stage(v), shapes.example_ladder(v, F.lit(False)), F.when(context.decoded_benign(v), "decoded_benign"), F.when(shapes.base64_decoy(v), "base64_decoy"))),
+        F.when(score.hard_suppressed(F.col("context"), F.col("confidence")), "hard_suppressed_context"),
+        F.when(F.col("confidence") < floor, "below_min_confidence"),
+    )
+    reason = score.evidence_reason(F.col("detector_id"), F.col("channel"), F.col("context"), F.col("path"), F.col("checksum"), F.col("companions"), F.lit(False))
+    return once(rows.withColumn("stage", stage).withColumn("reason", reason).drop("_known", "_sample")).withColumn("tier", score.evidence_tier(F.col("reason")))
+
+
+def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
+    """The scan with all producers: one finding for each credential and path, with what else was found of it.
+
+    A named detector wins over an assignment, and that over entropy; then what has a place of its own, confidence, severity and id. ``others``: ids of the
+    detectors that found the same value; ``locations``: its distinct other lines in order.
+    """
+    every = (*detectors, ASSIGNMENT, ENTROPY_TOKEN)
+    rows = extract.with_detector(judged(candidates(chunks, detectors, policy), detectors, policy).where("stage IS NULL"), every)
+    rows = rows.withColumn("credential_hash", F.sha2("value", 256)).withColumn("redacted", T.redact(F.col("value"))).withColumn("_rank", F.array_position(F.array(*map(F.lit, ("entropy", "assignment"))), F.col("channel")))
+    order = F.struct(F.when(F.col("_rank") == 0, 3).otherwise(F.col("_rank")), ~F.col("channel").isin("decoded", "fragment", "multiline"), "confidence", "severity_rank", "detector_id", -F.coalesce("byte_offset", F.lit(0)))
+    picked = F.struct("detector_id", "service", "severity_rank", "redacted", "line_no", "byte_offset", "channel", "context", F.round("confidence", 6).alias("confidence"), "reason", "tier", "companions")
+    best = rows.groupBy("doc_id", "path", "credential_hash").agg(F.max_by(picked, order).alias("f"), F.array_sort(F.collect_set("detector_id")).alias("_ids"), F.array_sort(F.collect_set("line_no")).alias("_lines"))
+    best = best.select("doc_id", "path", "credential_hash", "f.*", F.array_remove("_ids", F.col("f.detector_id")).alias("others"), F.array_remove("_lines", F.coalesce("f.line_no", F.lit(-1).cast("long"))).alias("locations"))
+    return best.withColumn("companions", F.transform_values("companions", lambda _, x: T.redact(x)))
+
+
+def explain(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
+    """Every candidate, redacted, with what was said of it: channel, context, checksum, confidence, reason and the stage that drops it (``reported``: none)."""
+    rows = judged(candidates(chunks, detectors, policy), detectors, policy)
+    return rows.select("doc_id", "path", "detector_id", T.redact(F.col("value")).alias("redacted"), "line_no", "channel", "context", "checksum", F.round("confidence", 6).alias("confidence"), "reason", "tier", F.coalesce("stage", F.lit("reported")).alias("stage"))
+
+
 KNOWN = "(" + " OR ".join(f"(detector_id = {quoted(d.id)} AND starts_with(value, {quoted(d.prefix)}))" for d in BUILT_IN if d.prefix) + ")"
-SENSITIVE = "(" + " OR ".join(f"contains(lower(path), '{m}')" for m in score.SENSITIVE) + ")"
+SENSITIVE = "(" + " OR ".join(f"contains(lower(path), '{m.lower()}')" for m in score.SENSITIVE) + ")"
 SCAN_FINDINGS = f"""{SCAN.rstrip()}, m AS (SELECT m.*, s.path, {ENTROPY.format(v='value')} AS e, {KNOWN} AS known, detector_id <> 'generic-secret' AS named, {PLACEHOLDER.format(v='value')} AS sample FROM matches m JOIN seeded s USING (doc_id)),
 b AS (SELECT *, least(1.0::DOUBLE, (CASE WHEN e >= 4.5 THEN 0.2::DOUBLE WHEN e >= 3.5 THEN 0.12 WHEN e >= 3.0 THEN 0.05 ELSE 0 END + CASE WHEN known THEN 0.35 ELSE 0 END + CASE WHEN named THEN 0.2 ELSE 0 END + 0.1 + CASE WHEN {SENSITIVE} THEN 0.1 ELSE 0 END) * CASE WHEN e < 2 AND length(value) > 10 THEN 0.6 ELSE 1 END) AS base FROM m),
 p AS (SELECT *, (CASE WHEN named THEN greatest(base, 0.55) ELSE base END) * CASE WHEN sample THEN 0.05 ELSE 1 END * CASE WHEN {DIVERSITY.format(v='value')} < 0.1 THEN 0.1 ELSE 1 END * CASE WHEN length(value) >= 10 AND {RUN.format(v='value')} / length(value) > 0.8 THEN 0.1 ELSE 1 END AS pen FROM b),

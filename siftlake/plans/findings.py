@@ -251,7 +251,7 @@ def diff_hunk_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
     return windows.added_lines(body.unionByName(heads)).select("doc_id", "path", F.col("new_line").cast("long").alias("new_line"), F.sha2("line", 256).alias("line_hash"))
 
 
-@query(f"""WITH {FINDINGS}, g AS (SELECT DISTINCT path, detector_id AS prefix, line, left(credential_hash, 6) AS value FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY path, prefix ORDER BY line DESC, value DESC) AS rn FROM g), t AS (SELECT * FROM r WHERE rn <= 8)
+@query(f"""WITH {FINDINGS}, g AS (SELECT DISTINCT path, detector_id AS prefix, line, left(credential_hash, 6) AS value FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY path, prefix ORDER BY line DESC, value DESC) AS rn FROM g), t AS (SELECT * FROM r)
 SELECT a.path, a.prefix, a.line, b.line AS line_b, a.value || b.value AS joined FROM t a JOIN t b ON a.path = b.path AND a.prefix = b.prefix AND (a.line <> b.line OR a.value <> b.value) AND abs(a.line - b.line) < 100""")
 def fragment_self_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = _found(spark, folder).select("path", F.col("detector_id").alias("prefix"), "line", F.left("credential_hash", F.lit(6)).alias("value"))

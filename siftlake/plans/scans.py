@@ -314,10 +314,10 @@ def calibration_multiplier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {FINDINGS}, t (reason, tier) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in score.EVIDENCE)}),
-r AS (SELECT *, CASE WHEN detector_id = 'entropy-token' THEN 'entropy_only' WHEN detector_id = 'generic-secret' THEN 'generic_assignment' WHEN confidence > 0.9 THEN 'checksum_valid' ELSE 'named_detector' END AS reason FROM findings)
+r AS (SELECT *, CASE WHEN detector_id = 'entropy-token' THEN 'entropy-only' WHEN detector_id = 'generic-secret' THEN 'generic-assignment' WHEN confidence > 0.9 THEN 'checksum-valid' ELSE 'vendor-pattern' END AS reason FROM findings)
 SELECT tier, reason, count(*)::BIGINT AS n FROM r JOIN t USING (reason) GROUP BY 1, 2""")
 def evidence_tier_join(spark: SparkSession, folder: str) -> DataFrame:
-    reason = F.when(F.col("detector_id") == "entropy-token", "entropy_only").when(F.col("detector_id") == "generic-secret", "generic_assignment").when(F.col("confidence") > 0.9, "checksum_valid").otherwise("named_detector")
+    reason = F.when(F.col("detector_id") == "entropy-token", "entropy-only").when(F.col("detector_id") == "generic-secret", "generic-assignment").when(F.col("confidence") > 0.9, "checksum-valid").otherwise("vendor-pattern")
     tiers = spark.createDataFrame(list(score.EVIDENCE), "reason string, tier string")
     return findings(_docs(spark, folder)).withColumn("reason", reason).join(tiers, "reason").groupBy("tier", "reason").agg(F.count("*").alias("n"))
 
@@ -329,7 +329,7 @@ def severity_downgrade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {FINDINGS} SELECT path, count(*)::BIGINT AS n, bool_or(list_has_any(string_split(lower(path), '/'), ['de', 'example'])) AS fixture,
- bool_or({' OR '.join(f"contains(lower(path), '{m}')" for m in score.SENSITIVE)}) AS is_sensitive FROM findings GROUP BY path""")
+ bool_or({' OR '.join(f"contains(lower(path), '{m.lower()}')" for m in score.SENSITIVE)}) AS is_sensitive FROM findings GROUP BY path""")
 def path_signals(spark: SparkSession, folder: str) -> DataFrame:
     rows = findings(_docs(spark, folder)).groupBy("path").agg(F.count("*").alias("n"))
     fixture = F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(F.lit("de"), F.lit("example")))

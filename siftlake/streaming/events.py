@@ -87,3 +87,102 @@ def run(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
+
+
+#: Kinds of a change log. A reconcile says that a root was listed anew, a barrier that all before it has been seen.
+KINDS = ("create", "modify", "remove", "rename", "reconcile", "barrier")
+#: States of a root: what each kind of change, or an outcome, leads to from it. What isn't here leaves it as it is; stopped is the end.
+STATES: dict[str, dict[str, str]] = {
+    "indexing": {"barrier": "current", "overflow": "degraded", "error": "blocked", "stop": "stopped"},
+    "current": {"create": "dirty", "modify": "dirty", "remove": "dirty", "rename": "dirty", "overflow": "degraded", "error": "blocked", "policy": "stale-policy", "stop": "stopped"},
+    "dirty": {"barrier": "current", "overflow": "degraded", "error": "blocked", "policy": "stale-policy", "stop": "stopped"},
+    "degraded": {"reconcile": "indexing", "error": "blocked", "stop": "stopped"},
+    "blocked": {"reconcile": "indexing", "stop": "stopped"},
+    "stale-policy": {"reconcile": "indexing", "stop": "stopped"},
+    "stopped": {},
+}
+
+
+def next_state(state: Column, kind: Column) -> Column:
+    found = None
+    for s, steps in STATES.items():
+        for k, to in steps.items():
+            here = (state == s) & (kind == k)
+            found = F.when(here, to) if found is None else found.when(here, to)
+    return found.otherwise(state)
+
+
+def final_states(changes: DataFrame) -> DataFrame:
+    """State of each root after all its changes (root, kind, seq) in their order, begun at indexing."""
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"])
+    return changes.groupBy("root").agg(F.aggregate(kinds, F.lit("indexing"), next_state).alias("state"), F.max("seq").alias("last_seq"))
+
+
+def root_machine(changes: DataFrame) -> DataFrame:
+    """The same as a stream: root, state and last_seq after each batch. A change that is not newer than the last seen of its root is left out, so a log that is read twice counts once."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, last = state.get if state.exists else ("indexing", 0)
+        rows = pd.concat(list(frames)).sort_values("seq")
+        for kind, seq in zip(rows["kind"], rows["seq"], strict=True):
+            if seq > last:
+                now, last = STATES[now].get(kind, now), int(seq)
+        state.update((now, last))
+        yield pd.DataFrame([(key[0], now, last)], columns=["root", "state", "last_seq"])
+
+    return changes.groupBy("root").applyInPandasWithState(update, "root long, state string, last_seq long", "state string, last_seq long", "update", "NoTimeout")
+
+
+def replayed(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The paths that are there after a snapshot (root, path, seq) and the changes (root, path, kind, seq) that are newer than it: subscribed first, listed then, replayed by sequence."""
+    newer = changes.join(snapshot.groupBy("root").agg(F.max("seq").alias("_at")), "root", "left").where("_at IS NULL OR seq > _at")
+    last = newer.where(F.col("kind").isin("create", "modify", "remove")).groupBy("root", "path").agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("_seq"))
+    both = snapshot.select("root", "path", "seq").join(last, ["root", "path"], "full")
+    return both.where("kind IS NULL OR kind <> 'remove'").select("root", "path", F.greatest(F.coalesce("_seq", F.lit(0)), F.coalesce("seq", F.lit(0))).alias("seq"))
+
+
+def fragment_stream(fragments: DataFrame, near: int = 100, hold: str = "1 hour") -> DataFrame:
+    """Fragments of values (path, prefix, line, value, ts) joined with those of the same path and prefix that came before and are near, over batches.
+
+    A self join of the stream with a bound on time: what is older than ``hold`` is forgotten.
+    """
+    own = fragments.withWatermark("ts", hold)
+    other = fragments.select(F.col("path").alias("path_b"), F.col("prefix").alias("prefix_b"), F.col("line").alias("line_b"), F.col("value").alias("value_b"), F.col("ts").alias("ts_b")).withWatermark("ts_b", hold)
+    same = (F.col("path") == F.col("path_b")) & (F.col("prefix") == F.col("prefix_b")) & (F.abs(F.col("line") - F.col("line_b")) < near) & (F.col("line") != F.col("line_b"))
+    in_time = (F.col("ts_b") <= F.col("ts") + F.expr(f"INTERVAL {hold}")) & (F.col("ts_b") >= F.col("ts") - F.expr(f"INTERVAL {hold}"))
+    return own.join(other, same & in_time).select("path", "prefix", "line", "line_b", F.concat("value", "value_b").alias("joined"))
+
+
+def rate_limits(answers: DataFrame, start: float = 0.5, longest: float = 8.0, most_errors: int = 50) -> DataFrame:
+    """The pause before requests of each service after its answers (service, seq, status) in order: doubled by 429 up to the longest, and half of what is above the start given back by others.
+
+    ``pressed``: the service has had over ``most_errors`` errors without a success between.
+    """
+    step = F.struct(F.lit(start).alias("pause"), F.lit(0).alias("errors"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        limited = x["status"] == 429
+        pause = F.when(limited, F.least(F.lit(longest), acc["pause"] * 2)).otherwise(start + (acc["pause"] - start) / 2)
+        return F.struct(pause.alias("pause"), F.when(limited | (x["status"] >= 500), acc["errors"] + 1).otherwise(F.lit(0)).alias("errors"))
+
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "status")))
+    found = answers.groupBy("service").agg(F.aggregate(ordered, step, fold).alias("s"), F.count("*").alias("n"))
+    return found.select("service", F.round("s.pause", 6).alias("pause"), (F.col("s.errors") > most_errors).alias("pressed"), "n")
+
+
+def split_readable(rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of JSON (``value``) as rows of the schema, and those that can't be read, so that a stream goes on: (rows, malformed with the reason)."""
+    parsed = rows.withColumn("_r", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    return parsed.where(~bad).select("_r.*").drop("_corrupt"), parsed.where(bad).select("value", F.lit("malformed").alias("reason"))
+
+
+#: What loading the state of incremental scans can say; all but ``loaded`` mean that everything is scanned.
+LOADED = ("missing", "loaded", "schema_mismatch", "spec_changed", "invalid_hash")
+
+
+def load_state(states: DataFrame, roots: DataFrame, version: int, spec_hash: str) -> DataFrame:
+    """root and status for ``roots``: whether its state (root, schema_version, spec_hash, content_hash) can be used with these detectors."""
+    rows = roots.select("root").distinct().join(states, "root", "left")
+    status = F.when(F.col("schema_version").isNull(), "missing").when(F.col("schema_version") != version, "schema_mismatch").when(F.col("spec_hash") != spec_hash, "spec_changed").when(~F.coalesce(F.col("content_hash").rlike("^[0-9a-f]{64}$"), F.lit(False)), "invalid_hash").otherwise("loaded")
+    return rows.select("root", status.alias("status"))

@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import DATA, same_rows
-from siftlake.plans import engine, findings, policies, registry, scans  # noqa: F401
+from siftlake.plans import deep, engine, findings, ladder, policies, registry, scans, wider  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -16,6 +16,23 @@ def test_checksums_tell_valid_tokens(spark):
     assert all(r.made_valid == r.valid for r in registry.QUERIES["crc32_base62"](spark, DATA).collect())
 
 
+def test_checksum_verdicts_are_those_that_were_made(spark):
+    rows = registry.QUERIES["checksum_verdicts"](spark, DATA).collect()
+    assert rows and all(r.checksum == "valid" and r.made_valid and r.confidence == 0.9 for r in rows)
+
+
+def test_streams_and_scans_without_sql(spark, duck):
+    final = {r.root: r.state for r in registry.QUERIES["guard_final_states"](spark, DATA).collect()}
+    assert {r.root: r.state for r in registry.QUERIES["guard_machine"](spark, DATA).collect()} == final
+    for r in registry.QUERIES["bootstrap_interval"](spark, DATA).collect():
+        mean = duck.sql(f"SELECT avg(value) FROM events WHERE event_type = '{r.event_type}'").fetchall()[0][0]
+        assert abs(r.mean - mean) < 1e-9 and r.low < mean < r.high
+    assert {(r.line_no is not None, r.channel) for r in registry.QUERIES["scan_depth2"](spark, DATA).collect()} == {(True, "decoded")}
+    found = registry.QUERIES["scan_full"](spark, DATA).collect()
+    told = registry.QUERIES["scan_explain"](spark, DATA).where("stage = 'reported'").select("doc_id", "detector_id", "redacted").distinct().collect()
+    assert {(r.doc_id, r.detector_id, r.redacted) for r in found} <= {tuple(r) for r in told}
+
+
 def test_decoding_queries_read_the_texts(spark, tmp_path):
     import base64
 
