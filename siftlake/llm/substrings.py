@@ -39,6 +39,8 @@ from .common import table, words
 WINDOW = 13
 #: Least bytes of text in a block, and of text whose windows a part counts, about; windows in a block for each part, at least.
 BLOCK_BYTES, PART_BYTES, CELL = 2 << 20, 8 << 20, 16
+#: Blocks that a task takes one after the other, about, and tasks at most (then a task takes more blocks).
+TASK_BLOCKS, MOST_TASKS = 4, 100_000
 #: Bytes of text for each window, about.
 WINDOW_BYTES = 6
 #: Base of the rolling hash, and factors of the mixing at its end (odd 64-bit constants).
@@ -149,8 +151,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
     parts = 1 << part_bits
     top = 64 - min(60, max(size, 2).bit_length() + 3)  # of a hash, the bits above these are counted first
     extra = [c for c in own if c not in ("doc_id", "text")]
+    tasks = min(max(math.ceil(blocks / TASK_BLOCKS), min(blocks, spark.sparkContext.defaultParallelism)), MOST_TASKS)
 
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition("_block")
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition(tasks, "_block")
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_hashes")
     narrow = dealt.select("_block", "doc_id", *extra, hashes)
 
