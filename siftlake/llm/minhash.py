@@ -294,7 +294,8 @@ def _same_document(sketched: DataFrame, nodes: DataFrame, repeated: DataFrame) -
 
 
 def _labelled(sketched: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
+    # Written, so that the join below is between exchanges: a set that many rows have is split.
+    named = stored(nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("found")), "named")
     rows = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")
     return rows.select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
