@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op3_minhash": minhash.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_substrings": substrings.OP5_SQL,
     "op9_url_rules": url_rules.OP9_SQL,
