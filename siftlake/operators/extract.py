@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.plans.detectors import MAX_PATTERNS, SEVERITIES, Companion, Detector
+from siftlake.plans.detectors import ENTROPY_TOKEN, MAX_PATTERNS, SEVERITIES, Companion, Detector
 
 from .context import context_of, line_at
 
@@ -16,7 +16,7 @@ ASSIGNMENT = r"""(?i)(token|secret|password|passwd|api_?key)["']? ?[:=] ?["']?([
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 USERINFO = r"[a-z][a-z0-9+.-]*://([A-Za-z0-9_.-]+):([^@/ \"'\n]+)@"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = ENTROPY_TOKEN.patterns[0].regex
 
 
 def lines(chunks: DataFrame, *more: str) -> DataFrame:

@@ -9,17 +9,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dedup(findings: DataFrame, scope: str) -> DataFrame:
-    """One row for each (detector, credential) and, in scope ``file``, path: its first location, and how many other lines there are. Scope ``none`` keeps all."""
+def dedup(findings: DataFrame, scope: str, locations: bool = False) -> DataFrame:
+    """One row for each (detector, credential) and, in scope ``file``, path: its first location, and how many other lines there are. Scope ``none`` keeps all.
+
+    ``locations``: also the other lines themselves, as distinct (path, line) in the order of their offsets, ``additional``.
+    """
     if scope == "none":
         return findings
     keys = ["detector_id", "credential_hash"] + (["path"] if scope == "file" else [])
     place = F.struct("offset", "path", "line")
     found = findings.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("n_matches"), F.count_distinct("path", "line").alias("n_places"), F.max("confidence").alias("confidence"))
     rest = [] if scope == "file" else [F.col("first.path").alias("path")]
+    if locations:
+        each = findings.groupBy(*keys, F.col("path").alias("_path"), "line").agg(F.min("offset").alias("_at"))
+        every = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("_path").alias("path"), "line"))).alias("_all"))
+        own = F.struct(F.col("first.path").alias("path"), F.col("first.line").alias("line"))
+        others = F.filter(F.transform("_all", lambda x: F.struct(x["path"].alias("path"), x["line"].alias("line"))), lambda x: ~x.eqNullSafe(own))
+        matched = [found[k].eqNullSafe(every[k]) for k in keys]
+        found = found.join(every, matched).select(*(found[k] for k in keys), "first", "n_matches", "n_places", "confidence", "_all").withColumn("_others", others)
+        rest = [*rest, F.col("_others").alias("additional")]
     return found.select(*keys, *rest, F.col("first.line").alias("line"), F.col("first.offset").alias("offset"), "n_matches", (F.col("n_places") - 1).alias("n_additional"), "confidence")
 
 
+def near_once(findings: DataFrame, within_lines: int) -> DataFrame:
+    """Findings without those that stand at most so many lines behind one of the same detector, value and path: overlapping windows see a value twice."""
+    order = Window.partitionBy("path", *KEY).orderBy("line", "offset", "doc_id")
+    return findings.withColumn("_before", F.lag("line").over(order)).where(F.col("_before").isNull() | (F.col("line") - F.col("_before") > within_lines)).drop("_before")
+
+
 def winners(findings: DataFrame) -> DataFrame:
     """One finding for each credential and path: a named detector before entropy, then confidence, severity and id; the losers' ids as a list."""
     order = Window.partitionBy("credential_hash", "path").orderBy(F.col("detector_id").startswith("entropy"), F.desc("confidence"), F.desc("severity_rank"), "detector_id", "offset", "doc_id")
@@ -33,8 +50,9 @@ def coalesced(spans: DataFrame, *keys: str) -> DataFrame:
     """Overlapping and touching spans (start, end) of the same keys as one."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_spans")).drop("_island")
+    once = spans.groupBy(*keys, "start", "end").agg(F.count("*").alias("_n"))  # so that no two rows tie
+    islands = once.withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n_spans")).drop("_island")
 
 
 def value_reuse(findings: DataFrame, bonus: float = 0.15, ceiling: float = 1.0) -> DataFrame:
@@ -75,18 +93,33 @@ def changed(chunks: DataFrame, seen: DataFrame, spec_hash: str) -> DataFrame:
     return rows.join(seen, ["path", "base_offset", "content_hash", "spec_hash"], "left_anti")
 
 
-def nearest_targets(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """The address nearest to each finding of the same document: same line first, then by lines; 0.85 for each 25 lines between, four times at most.
+def nearest_targets(findings: DataFrame, targets: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
+    """The address nearest to each finding of the same document: decoded from the same value first, then on the same line, then by lines; 0.85 for each 25 lines between, four
+    times at most.
 
-    ``targets``: doc_id, target, line. A target that is itself a reported credential is left out.
+    ``targets``: doc_id, target, line; ``decoded``: doc_id, k, target, for addresses inside a finding's own value. A target that is itself a reported credential is left out.
+    Findings and targets of a document stand in one order, and each finding looks to the last target before it and the first behind it: no pairs are made.
     """
     free = targets.join(findings.select(F.col("credential_hash").alias("_h")).distinct(), F.sha2("target", 256) == F.col("_h"), "left_anti")
-    joined = findings.select("doc_id", "k", "line", "confidence").join(free.withColumnRenamed("line", "t_line"), "doc_id")
-    away = F.abs(F.col("line") - F.col("t_line"))
-    order = Window.partitionBy("doc_id", "k").orderBy(away, "t_line", "target")
-    best = joined.withColumn("distance", away).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    relation = F.when(F.col("distance") == 0, "same_line").otherwise("same_file")
-    return best.select("doc_id", "k", "target", relation.alias("relation"), "distance", (F.col("confidence") * F.pow(F.lit(0.85), F.least(F.lit(4), F.floor(F.col("distance") / 25)))).alias("confidence"))
+    own = findings.select("doc_id", "line", F.lit(1).alias("_kind"), "k", "confidence", F.lit(None).cast("string").alias("target"))
+    both = own.unionByName(free.select("doc_id", F.col("line"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("confidence"), "target"))
+    here = F.when(F.col("_kind") == 0, F.struct("line", "target"))
+    # Targets of a line come before its findings in the one order, and behind them in the other.
+    above = Window.partitionBy("doc_id").orderBy("line", "_kind", F.desc("target")).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy("doc_id").orderBy("line", F.desc("_kind"), "target").rowsBetween(0, Window.unboundedFollowing)
+    placed = both.withColumn("_up", F.last(here, ignorenulls=True).over(above)).withColumn("_down", F.first(here, ignorenulls=True).over(below)).where("_kind = 1")
+    options = F.filter(F.array("_up", "_down"), lambda t: t.isNotNull())
+    ranked = F.array_min(F.transform(options, lambda t: F.struct(F.abs(F.col("line") - t["line"]).alias("distance"), t["line"].alias("line"), t["target"].alias("target"))))
+    rows = placed.withColumn("_best", ranked)
+    if decoded is not None:
+        inner = decoded.groupBy("doc_id", "k").agg(F.min("target").alias("_inner"))
+        rows = rows.join(inner, ["doc_id", "k"], "left")
+    else:
+        rows = rows.withColumn("_inner", F.lit(None).cast("string"))
+    relation = F.when(F.col("_inner").isNotNull(), "decoded").when(F.col("_best.distance") == 0, "same_line").otherwise("same_file")
+    distance = F.when(F.col("_inner").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("_best.distance"))
+    found = rows.where("_inner IS NOT NULL OR _best IS NOT NULL").select("doc_id", "k", F.coalesce("_inner", "_best.target").alias("target"), relation.alias("relation"), distance.alias("distance"), "confidence")
+    return found.withColumn("confidence", F.col("confidence") * F.pow(F.lit(0.85), F.least(F.lit(4), F.floor(F.col("distance") / 25))))
 
 
 def union_unique(real: DataFrame, decoded: DataFrame, *keys: str) -> DataFrame:

@@ -112,6 +112,10 @@ BUILT_IN = (
 )
 
 
+#: Long tokens on lines with a credential keyword; their entropy is judged by the caller.
+ENTROPY_TOKEN = Detector("entropy-token", "High-entropy Token", "generic", "low", ("token", "secret", "password", "key", "bearer"), (Pattern(r"[A-Za-z0-9+/_-]{20,}"),))
+
+
 def numbered(n: int) -> tuple[Detector, ...]:
     """A catalogue of ``n`` detectors of one synthetic form, ``k007_`` and 24 hexadecimal digits: to try plans with many patterns."""
     return tuple(_d(f"synthetic-{k:03d}", f"Synthetic {k}", "synthetic", "low", f"k{k:03d}_", rf"k{k:03d}_[0-9a-f]{{24}}\b", prefix=f"k{k:03d}_") for k in range(n))

@@ -11,7 +11,7 @@ from siftlake.functions import text as T
 from siftlake.operators import context, decode, extract, resolve, score, shapes, suppress, windows
 from siftlake.sources.tables import read, seeded_chunks
 
-from .detectors import BUILT_IN, Detector, Pattern
+from .detectors import BUILT_IN, ENTROPY_TOKEN, Detector, Pattern
 from .registry import query
 from .scans import DIVERSITY, ENTROPY, PLACEHOLDER, RANKS, REDACTED, RUN, SCAN, SERVICES, STAGE_SQL, quoted
 
@@ -75,13 +75,12 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
     return resolve.not_in_baseline(rows, baseline) if baseline is not None else rows
 
 
-#: Producers of the scan beside the patterns: values assigned to a credential-like name (one character over the longest marks an overflow), and long tokens.
+#: Producers of the scan beside the patterns and ENTROPY_TOKEN: values assigned to a credential-like name; one character over the longest marks an overflow.
 LONGEST = 128
 ASSIGNMENT = Detector(
     "generic-assignment", "Generic Assignment", "generic", "medium", ("token", "secret", "passw", "pwd", "passphrase", "credential", "key", "auth"),
     (Pattern(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|passphrase|credential|api_?key|access_?key|private_?key|auth)[A-Za-z0-9_-]{0,20}["']? ?(?::=|=>|=|:) ?["']?([A-Za-z0-9_+/.=!@#$%^&*-]{8,129})""", 1),),
 )
-ENTROPY_TOKEN = Detector("entropy-token", "High-entropy Token", "generic", "low", ("token", "secret", "password", "key", "bearer"), (Pattern(extract.TOKEN),))
 CHANNELS = ("pattern", "assignment", "entropy", "multiline", "fragment", "decoded")
 NUMBERED = r"""([A-Za-z_]{2,40}?)_?[0-9]{1,3} ?[:=] ?["']?([A-Za-z0-9_+/=-]{6,128})"""
 

@@ -53,9 +53,9 @@ def cross_detector_winner(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.winners(_found(spark, folder))
 
 
-@query(f"""WITH {FINDINGS}, s AS (SELECT path, line AS "start", line + 20 AS "end" FROM findings), o AS (SELECT *, max("end") OVER (PARTITION BY path ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+@query(f"""WITH {FINDINGS}, s AS (SELECT path, line AS "start", line + 20 AS "end", count(*) AS n FROM findings GROUP BY ALL), o AS (SELECT *, max("end") OVER (PARTITION BY path ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 i AS (SELECT *, sum(CASE WHEN reach >= "start" THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM o)
-SELECT path, min("start") AS "start", max("end") AS "end", count(*)::BIGINT AS n_spans FROM i GROUP BY path, island""")
+SELECT path, min("start") AS "start", max("end") AS "end", sum(n)::BIGINT AS n_spans FROM i GROUP BY path, island""")
 def span_coalesce(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.coalesced(_found(spark, folder).select("path", F.col("line").alias("start"), (F.col("line") + 20).alias("end")), "path")
 
@@ -66,11 +66,11 @@ def value_reuse(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.value_reuse(_found(spark, folder))
 
 
-@query(f"""WITH {FINDINGS}, p AS (SELECT *, path || '/' || doc_id::VARCHAR || '/' || detector_id AS deep FROM findings WHERE doc_id % 3 > 0 OR k = 0), f AS (SELECT *, regexp_replace(deep, '/[^/]*$', '') AS folder FROM p WHERE detector_id IN ('aws-access-key', 'slack-bot-token')),
+@query(f"""WITH {FINDINGS}, p AS (SELECT *, path || '/' || doc_id::VARCHAR || '/' || detector_id AS deep FROM findings), f AS (SELECT *, regexp_replace(deep, '/[^/]*$', '') AS folder FROM p WHERE detector_id IN ('aws-access-key', 'slack-bot-token')),
 g AS (SELECT folder, list(DISTINCT deep) FILTER (WHERE detector_id = 'aws-access-key') AS a, list(DISTINCT deep) FILTER (WHERE detector_id = 'slack-bot-token') AS b, max(confidence) AS best FROM f GROUP BY 1)
 SELECT 'composite:aws-access-key+slack-bot-token@' || folder AS composite_id, a[1] AS first_path, b[1] AS second_path, least(1.0::DOUBLE, best + 0.3::DOUBLE) AS confidence FROM g WHERE len(a) = 1 AND len(b) = 1 AND a[1] <> b[1]""")
 def composite_correlation(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _found(spark, folder).where("doc_id % 3 > 0 OR k = 0").withColumn("path", F.concat_ws("/", "path", F.col("doc_id").cast("string"), "detector_id"))
+    rows = _found(spark, folder).withColumn("path", F.concat_ws("/", "path", F.col("doc_id").cast("string"), "detector_id"))
     return resolve.composites(rows, ("aws-access-key", "slack-bot-token"))
 
 
@@ -124,10 +124,11 @@ def union_unique(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.union_unique(rows.where("k = 0").select(*pick), rows.where("k > 0").select(*pick), "detector_id", "credential_hash")
 
 
-@query(f"WITH {FINDINGS} SELECT DISTINCT detector_id, credential_hash, line // 50 AS near FROM findings")
+@query(f"""WITH {FINDINGS}, l AS (SELECT *, lag(line) OVER (PARTITION BY path, detector_id, credential_hash ORDER BY line, "offset", doc_id) AS before FROM findings)
+SELECT path, detector_id, credential_hash, line FROM l WHERE before IS NULL OR line - before > 50""")
 def near_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """One finding for each detector, value and stretch of 50 lines."""
-    return _found(spark, folder).select("detector_id", "credential_hash", F.floor(F.col("line") / 50).alias("near")).distinct()
+    """One finding for each run of the same value whose lines are at most 50 apart."""
+    return resolve.near_once(_found(spark, folder), 50).select("path", "detector_id", "credential_hash", "line")
 
 
 # Decoding.

@@ -159,12 +159,12 @@ def decode_mime_words(spark: SparkSession, folder: str) -> DataFrame:
 # Triage and allowlists.
 
 
-@query(f"""WITH {FINDINGS}, r AS (SELECT doc_id, k, credential_hash, detector_id, CASE WHEN (doc_id + k) % 3 = 0 THEN 'false_positive' ELSE 'confirmed' END AS disposition FROM findings WHERE (doc_id + k) % 4 = 0)
+@query(f"""WITH {FINDINGS}, r AS (SELECT doc_id, k, credential_hash, detector_id, CASE WHEN confidence < 0.6 THEN 'false_positive' ELSE 'confirmed' END AS disposition FROM findings)
 SELECT detector_id, disposition, count(*)::BIGINT AS n, count(DISTINCT credential_hash)::BIGINT AS n_values FROM r GROUP BY 1, 2""")
 def triage_import(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews as JSON envelopes, one for each document, imported."""
-    rows = findings(_docs(spark, folder)).where("(doc_id + k) % 4 = 0")
-    record = F.struct(F.col("credential_hash").alias("finding_hash"), "detector_id", F.when((F.col("doc_id") + F.col("k")) % 3 == 0, "false_positive").otherwise("confirmed").alias("disposition"), F.lit("reviewed").alias("reason"))
+    rows = findings(_docs(spark, folder))
+    record = F.struct(F.col("credential_hash").alias("finding_hash"), "detector_id", F.when(F.col("confidence") < 0.6, "false_positive").otherwise("confirmed").alias("disposition"), F.lit("reviewed").alias("reason"))
     envelopes = rows.groupBy("doc_id").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit("d1").alias("detector_digest"), F.collect_list(record).alias("records"))).alias("envelope"))
     good, _ = admission.triage(envelopes, "d1")
     return good.groupBy("detector_id", "disposition").agg(F.count("*").alias("n"), F.count_distinct("finding_hash").alias("n_values"))

@@ -9,7 +9,7 @@ from siftlake.functions import codecs as C
 from siftlake.functions import text as T
 from siftlake.operators import extract as E
 from siftlake.operators import score, suppress
-from siftlake.sources.tables import CHUNKS, FINDINGS, SEEDED, chunks, findings, read, seeded_chunks
+from siftlake.sources.tables import CHUNKS, ENTROPY, FINDINGS, SEEDED, chunks, findings, read, scan_sql, seeded_chunks
 
 from .detectors import BUILT_IN, SEVERITIES, detector_table, search
 from .registry import query
@@ -31,7 +31,6 @@ def quoted(value: str) -> str:
 LINES = "lines AS (SELECT doc_id, unnest(range(1, len(s) + 1))::BIGINT AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {table}))"
 ASSIGNED = f"assigned AS (SELECT doc_id, line_no, lower(unnest(regexp_extract_all(line, {quoted(E.ASSIGNMENT)}, 1))) AS keyword, unnest(regexp_extract_all(line, {quoted(E.ASSIGNMENT)}, 2)) AS value FROM lines)"
 SEEDED_ASSIGNED = f"WITH {SEEDED}, {LINES.format(table='seeded')}, {ASSIGNED}"
-ENTROPY = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda x: -(len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v})) * log2(len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v}))))"
 DIVERSITY = "len(list_distinct(string_split({v}, ''))) / length({v})"
 RUN = "list_max(list_transform(range(1, length({v}) + 1), lambda i: length(regexp_extract(substr({v}, i), '^(?:' || regexp_escape(substr({v}, i, 1)) || ')+'))))"
 REDACTED = "CASE WHEN length({v}) <= 8 THEN '****' ELSE left({v}, least(4, greatest(1, length({v}) // 8))::INT) || '...' || right({v}, least(4, greatest(1, length({v}) // 8))::INT) END"
@@ -90,20 +89,7 @@ def entropy_token_lines(spark: SparkSession, folder: str) -> DataFrame:
     return E.entropy_tokens(_seeded(spark, folder), 3.5).select("doc_id", "line_no", F.sha2("value", 256).alias("credential_hash"), "entropy")
 
 
-def _scan_sql() -> str:
-    parts = []
-    for d in BUILT_IN:
-        for p in d.patterns:
-            rx, keys = quoted(p.regex), " OR ".join(f"contains(lower(text), {quoted(k)})" for k in d.keywords)
-            parts.append(f"SELECT doc_id, {quoted(d.id)} AS detector_id, regexp_split_to_array(text, {rx}) AS parts, regexp_extract_all(text, {rx}) AS whole, regexp_extract_all(text, {rx}, {p.group}) AS own, text FROM seeded WHERE {keys}")
-    return f"""WITH {SEEDED}, found AS ({' UNION ALL '.join(parts)}),
-each AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found),
-placed AS (SELECT doc_id, detector_id, own[i] AS value, text, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) + strpos(whole[i], own[i]) - 1 AS start FROM each),
-matches AS (SELECT doc_id, detector_id, value, octet_length(encode(left(text, start::INT)))::BIGINT AS byte_offset, (length(left(text, start::INT)) - length(replace(left(text, start::INT), chr(10), '')) + 1)::BIGINT AS line_no FROM placed WHERE value <> '')
-"""
-
-
-SCAN = _scan_sql()
+SCAN = f"WITH {SEEDED}, {scan_sql(BUILT_IN, 'seeded')}\n"
 SCAN_COLUMNS = f"doc_id, detector_id, {REDACTED.format(v='value')} AS redacted, sha256(value) AS credential_hash, line_no, byte_offset"
 
 

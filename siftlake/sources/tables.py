@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftlake.plans.detectors import BUILT_IN, ENTROPY_TOKEN, SEVERITIES, Detector
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -43,21 +45,38 @@ def seeded_chunks(docs: DataFrame) -> DataFrame:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """Three findings for each document, derived from its columns, with values that recur over documents and paths."""
-    rows = docs.select("doc_id", "source", "lang", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
-    at = F.pmod(F.col("doc_id") + F.col("k"), F.lit(4))
-    return rows.select(
+    """What a scan by four detectors finds in the texts and in three lines behind each, whose values recur over documents and paths.
+
+    doc_id, k (its number in the document), detector_id, service, severity_rank, credential_hash, path, line, offset and confidence.
+    """
+    from siftlake.operators import extract, score
+    from siftlake.functions import text as T
+
+    hexes = F.sha2(F.pmod(F.col("doc_id"), F.lit(97)).cast("string"), 256)
+    upper, digits, part = F.translate(F.upper("_hex"), "0189", "GHIJ"), F.translate("_hex", "abcdef", "012345"), F.substring
+    kinds = F.array(
+        F.concat(F.lit("id AKIA"), part(upper, 1, 16)),
+        F.concat(F.lit('password = "'), part("_hex", 1, 20), F.lit('"')),
+        F.concat(F.lit("slack: xoxb-"), part(digits, 1, 12), F.lit("-"), part(digits, 13, 12), F.lit("-"), part("_hex", 1, 24)),
+        F.concat(F.lit("bearer "), part("_hex", 1, 40)),
+    )
+    line = lambda n: F.get(kinds, F.pmod(F.col("doc_id") + n, F.lit(4)).cast("int"))
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/f"), F.pmod(F.col("doc_id"), F.lit(40)).cast("string"), F.lit(".txt"))
+    zero = F.lit(0).cast("long")
+    rows = docs.withColumn("_hex", hexes).select("doc_id", path.alias("path"), F.concat_ws("\n", F.coalesce("text", F.lit("")), line(0), line(1), line(2)).alias("text"), zero.alias("base_line"), zero.alias("base_offset"))
+    found = extract.with_detector(extract.scan(rows, FOUND_BY), FOUND_BY)
+    order = Window.partitionBy("doc_id").orderBy("byte_offset", "detector_id", "value")
+    return found.select(
         "doc_id",
-        "k",
-        pick(("aws-access-key", "generic-secret", "slack-bot-token", "entropy-token"), at).alias("detector_id"),
-        pick(("aws", "generic", "slack", "generic"), at).alias("service"),
-        F.pmod(F.col("doc_id") + F.col("k"), F.lit(6)).cast("int").alias("severity_rank"),
-        F.sha2(F.concat(F.pmod(F.col("doc_id"), F.lit(97)).cast("string"), F.lit(":"), F.pmod(F.col("k"), F.lit(2)).cast("string")), 256).alias("credential_hash"),
-        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/f"), F.pmod(F.col("doc_id"), F.lit(40)).cast("string"), F.lit(".txt")).alias("path"),
-        (F.pmod(F.col("n"), F.lit(500)) + 1 + 3 * F.col("k")).cast("long").alias("line"),
-        (F.pmod(F.col("n"), F.lit(500)) * 40 + F.col("k")).cast("long").alias("offset"),
-        (F.pmod(F.col("n") * 7 + F.col("k") * 37, F.lit(1000)) / 1000.0).alias("confidence"),
+        (F.row_number().over(order) - 1).alias("k"),
+        "detector_id",
+        "service",
+        "severity_rank",
+        F.sha2("value", 256).alias("credential_hash"),
+        "path",
+        F.col("line_no").alias("line"),
+        F.col("byte_offset").alias("offset"),
+        F.round(score.generic_confidence(T.shannon_entropy(F.col("value")), F.length("value")), 6).alias("confidence"),
     )
 
 
@@ -76,9 +95,29 @@ seeded AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, '
   WHEN 7 THEN 'sha256 checksum ' || h
   WHEN 8 THEN 'secret=' || h[1:8] || '-' || h[9:12] || '-4' || h[13:15] || '-a' || h[16:18] || '-' || h[19:30]
   ELSE 'pay: sk_live_' || h[1:24] END AS text FROM spelt)"""
-FINDINGS = """findings AS (SELECT doc_id, k, (['aws-access-key', 'generic-secret', 'slack-bot-token', 'entropy-token'])[(doc_id + k) % 4 + 1] AS detector_id,
-  (['aws', 'generic', 'slack', 'generic'])[(doc_id + k) % 4 + 1] AS service, ((doc_id + k) % 6)::INT AS severity_rank,
-  sha256((doc_id % 97)::VARCHAR || ':' || (k % 2)::VARCHAR) AS credential_hash,
-  coalesce(source, '') || '/' || coalesce(lang, '') || '/f' || (doc_id % 40)::VARCHAR || '.txt' AS path,
-  (n % 500 + 1 + 3 * k)::BIGINT AS line, (n % 500 * 40 + k)::BIGINT AS "offset", ((n * 7 + k * 37) % 1000) / 1000.0::DOUBLE AS confidence
-  FROM (SELECT doc_id, source, lang, length(text) AS n, unnest([0, 1, 2]) AS k FROM documents))"""
+ENTROPY = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda x: -(len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v})) * log2(len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v}))))"
+
+
+def scan_sql(detectors: tuple[Detector, ...], table: str, prefix: str = "") -> str:
+    """Common table expressions, up to ``{prefix}matches``: doc_id, detector_id, value, byte_offset and line_no of what the detectors find in a table."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for d in detectors:
+        for p in d.patterns:
+            rx, keys = quoted(p.regex), " OR ".join(f"contains(lower(text), {quoted(k)})" for k in d.keywords)
+            parts.append(f"SELECT doc_id, {quoted(d.id)} AS detector_id, regexp_split_to_array(text, {rx}) AS parts, regexp_extract_all(text, {rx}) AS whole, regexp_extract_all(text, {rx}, {p.group}) AS own, text FROM {table} WHERE {keys}")
+    return f"""{prefix}found AS ({' UNION ALL '.join(parts)}),
+{prefix}each AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM {prefix}found),
+{prefix}placed AS (SELECT doc_id, detector_id, own[i] AS value, text, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) + strpos(whole[i], own[i]) - 1 AS start FROM {prefix}each),
+{prefix}matches AS (SELECT doc_id, detector_id, value, octet_length(encode(left(text, start::INT)))::BIGINT AS byte_offset, (length(left(text, start::INT)) - length(replace(left(text, start::INT), chr(10), '')) + 1)::BIGINT AS line_no FROM {prefix}placed WHERE value <> '')"""
+
+
+FOUND_BY = (*(d for d in BUILT_IN if d.id in ("aws-access-key", "generic-secret", "slack-bot-token")), ENTROPY_TOKEN)
+_LINE = """CASE (doc_id + {n}) % 4 WHEN 0 THEN 'id AKIA' || u[1:16] WHEN 1 THEN 'password = "' || h[1:20] || '"' WHEN 2 THEN 'slack: xoxb-' || d[1:12] || '-' || d[13:24] || '-' || h[1:24] ELSE 'bearer ' || h[1:40] END"""
+FINDINGS = f"""f_hexed AS (SELECT *, sha256((doc_id % 97)::VARCHAR) AS h FROM documents), f_spelt AS (SELECT *, translate(upper(h), '0189', 'GHIJ') AS u, translate(h, 'abcdef', '012345') AS d FROM f_hexed),
+f_seeded AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/f' || (doc_id % 40)::VARCHAR || '.txt' AS path, coalesce(text, '') || chr(10) || {_LINE.format(n=0)} || chr(10) || {_LINE.format(n=1)} || chr(10) || {_LINE.format(n=2)} AS text FROM f_spelt),
+{scan_sql(FOUND_BY, 'f_seeded', 'f_')}, f_scored AS (SELECT *, {ENTROPY.format(v='value')} AS e FROM f_matches),
+findings AS (SELECT m.doc_id, (row_number() OVER (PARTITION BY m.doc_id ORDER BY byte_offset, detector_id, value) - 1)::INT AS k, detector_id, CASE detector_id WHEN 'aws-access-key' THEN 'aws' WHEN 'slack-bot-token' THEN 'slack' ELSE 'generic' END AS service,
+  (CASE detector_id {' '.join(f"WHEN '{d.id}' THEN {SEVERITIES.index(d.severity)}" for d in FOUND_BY)} END)::INT AS severity_rank, sha256(value) AS credential_hash, path, line_no AS line, byte_offset AS "offset",
+  round(least(0.95::DOUBLE, 0.5::DOUBLE + CASE WHEN e >= 4.5 THEN 0.2::DOUBLE WHEN e >= 3.5 THEN 0.1 ELSE 0 END + CASE WHEN length(value) >= 32 THEN 0.15::DOUBLE WHEN length(value) >= 20 THEN 0.05 ELSE 0 END), 6) AS confidence
+  FROM f_scored m JOIN f_seeded s ON s.doc_id = m.doc_id)"""

@@ -14,9 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from siftlake import storage
 from siftlake.functions import codecs
 from siftlake.functions import text as T
-from siftlake.operators import context, decode, documents, extract, score, shapes, windows
+from siftlake.operators import context, decode, documents, extract, resolve, score, shapes, windows
 from siftlake.plans import engine
 from siftlake.plans.detectors import BUILT_IN, Companion, Detector, Pattern, Relation, audit, capturing_groups, load, numbered
 from siftlake.sources import packages, structured
@@ -330,6 +331,28 @@ def test_report_documents_are_whole(spark):
     assert [(r.path, r.line) for r in documents.in_order(rows).collect()] == [(x["path"], x["line"]) for x in array]
 
 
+def test_locations_targets_and_windows(spark):
+    rows = [(1, 0, "d", "h", "p", 5, 50), (1, 1, "d", "h", "p", 5, 40), (1, 2, "d", "h", "p", 9, 90), (2, 0, "d", "h", "q", 1, 10), (2, 1, "d", "h", "q", 60, 600)]
+    found = spark.createDataFrame([(*r, 0.5, "s", 1) for r in rows], "doc_id long, k int, detector_id string, credential_hash string, path string, line long, offset long, confidence double, service string, severity_rank int")
+    one = resolve.dedup(found, "credential", locations=True).first()
+    assert (one.path, one.line, [tuple(x) for x in one.additional], one.n_additional) == ("q", 1, [("p", 5), ("p", 9), ("q", 60)], 3)
+    assert [[tuple(x) for x in r.additional] for r in resolve.dedup(found, "file", locations=True).orderBy("path").collect()] == [[("p", 9)], [("q", 60)]]
+    assert sorted((r.path, r.line) for r in resolve.near_once(found, 50).collect()) == [("p", 5), ("q", 1), ("q", 60)]
+    targets = spark.createDataFrame([(1, "10.0.0.2", 7), (1, "10.0.0.1", 9), (2, "b", 40), (2, "a", 40), (3, "c", 1)], "doc_id long, target string, line long")
+    got = {(r.doc_id, r.k): (r.target, r.relation, r.distance) for r in resolve.nearest_targets(found, targets).collect()}
+    assert got == {(1, 0): ("10.0.0.2", "same_file", 2), (1, 1): ("10.0.0.2", "same_file", 2), (1, 2): ("10.0.0.1", "same_line", 0), (2, 0): ("a", "same_file", 39), (2, 1): ("a", "same_file", 20)}
+    inner = spark.createDataFrame([(2, 0, "z")], "doc_id long, k int, target string")
+    assert {r.relation for r in resolve.nearest_targets(found, targets, inner).where("doc_id = 2 AND k = 0").collect()} == {"decoded"}
+
+
+def test_shared_folder_is_cleared(spark):
+    import os
+
+    held = storage.stored(spark.range(3), "cleared")
+    path = held.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and storage.clear(spark) > 0 and not os.path.exists(path)
+
+
 def test_states_of_roots(spark):
     rows = [(1, "barrier", 1), (1, "modify", 2), (2, "overflow", 1), (2, "modify", 2), (2, "reconcile", 3), (3, "barrier", 1), (3, "policy", 2), (4, "stop", 1), (4, "barrier", 2)]
     got = {r.root: r.state for r in events.final_states(spark.createDataFrame(rows, "root long, kind string, seq long")).collect()}
