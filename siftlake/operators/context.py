@@ -49,7 +49,7 @@ def line_contexts(lines: DataFrame, path: Column) -> DataFrame:
 
 
 #: Roles of lines outside of code fences, in order: the first whose pattern fits.
-ROLES = (("roff", r"^\.(?:TH|SH|SS|TP|PP|B|I|BR|IR)(?:\s|$)"), ("shell", r"^\s*(?:\$|#!|>>>) ?\S"), ("heading", r"^#{1,6} \S"), ("list", r"^\s*(?:[-*+]|[0-9]+\.) \S"), ("prose", r"^[^\s=:{}<>;]+(?: [^\s={}<>;]+){5,}$"), ("blank", r"^\s*$"))
+ROLES = (("roff", r"^\.(?:TH|SH|SS|TP|PP|B|I|BR|IR)(?:\s|$)"), ("shell", r"^\s*(?:\$|#!|>>>) ?\S"), ("heading", r"^#{1,6} \S"), ("list", r"^\s*(?:[-*+]|[0-9]+\.) \S"), ("prose", r"^(?:[^\s={}<>;]+ ){5}[^={}<>;]*[^\s={}<>;]$"), ("blank", r"^\s*$"))
 
 
 def line_roles(lines: DataFrame) -> DataFrame:

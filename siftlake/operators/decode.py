@@ -17,13 +17,13 @@ WORD = r"\S{8,}"
 DECODERS: dict[str, tuple[str, str | None, Callable[[Column], Column]]] = {
     "base64": (r"[A-Za-z0-9+/_-]{12,}={0,2}", None, C.decode_base64),
     "hex": (r"(?:[0-9a-fA-F]{2}){8,}", None, C.decode_hex),
-    "url": (r"(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})*(?:%[0-9A-Fa-f]{2})(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})*", None, C.decode_url),
+    "url": (r"[A-Za-z0-9._~%-]*%[0-9A-Fa-f]{2}[A-Za-z0-9._~%-]*", None, C.decode_url),
     "quoted-printable": (WORD, "=[0-9A-F]{2}.*=[0-9A-F]{2}", lambda v: quoted_printable(v)),
     "html-named-entity": (WORD, "&(?:lt|gt|quot|apos|amp);", lambda v: named_entities(v)),
     "html-numeric-entity": (WORD, "&#[xX]?[0-9a-fA-F]{1,7};.*&#[xX]?[0-9a-fA-F]{1,7};", lambda v: numeric_entities(v)),
     "octal-escape": (WORD, r"\\[0-3][0-7]{2}.*\\[0-3][0-7]{2}", lambda v: octal_escapes(v)),
     "mime-encoded-word": (r"=\?[uU][tT][fF]-8\?[bB]\?[A-Za-z0-9+/=]+\?=", None, lambda v: mime_words(v)),
-    "json": (r'"(?:[^"\\\n]|\\.){8,}"', r"\\", lambda v: C.decode_json_escapes(F.substring(v, F.lit(2), F.length(v) - 2))),
+    "json": (r'"(?:[^"\\\n]|\\.){8,}+"', r"\\", lambda v: C.decode_json_escapes(F.substring(v, F.lit(2), F.length(v) - 2))),
     "unicode-escape": (WORD, r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2})", lambda v: unicode_escapes(v)),
     "z85": (r"[0-9A-Za-z.:+=^!/*?&<>()\[\]{}@%$#-]{20,}", None, lambda v: z85(v)),
     "javascript-static": (r"""atob\(['"][A-Za-z0-9+/=]{8,}['"](?:\.split\(['"]{2}\)\.reverse\(\)\.join\(['"]{2}\))?\)""", None, lambda v: javascript_static(v)),

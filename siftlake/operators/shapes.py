@@ -53,9 +53,13 @@ TEXT = (
 STAGES = (*SOURCE, *PUBLIC, *TEXT)
 
 
+#: Characters of a value whose shape is asked for: longer ones are no credentials, and repeated groups of a pattern take a stack of their length.
+MOST = 512
+
+
 def shape(value: Column) -> Column:
-    """The name of the first shape that the value has; null if none."""
-    return F.coalesce(*(F.when(value.rlike(rx), name) for name, rx in STAGES))
+    """The name of the first shape that the value has; null if none, or if it has over MOST characters."""
+    return F.when(F.length(value) <= MOST, F.coalesce(*(F.when(value.rlike(rx), name) for name, rx in STAGES)))
 
 
 #: Joining words of English: three of them in a row of words make prose.

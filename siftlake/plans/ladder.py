@@ -57,7 +57,7 @@ def document_roles(spark: SparkSession, folder: str) -> DataFrame:
     return context.role_spans(extract.lines(_seeded(spark, folder).withColumn("text", fenced)))
 
 
-SHAPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(value, {quoted(rx)}) THEN {quoted(name)}" for name, rx in shapes.STAGES) + " END"
+SHAPE_SQL = f"CASE WHEN length(value) > {shapes.MOST} THEN NULL " + " ".join(f"WHEN regexp_matches(value, {quoted(rx)}) THEN {quoted(name)}" for name, rx in shapes.STAGES) + " END"
 
 
 @query(f"""WITH {SEEDED}, v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\n"]{{4,40}}') || regexp_extract_all(text, '[^ \\n"]{{4,}}')) AS value FROM seeded UNION SELECT url FROM pages UNION SELECT unnest(regexp_extract_all(html, '[^ \\n"]{{4,}}')) FROM pages)

@@ -66,7 +66,7 @@ def kubernetes_secrets(lines: DataFrame) -> DataFrame:
     return coded.unionByName(_pairs(_below(own, "stringData")).select("doc_id", "line_no", "key", "value")).where("value IS NOT NULL")
 
 
-HCL_PAIR = r"""^\s*["']?([A-Za-z_][A-Za-z0-9_-]*)["']?\s*=\s*"((?:[^"\\]|\\.)*)"\s*,?\s*(?:#.*|//.*)?$"""
+HCL_PAIR = r"""^\s*["']?([A-Za-z_][A-Za-z0-9_-]*)["']?\s*=\s*"((?:[^"\\]|\\.)*+)"\s*,?\s*(?:#.*|//.*)?$"""
 
 
 def hcl_pairs(lines: DataFrame) -> DataFrame:

@@ -109,6 +109,19 @@ def test_decoding_reports_and_bounds(spark):
     assert column(spark, ["ab\0cdefghijk", "abcdefgh1", "a b c"], decode.screened) == [False, True, False]
 
 
+def test_very_long_lines_and_values(spark):
+    """Patterns with repeated groups don't take a stack of the text's length."""
+    long = [" ".join(f"w{k}" for k in range(30000)), '"' + "a\\n" * 30000 + '"', "%41" * 30000, "a_b" * 30000, "key = \"" + "\\\\x" * 30000 + '"', ".".join(["a"] * 30000), "\\u0041" * 20000]
+    rows = chunk(spark, *long)
+    assert {r.via for r in decode.decode_through(rows, 1, ("json", "url", "unicode-escape", "base64", "hex")).collect()} >= {"json", "url", "unicode-escape"}
+    lines = extract.lines(rows)
+    assert context.line_roles(lines).where("role = 'prose'").count() >= 1
+    assert lines.select(shapes.shape(F.col("line")).alias("s")).where("s IS NOT NULL").count() == 0
+    assert structured.hcl_pairs(lines).count() == 1
+    assert windows.continuations(lines, "doc_id").count() == 0
+    assert engine.candidates(rows, BUILT_IN, "fast").count() >= 0
+
+
 def test_codes_and_addresses(spark):
     assert column(spark, ["", "a", "foobar", "é"], codecs.fnv1a_32) == [0x811C9DC5, 0xE40C292C, 0xBF9CF968, fnv("é".encode())]
     hosts = ["::1", "::", "fe80::1", "fd12:3456::", "2001:db8::8", "2606:4700::1111", "ff02::1", "::ffff:10:1", "1:2:3:4:5:6:7:8", "1:2:3", "1::2::3", ":::", "1:2:3:4:5:6:7:8:9", "g::1", "12345::"]
