@@ -50,13 +50,15 @@ def read_files(spark: SparkSession, root: str, most: int = 1 << 27, glob: str =
     return chunks, listed.where("reason IS NOT NULL").select("path", "reason").unionByName(kept.where("reason IS NOT NULL").select("path", "reason"))
 
 
-def archive_members(files: DataFrame, most: int = 1 << 26) -> DataFrame:
-    """Members of ``files`` (path, content) that are zip, tar, tar.gz, gzip, bzip2 or xz: path, member, content and state.
+def archive_members(files: DataFrame, most: int = 1 << 26, depth: int = 3) -> DataFrame:
+    """Members of ``files`` (path, content) that are zip, tar (packed or not), gzip, bzip2, xz or zstd: path, member, content and state.
 
-    Together at most ``most`` bytes of each archive are unpacked; state says ``truncated`` for what goes beyond, ``invalid`` for broken archives.
+    Archives inside of archives are opened up to ``depth`` levels; their members are named after them, with ``!`` between. Together at most ``most`` bytes of each
+    file are unpacked; state says ``truncated`` for what goes beyond, ``invalid`` for broken archives.
     """
 
-    def members(path: str, content: bytes) -> Iterator[tuple[str, str | None, bytes | None, str]]:
+    def opened(content: bytes, left: list[int]) -> Iterator[tuple[str, bytes, str]] | None:
+        """Name, content and state of the members; None if this is no archive."""
         import bz2
         import gzip
         import io
@@ -64,44 +66,95 @@ def archive_members(files: DataFrame, most: int = 1 << 26) -> DataFrame:
         import tarfile
         import zipfile
 
-        left = most
+        def taken(stream) -> tuple[bytes, str]:
+            data = stream.read(left[0] + 1)
+            state = "read" if len(data) <= left[0] else "truncated"
+            data = data[: left[0]]
+            left[0] -= len(data)
+            return data, state
+
+        def of_zip():
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for info in z.infolist():
+                    if not info.is_dir():
+                        yield info.filename, *taken(z.open(info))
+
+        def of_tar():
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                for info in t:
+                    if info.isfile():
+                        yield info.name, *taken(t.extractfile(info))
+
+        def single(opener):
+            yield "", *taken(opener(io.BytesIO(content)))
+
+        if content.startswith(b"PK") and zipfile.is_zipfile(io.BytesIO(content)):
+            return of_zip()
         try:
-            if zipfile.is_zipfile(io.BytesIO(content)):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            data = z.open(info).read(left + 1)
-                            yield (path, info.filename, data[:left], "read" if len(data) <= left else "truncated")
-                            left -= min(len(data), left)
-                return
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-                    for info in t:
-                        if info.isfile():
-                            data = t.extractfile(info).read(left + 1)
-                            yield (path, info.name, data[:left], "read" if len(data) <= left else "truncated")
-                            left -= min(len(data), left)
+            tarfile.open(fileobj=io.BytesIO(content), mode="r:*").close()
+            return of_tar()
+        except (tarfile.TarError, EOFError, OSError, lzma.LZMAError):
+            pass
+        openers = {b"\x1f\x8b": gzip.open, b"BZh": bz2.open, b"\xfd7zXZ": lzma.open}
+        try:
+            import zstandard
+
+            openers[b"\x28\xb5\x2f\xfd"] = zstandard.ZstdDecompressor().stream_reader
+        except ImportError:
+            pass
+        return next((single(o) for head, o in openers.items() if content.startswith(head)), None)
+
+    def members(content: bytes, prefix: str, levels: int, left: list[int]) -> Iterator[tuple[str | None, bytes | None, str]]:
+        try:
+            found = opened(content, left)
+            if found is None:
+                yield prefix or None, None, "not_an_archive"
                 return
-            except tarfile.ReadError:
-                pass
-            for head, opener in ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ", lzma.open)):
-                if content.startswith(head):
-                    data = opener(io.BytesIO(content)).read(left + 1)
-                    yield (path, path.rsplit("/", 1)[-1].rsplit(".", 1)[0], data[:left], "read" if len(data) <= left else "truncated")
-                    return
-            yield (path, None, None, "not_an_archive")
-        except (OSError, EOFError, zipfile.BadZipFile, lzma.LZMAError, tarfile.TarError):
-            yield (path, None, None, "invalid")
+            for name, data, state in found:
+                name = f"{prefix}!{name}" if prefix and name else prefix or name
+                inner = opened(data, left) is not None if levels > 1 and state == "read" else False
+                if inner:
+                    yield from members(data, name, levels - 1, left)
+                else:
+                    yield name, data, state
+        except Exception as fault:  # every library has faults of its own for broken archives
+            if isinstance(fault, MemoryError):
+                raise
+            yield prefix or None, None, "invalid"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                for row in members(path, bytes(content or b"")):
-                    yield pd.DataFrame([row], columns=["path", "member", "content", "state"])
+                own = (path or "").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows = [(path, own if m == "" else m, c, s) for m, c, s in members(bytes(content or b""), "", depth, [most])]
+                yield pd.DataFrame(rows, columns=["path", "member", "content", "state"])
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, content binary, state string")
 
 
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """Rules of ignore files (path, text): folder, seq, keep (the rule begins with ``!``) and regex, for paths below the folder."""
+    lines = files.select(F.regexp_replace("path", r"[^/]*$", "").alias("folder"), F.posexplode(F.split("text", r"\r?\n")).alias("seq", "line")).withColumn("line", F.rtrim("line"))
+    rules = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("keep", F.col("line").startswith("!"))
+    glob = F.regexp_replace(F.regexp_replace("line", "^!", ""), "/$", "")
+    plain = F.regexp_replace(glob, r"([.+^$(){}|\\\[\]])", r"\\$1")
+    for mark, regex in (("**/", "\x01"), ("/**", "\x02"), ("**", "\x03"), ("*", "[^/]*"), ("?", "[^/]"), ("\x01", "(?:[^/]+/)*"), ("\x02", "/.*"), ("\x03", ".*")):
+        plain = F.replace(plain, F.lit(mark), F.lit(regex))
+    head = F.when(glob.contains("/"), "").otherwise("(?:.*/)?")
+    return rules.select("folder", "seq", "keep", F.concat(F.lit("^"), head, F.regexp_replace(plain, "^/", ""), F.lit("(?:/.*)?$")).alias("regex"))
+
+
+def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files (path and others) that no rule of a folder above them ignores: of the rules that fit, the last one of the deepest folder decides."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n > 0, "/").otherwise("")))
+    each = files.select("path", F.explode(above).alias("folder")).distinct()
+    rest = F.substring("path", F.length("folder") + 1, F.length("path"))
+    hits = each.join(rules, "folder").where(F.regexp(rest, F.col("regex")))
+    dropped = hits.groupBy("path").agg(F.max_by("keep", F.struct(F.length("folder"), "seq")).alias("keep")).where("NOT keep")
+    return files.join(dropped, "path", "left_anti")
+
+
 def printable_runs(content: Column, least: int = 6) -> Column:
     """Runs of printable ASCII in bytes."""
     return F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(f"[ -~]{{{least},}}"), F.lit(0))

@@ -20,7 +20,7 @@ from siftlake.functions import text as T
 from siftlake.operators import context, decode, documents, extract, resolve, score, shapes, windows
 from siftlake.plans import engine
 from siftlake.plans.detectors import BUILT_IN, Companion, Detector, Pattern, Relation, audit, capturing_groups, load, numbered
-from siftlake.sources import packages, structured
+from siftlake.sources import files, packages, structured
 from siftlake.sources.tables import findings, read
 from siftlake.streaming import events
 
@@ -305,6 +305,33 @@ def test_container_images(spark):
     assert bytes(small.content) == b"on" and small.state == "truncated"
 
 
+def test_archives_in_archives(spark):
+    import bz2
+    import gzip
+    import zipfile
+
+    import zstandard
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "one")
+        z.writestr("in.tar", tar({"b.txt": b"two", "c.gz": gzip.compress(b"three")}))
+    rows = [("x/y.zip", out.getvalue()), ("z.txt.zst", zstandard.ZstdCompressor().compress(b"four")), ("w.bz2", bz2.compress(b"five")), ("plain", b"text"), ("bad.gz", b"\x1f\x8b\x08broken"), ("none", None)]
+    found = files.archive_members(spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary"))
+    got = sorted(((r.path, r.member, bytes(r.content) if r.content is not None else None, r.state) for r in found.collect()), key=str)
+    want = [("bad.gz", None, None, "invalid"), ("none", None, None, "not_an_archive"), ("plain", None, None, "not_an_archive"), ("w.bz2", "w", b"five", "read"), ("x/y.zip", "a.txt", b"one", "read"), ("x/y.zip", "in.tar!b.txt", b"two", "read"), ("x/y.zip", "in.tar!c.gz", b"three", "read"), ("z.txt.zst", "z.txt", b"four", "read")]
+    assert got == sorted(want, key=str)
+    small = files.archive_members(spark.createDataFrame([("w.bz2", bytearray(bz2.compress(b"five")))], "path string, content binary"), most=2).first()
+    assert bytes(small.content) == b"fi" and small.state == "truncated"
+
+
+def test_ignore_files(spark):
+    rules = files.ignore_rules(spark.createDataFrame([(".gitignore", "*.log\n# no\n/build/\ndocs/**/x.md\n\n"), ("a/.gitignore", "!keep.log\ntmp?")], "path string, text string"))
+    paths = ["m.py", "e.log", "a/e.log", "a/keep.log", "keep.log", "build/o", "a/build/o", "docs/x.md", "docs/p/q/x.md", "docs/y.md", "a/tmp1/z", "tmp1", "a/b/tmp2"]
+    kept = {r.path for r in files.not_ignored(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()}
+    assert kept == {"m.py", "a/keep.log", "a/build/o", "docs/y.md", "tmp1"}
+
+
 def test_pages_and_continuations(spark):
     page = "<html><style>x{}</style><script>var a=1</script><!-- no --><p>Tom &amp; Jerry&#33;</p>\n<b>end</b>"
     assert column(spark, [page], structured.page_text) == ["Tom & Jerry! end"]
