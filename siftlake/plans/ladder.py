@@ -189,3 +189,13 @@ def catalogue_scan(spark: SparkSession, folder: str, anchors: bool) -> DataFrame
     rows = _seeded(spark, folder).withColumn("text", F.concat("text", F.lit("\nkey k"), n, F.lit("_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 24)))
     found = extract.scan(rows, (*(d for d in BUILT_IN if d.id not in engine.GENERIC), *numbered(MANY)), anchors=anchors)
     return found.select("doc_id", "detector_id", F.sha2("value", 256).alias("credential_hash"), "line_no")
+
+
+@query()
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Long words of the texts with their number of tokens, and whether that makes them words of a language; each distinct one is encoded once."""
+    from siftlake.functions.tokens import token_counter, word_like
+
+    words = extract.lines(_seeded(spark, folder)).select(F.explode(F.regexp_extract_all("line", F.lit(r"[^ \n]{8,}"), F.lit(0))).alias("value")).distinct()
+    counted = words.withColumn("n_tokens", token_counter(spark)(F.col("value")))
+    return counted.select(F.sha2("value", 256).alias("value_hash"), "n_tokens", word_like(F.col("value"), F.col("n_tokens")).alias("word_like"))

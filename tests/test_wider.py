@@ -268,6 +268,19 @@ def test_shapes_prose_and_lists(spark):
 # Sources.
 
 
+def test_tokens_of_values(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from siftlake.functions.tokens import token_counter, word_like
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    values = ["information", "x7Gh2Kq9LmZ4vB1n", "", "administrator_password", "é", None]
+    n = column(spark, values, token_counter(spark))
+    assert n == [len(tokenizer.encode(v or "", add_special_tokens=False).ids) for v in values]
+    assert column(spark, values[:2], lambda c: word_like(c, token_counter(spark)(c))) == [True, False]
+
+
 def test_sources_by_name(spark, tmp_path):
     with pytest.raises(ValueError, match="retired"):
         packages.source("fs")
