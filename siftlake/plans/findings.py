@@ -9,6 +9,7 @@ from siftlake.functions import text as T
 from siftlake.operators import decode, extract, report, resolve, score, stats, verify, windows
 from siftlake.sources import files
 from siftlake.sources.tables import CHUNKS, FINDINGS, SEEDED, chunks, findings, read, seeded_chunks
+from siftlake.storage import stored
 from siftlake.streaming import events as S
 
 from .registry import query
@@ -113,7 +114,8 @@ SELECT doc_id, k, target, CASE WHEN distance = 0 THEN 'same_line' ELSE 'same_fil
 def access_target_nearest(spark: SparkSession, folder: str) -> DataFrame:
     rows = extract.lines(chunks(_docs(spark, folder)))
     targets = rows.select("doc_id", F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(extract.IPV4 + "|" + extract.EMAIL), F.lit(0))).alias("target"))
-    return resolve.nearest_targets(_found(spark, folder), targets).withColumn("confidence", F.round("confidence", 6))
+    found = stored(_found(spark, folder), "findings")  # hashes, no values; it is read twice
+    return resolve.nearest_targets(found, targets).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"""WITH {FINDINGS}, u AS (SELECT detector_id, credential_hash, line, 0 AS src FROM findings WHERE k = 0 UNION ALL SELECT detector_id, credential_hash, line, 1 FROM findings WHERE k > 0),
@@ -252,10 +254,11 @@ def diff_hunk_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
     return windows.added_lines(body.unionByName(heads)).select("doc_id", "path", F.col("new_line").cast("long").alias("new_line"), F.sha2("line", 256).alias("line_hash"))
 
 
-@query(f"""WITH {FINDINGS}, g AS (SELECT DISTINCT path, detector_id AS prefix, line, left(credential_hash, 6) AS value FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY path, prefix ORDER BY line DESC, value DESC) AS rn FROM g), t AS (SELECT * FROM r)
+@query(f"""WITH {FINDINGS}, g AS (SELECT DISTINCT path || '#' || doc_id AS path, detector_id AS prefix, line, left(credential_hash, 6) AS value FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY path, prefix ORDER BY line DESC, value DESC) AS rn FROM g), t AS (SELECT * FROM r)
 SELECT a.path, a.prefix, a.line, b.line AS line_b, a.value || b.value AS joined FROM t a JOIN t b ON a.path = b.path AND a.prefix = b.prefix AND (a.line <> b.line OR a.value <> b.value) AND abs(a.line - b.line) < 100""")
 def fragment_self_join(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _found(spark, folder).select("path", F.col("detector_id").alias("prefix"), "line", F.left("credential_hash", F.lit(6)).alias("value"))
+    path = F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path")
+    rows = _found(spark, folder).select(path, F.col("detector_id").alias("prefix"), "line", F.left("credential_hash", F.lit(6)).alias("value"))
     return windows.joined_fragments(rows)
 
 
