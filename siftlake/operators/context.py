@@ -17,15 +17,16 @@ DOCUMENTATION_PATH = r"(^|/)docs?(/|$)|(^|/)(readme|changelog|contributing|licen
 BEGIN_ENCRYPTED, END_ENCRYPTED = r"-----BEGIN PGP MESSAGE-----|\$ANSIBLE_VAULT;", r"-----END PGP MESSAGE-----"
 
 
-def context_of(line: Column, before: Column, path: Column) -> Column:
-    """The class of the place of a match: ``line`` holds it, ``before`` is the text that ends where it begins.
+def context_of(line: Column, before: Column, path: Column, state: Column | None = None) -> Column:
+    """The class of the place of a match: ``line`` holds it, ``before`` is the text that ends where it begins; ``state``: the marks that came before that, if it is a block's.
 
     In order: an encrypted block that is open, a test's path, documentation (its path, an open docstring or code fence), a comment, an assignment, a quoted
     string, unknown.
     """
     low = F.lower(F.coalesce(path, F.lit("")))
-    opened = F.regexp_count(before, F.lit(BEGIN_ENCRYPTED)) > F.regexp_count(before, F.lit(END_ENCRYPTED))
-    quoted = (F.regexp_count(before, F.lit('"""')) % 2 == 1) | (F.regexp_count(before, F.lit("(?m)^```")) % 2 == 1)
+    marks = lambda name, rx: F.regexp_count(before, F.lit(rx)) + (F.lit(0) if state is None else state[name])
+    opened = marks("opened", BEGIN_ENCRYPTED) > marks("closed", END_ENCRYPTED)
+    quoted = (marks("quotes", '"""') % 2 == 1) | (marks("fences", "(?md)^```") % 2 == 1)
     return (
         F.when(opened, "encrypted")
         .when(low.rlike(TEST_PATH), "test")

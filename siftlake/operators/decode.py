@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import codecs as C
 
+from . import windows
+from .extract import spans
+
 WORD = r"\S{8,}"
 #: Decoders in order: the shape of a blob, what else it must show (null: nothing), and what it says. A decoder gives null where a blob isn't one.
 #: Those of detectors' prefixes, reverse and caesar, are made by ``for_prefixes``.
 DECODERS: dict[str, tuple[str, str | None, Callable[[Column], Column]]] = {
     "base64": (r"[A-Za-z0-9+/_-]{12,}={0,2}", None, C.decode_base64),
     "hex": (r"(?:[0-9a-fA-F]{2}){8,}", None, C.decode_hex),
-    "url": (r"[A-Za-z0-9._~%-]*%[0-9A-Fa-f]{2}[A-Za-z0-9._~%-]*", None, C.decode_url),
+    "url": (r"(?<![A-Za-z0-9._~%-])(?:[A-Za-z0-9._~-]|%(?![0-9A-Fa-f]{2}))*+%[0-9A-Fa-f]{2}[A-Za-z0-9._~%-]*+", None, C.decode_url),
     "quoted-printable": (WORD, "=[0-9A-F]{2}.*=[0-9A-F]{2}", lambda v: quoted_printable(v)),
     "html-named-entity": (WORD, "&(?:lt|gt|quot|apos|amp);", lambda v: named_entities(v)),
     "html-numeric-entity": (WORD, "&#[xX]?[0-9a-fA-F]{1,7};.*&#[xX]?[0-9a-fA-F]{1,7};", lambda v: numeric_entities(v)),
@@ -34,6 +37,8 @@ DECODERS: dict[str, tuple[str, str | None, Callable[[Column], Column]]] = {
 DEFAULT = tuple(d for d in DECODERS if d != "base32")
 #: Characters of the parent's text on either side of a blob that go into the child's text.
 AROUND = 512
+#: Characters of a text that are searched for blobs at once, and before a blob that may name it.
+WINDOW, NAME = 1 << 15, 64
 CHUNK = ("doc_id", "path", "text", "base_line", "base_offset")
 
 
@@ -94,16 +99,38 @@ def decode_through(chunks: DataFrame, depth: int, decoders=DEFAULT, keys: tuple[
     return out
 
 
-def spliced(chunks: DataFrame, decoders, around: int = AROUND) -> DataFrame:
-    """Chunks in which a blob is replaced by what it says, with its surroundings: doc_id, path, text, base_line, base_offset, via and span.
+def _placed(decoders: dict) -> Column:
+    """The blobs of ``text`` with their places: array of (decoder, blob, decoded, start), every place of a blob that repeats."""
+    kind = "array<struct<decoder: string, blob: string, decoded: string, start: int>>"
+
+    def of(name: str) -> Column:
+        regex, sign, decode = decoders[name]
+        found = F.regexp_extract_all("text", F.lit(regex), F.lit(0))
+        at = spans(F.split("text", regex, -1), found)
+        if sign:
+            at = F.when(F.col("text").rlike(f"(?s){sign}"), F.filter(at, lambda b: b["value"].rlike(sign)))
+        made = F.transform(at, lambda b: F.struct(F.lit(name).alias("decoder"), b["value"].alias("blob"), decode(b["value"]).alias("decoded"), b["start"].alias("start")))
+        told = F.filter(made, lambda c: c["decoded"].isNotNull() & (c["decoded"] != "") & (c["decoded"] != c["blob"]))
+        return F.when(F.col("text").rlike(regex), F.coalesce(told, F.array().cast(kind))).otherwise(F.array().cast(kind))
+
+    return F.concat(*map(of, decoders))
+
+
+def spliced(chunks: DataFrame, decoders, around: int = AROUND, window: int = WINDOW) -> DataFrame:
+    """Chunks in which a blob is replaced by what it says, with its surroundings: doc_id, path, text, base_line, base_offset, via, span and parent.
 
     ``base_line`` and ``base_offset`` are those of the text's beginning in the root, so that what is found before or in the blob has the
-    blob's place. ``span``: where the decoded text stands in ``text`` (characters from 0, end exclusive). Of a blob that repeats, the first counts.
+    blob's place; each place of a blob that repeats gives a chunk. ``span``: where the decoded text stands in ``text`` (characters from 0, end exclusive). ``parent``: what
+    stands before the blob on its line, up to NAME characters. Of chunks that are decoded themselves, only blobs that reach into their span count. What several decoders read
+    alike at one place is one chunk, under the first decoder. Texts of over ``window`` characters are read block by block, so their length is no limit.
     """
-    via = F.col("via") if "via" in chunks.columns else F.lit("")
-    rows = chunks.select(*CHUNK, via.alias("_via"), F.explode(_blobs(_chosen(decoders))).alias("c"))
-    at = F.instr("text", F.col("c.blob")) - 1
-    rows = rows.withColumn("_at", at).withColumn("_from", F.greatest(F.lit(0), F.col("_at") - around))
+    again = "via" in chunks.columns
+    more = ["via", "span"] if again else []
+    rows = windows.blocks(chunks.select(*CHUNK, *more), window, max(around, windows.REACH))
+    rows = rows.select(*CHUNK, *more, "_own", "_skip", F.explode(_placed(_chosen(decoders))).alias("c")).where((F.col("c.start") >= F.col("_own.start")) & (F.col("c.start") < F.col("_own.end")))
+    if again:
+        rows = rows.where((F.col("_skip") + F.col("c.start") < F.col("span.end")) & (F.col("_skip") + F.col("c.start") + F.length("c.blob") > F.col("span.start")))
+    rows = rows.withColumn("_at", F.col("c.start")).withColumn("_from", F.greatest(F.lit(0), F.col("_at") - around))
     before, skipped = F.substring("text", F.col("_from") + 1, F.col("_at") - F.col("_from")), F.left("text", F.col("_from"))
     after = F.substring("text", F.col("_at") + F.length("c.blob") + 1, F.lit(around))
     return rows.select(
@@ -112,20 +139,18 @@ def spliced(chunks: DataFrame, decoders, around: int = AROUND) -> DataFrame:
         F.concat(before, F.col("c.decoded"), after).alias("text"),
         (F.col("base_line") + F.length(skipped) - F.length(F.replace(skipped, F.lit("\n"), F.lit("")))).alias("base_line"),
         (F.col("base_offset") + F.octet_length(skipped)).alias("base_offset"),
-        F.concat_ws("/", F.when(F.col("_via") != "", F.col("_via")), F.col("c.decoder")).alias("via"),
+        F.concat_ws("/", F.when(F.col("via") != "", F.col("via")) if again else F.lit(None).cast("string"), F.col("c.decoder")).alias("via"),
         F.struct((F.col("_at") - F.col("_from")).alias("start"), (F.col("_at") - F.col("_from") + F.length("c.decoded")).alias("end")).alias("span"),
+        F.substring_index(F.right(before, F.lit(NAME)), "\n", -1).alias("parent"),
     )
 
 
 def splice_through(chunks: DataFrame, depth: int, decoders=DEFAULT) -> DataFrame:
-    """Spliced chunks of up to ``depth`` steps with their depth; each different text of a root once, at its smallest depth and first way."""
+    """Spliced chunks of up to ``depth`` steps with their depth. All in the row: nothing is shuffled."""
     level, out = chunks.select(*CHUNK), None
     for k in range(1, depth + 1):
-        level = spliced(level, decoders).withColumn("depth", F.lit(k))
-        level = level.groupBy("doc_id", "path", "text").agg(F.min_by(F.struct("base_line", "base_offset", "via", "span", "depth"), F.struct("via", "base_offset")).alias("x")).select("doc_id", "path", "text", "x.*")
-        out = level if out is None else out.unionByName(level)
-    if depth > 1:
-        out = out.groupBy("doc_id", "path", "text").agg(F.min_by(F.struct("base_line", "base_offset", "via", "span", "depth"), F.struct("depth", "via")).alias("x")).select("doc_id", "path", "text", "x.*")
+        level = spliced(level, decoders)
+        out = level.withColumn("depth", F.lit(k)) if out is None else out.unionByName(level.withColumn("depth", F.lit(k)))
     return out
 
 
@@ -135,7 +160,7 @@ def screened(text: Column) -> Column:
 
 
 def within_decode_limit(chunks: DataFrame, most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """Chunks that are decoded, and coverage rows (doc_id, path, reason, n_chars) for those over ``most`` characters, which are scanned only."""
+    """Chunks of up to ``most`` characters, and coverage rows (doc_id, path, reason, n_chars) for the others: for callers with a budget of their own. Scans decode all."""
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return chunks.where(n <= most), chunks.where(n > most).select("doc_id", "path", F.lit("not_decoded").alias("reason"), n.alias("n_chars"))
 
@@ -250,7 +275,8 @@ def mime_words(text: Column) -> Column:
 
 def z85(text: Column) -> Column:
     """Text of a Z85 value; null if it isn't one."""
-    value = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.lit(0).cast("long"), lambda acc, p: acc * 85 + F.instr(F.lit(Z85), F.substring(text, k * 5 + p, F.lit(1))) - 1)
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(text) / 5).cast("int") - 1), lambda k: F.lpad(F.hex(value(k)), 8, "0")), "")
+    # Group by group, so that a long value costs its length only.
+    value = lambda five: F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.lit(0).cast("long"), lambda acc, p: acc * 85 + F.instr(F.lit(Z85), F.substring(five, p, F.lit(1))) - 1)
+    hexes = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(".{5}"), F.lit(0)), lambda five: F.lpad(F.hex(value(five)), 8, "0")), "")
     good = (F.length(text) >= 5) & (F.length(text) % 5 == 0) & (F.translate(text, Z85, "") == "")
     return F.when(good, F.try_validate_utf8(F.unhex(hexes).cast("string")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as T
 from siftlake.plans.detectors import ENTROPY_TOKEN, MAX_PATTERNS, SEVERITIES, Companion, Detector
 
+from . import windows
 from .context import context_of, line_at
 
 ASSIGNMENT = r"""(?i)(token|secret|password|passwd|api_?key)["']? ?[:=] ?["']?([A-Za-z0-9_+/.=-]{8,128})"""
@@ -73,10 +76,12 @@ def _catalogue(detectors: tuple[Detector, ...]) -> Column:
 
 def triggered(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
     """Chunks with the patterns that can match them: one of the keywords and all required literals are there, in any case."""
-    low = F.col("_low")
+    return chunks.select("*", F.explode(_triggered(F.lower("text"), detectors)).alias("_p")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p")
+
+
+def _triggered(low: Column, detectors: tuple[Detector, ...]) -> Column:
     can = lambda p: F.exists(p["keywords"], lambda k: F.contains(low, k)) & F.forall(p["required"], lambda k: F.contains(low, F.lower(k)))
-    rows = chunks.withColumn("_low", F.lower("text"))
-    return rows.select("*", F.explode(F.filter(_catalogue(detectors), can)).alias("_p")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p", "_low")
+    return F.filter(_catalogue(detectors), can)
 
 
 def _each(detectors: tuple[Detector, ...]) -> list[tuple[Detector, int]]:
@@ -90,8 +95,8 @@ def _texts(values) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def triggered_by_anchor(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
-    """As ``triggered``, by each chunk's distinct anchors: the first three letters of each keyword. Adds detector_id, pattern_no and ``_n``.
+def _triggered_by_anchor(low: Column, detectors: tuple[Detector, ...]) -> Column:
+    """As ``_triggered``, by a text's distinct anchors: the first three letters of each keyword. Numbers of patterns, in order.
 
     One pass with a look-ahead finds anchors that overlap, too, and a table in the plan says which patterns an anchor stands for; so a
     chunk's candidates are an array in its row, and nothing is joined or shuffled. Every text that holds a keyword holds its anchor, so
@@ -103,18 +108,21 @@ def triggered_by_anchor(chunks: DataFrame, detectors: tuple[Detector, ...]) -> D
         for k in sorted({k[:3] for k in d.keywords}):
             anchors.setdefault(k, []).append(n)
     known = sorted(anchors)
-    low = F.col("_low")
     met = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(map(re.escape, known))}))"), F.lit(1)))
     stands_for = F.array(*(F.array(*map(F.lit, anchors[k])) for k in known))
     at = lambda g: F.array_position(_texts(known), g).cast("int") - 1
     candidates = F.array_distinct(F.flatten(F.transform(met, lambda g: F.get(stands_for, at(g)))))
     keywords, required = (F.array(*(_texts(what(d, k)) for d, k in each)) for what in (lambda d, k: d.keywords, lambda d, k: [x.lower() for x in d.patterns[k].required]))
     sure = lambda n: F.exists(F.get(keywords, n), lambda k: F.contains(low, k)) & F.forall(F.get(required, n), lambda k: F.contains(low, k))
-    rows = chunks.withColumn("_low", F.lower("text")).select("*", F.explode(F.filter(candidates, sure)).alias("_n")).drop("_low")
-    return rows.select("*", F.get(_texts(d.id for d, _ in each), F.col("_n")).alias("detector_id"), F.get(F.array(*(F.lit(k) for _, k in each)), F.col("_n")).alias("pattern_no"))
+    return F.filter(candidates, sure)
+
+
+def lines_needed(detectors: tuple[Detector, ...]) -> int:
+    """How many lines around a match its companions may stand in."""
+    return max((c.within_lines for d in detectors for c in d.companions), default=0)
 
 
-def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = False, context: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = False, context: bool = False, keep: tuple[str, ...] = (), window: int = 0) -> DataFrame:
     """All non-empty matches of the detectors: doc_id, path, detector_id, pattern_no, value, line_no and byte_offset.
 
     With ``context`` also the ``line`` of the match, the class of its place, ``at``, its first character in the chunk (from 0), and ``companions``, a map of names
@@ -123,15 +131,23 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = Fal
     A pattern's group is the value; a match whose group took no part gives no row. Without ``anchors``, patterns are literals that are
     compiled once for each task, and a chunk is tested for all keywords: right for some dozens of patterns. With them, a
     candidate's pattern is looked up in its row, so the plan stays small however many patterns there are.
+
+    ``window``: texts of more characters are searched block by block, see ``windows.blocks``; a match is found in the block in which it begins. Keywords are looked for in the
+    whole text all the same. That bounds what a match's place costs, and what it has to be near for a companion or the line around it: the blocks beside its own.
     """
+    low = F.col("_low")
+    rows = chunks.withColumn("_low", F.lower("text")).withColumn("_can", _triggered_by_anchor(low, detectors) if anchors else _triggered(low, detectors)).drop("_low").where(F.size("_can") > 0)
+    own = []
+    if window:
+        rows, own = windows.blocks(rows, window, lines=lines_needed(detectors)), ["_own", "_skip", "_state"]
     if anchors:
         each = _each(detectors)
-        rows = triggered_by_anchor(chunks, detectors)
+        rows = rows.withColumn("_n", F.explode("_can")).withColumn("detector_id", F.get(_texts(d.id for d, _ in each), F.col("_n"))).withColumn("pattern_no", F.get(F.array(*(F.lit(k) for _, k in each)), F.col("_n")))
         regex = F.get(_texts(d.patterns[k].regex for d, k in each), F.col("_n"))
         group = F.get(F.array(*(F.lit(d.patterns[k].group) for d, k in each)), F.col("_n"))
-        whole, own, parts = F.regexp_extract_all("text", regex, F.lit(0)), F.regexp_extract_all("text", regex, group), F.split("text", regex, -1)
+        whole, inner, parts = F.regexp_extract_all("text", regex, F.lit(0)), F.regexp_extract_all("text", regex, group), F.split("text", regex, -1)
     else:
-        rows = triggered(chunks, detectors)
+        rows = rows.withColumn("_p", F.explode("_can")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p")
 
         def by_pattern(make) -> Column:
             out = None
@@ -141,15 +157,19 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = Fal
             return out
 
         whole = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(0)))
-        own = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)) if p.group else F.col("_whole"))
+        inner = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)) if p.group else F.col("_whole"))
         parts = by_pattern(lambda p: F.split("text", p.regex, -1))
-    rows = rows.withColumn("_whole", whole).where(F.size("_whole") > 0).withColumn("_own", own)
+    rows = rows.drop("_can").withColumn("_whole", whole).where(F.size("_whole") > 0).withColumn("_inner", inner)
     rows = rows.withColumn("_parts", parts).withColumn("_spans", spans(F.col("_parts"), F.col("_whole")))
-    pairs = F.transform("_spans", lambda s, k: F.struct((s["start"] + F.instr(s["value"], F.get("_own", k)) - 1).alias("start"), F.get("_own", k).alias("value")))
-    rows = rows.select("doc_id", "path", "text", "base_line", "base_offset", "detector_id", "pattern_no", *keep, F.explode(pairs).alias("m")).where("m.value <> ''")
+    first = lambda s, k: F.instr(s["value"], F.get("_inner", k)) - 1
+    pairs = F.transform("_spans", lambda s, k: F.struct((s["start"] + first(s, k)).alias("start"), F.get("_inner", k).alias("value"), s["start"].alias("begin")))
+    if window:  # the whole match's beginning decides
+        pairs = F.filter(pairs, lambda m: (m["begin"] >= F.col("_own.start")) & (m["begin"] < F.col("_own.end")))
+    rows = rows.select("doc_id", "path", "text", "base_line", "base_offset", "detector_id", "pattern_no", *keep, *own, F.explode(pairs).alias("m")).where("m.value <> ''")
     before = F.left("text", F.col("m.start"))
-    line = line_at(F.col("text"), F.col("m.start"))
-    more = [line.alias("line"), context_of(line, before, F.col("path")).alias("context"), F.col("m.start").alias("at"), _companions_of(detectors, F.col("text"), F.col("m.start")).alias("companions")] if context else []
+    line, state = line_at(F.col("text"), F.col("m.start")), F.col("_state") if window else None
+    at = F.col("m.start") + (F.col("_skip") if window else F.lit(0))
+    more = [line.alias("line"), context_of(line, before, F.col("path"), state).alias("context"), at.alias("at"), _companions_of(detectors, F.col("text"), F.col("m.start")).alias("companions")] if context else []
     line_no = F.col("base_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     return rows.select("doc_id", "path", "detector_id", "pattern_no", F.col("m.value").alias("value"), line_no.alias("line_no"), (F.col("base_offset") + F.octet_length(before)).alias("byte_offset"), *more, *keep)
 
@@ -247,14 +267,48 @@ def related(matches: DataFrame, other: DataFrame, within_lines: int, how: str, w
 
 
 def with_relations(matches: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
-    """Applies the detectors' relations, each to the matches as they were found."""
-    out = matches
-    for d in detectors:
-        for r in d.relations:
-            own, rest = out.where(F.col("detector_id") == d.id), out.where(F.col("detector_id") != d.id)
-            other = matches.where(F.col("detector_id") == r.detector)
-            out = rest.unionByName(related(own, other, r.within_lines, r.kind, r.within_bytes, r.direction))
-    return out
+    """Applies the detectors' relations, each to the matches as they were found, within a document and path.
+
+    One pass, however many relations there are: matches that take part in one are dealt to stretches of lines, a match as itself to its own stretch and as a neighbour to
+    those beside it. In a stretch the nearest of the other detectors' matches on either side decide, as running maxima in the order of bytes (or of lines, where
+    a relation asks for nothing else). No pairs are made, and a document is as many groups as it has stretches. A match without a byte offset satisfies no
+    relation that asks for bytes or a side.
+    """
+    every = [(d.id, r) for d in detectors for r in d.relations]
+    if not every:
+        return matches
+    width = max(r.within_lines for _, r in every) + 1
+    involved = sorted({i for i, _ in every} | {r.detector for _, r in every})
+    others = sorted({r.detector for _, r in every})
+    stretch = F.floor(F.col("line_no") / width)
+    places = F.when(F.col("detector_id").isin(*others), F.array(stretch, stretch - 1, stretch + 1)).when(F.col("detector_id").isin(*involved), F.array(stretch)).otherwise(F.array(F.lit(None).cast("long")))
+    # Matches that take part in none pass by themselves: each to a group of its own.
+    alone = F.when(~F.col("detector_id").isin(*involved), F.monotonically_increasing_id())
+    rows = matches.withColumn("_alone", alone).select("*", stretch.alias("_stretch"), F.explode(places).alias("_place"))
+    near = Window.partitionBy("doc_id", "path", "_place", "_alone")
+    by_byte, by_byte_down = near.orderBy("byte_offset"), near.orderBy(F.col("byte_offset").desc())
+    by_line, by_line_down = near.orderBy("line_no"), near.orderBy(F.col("line_no").desc())
+    upto, strictly = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    faults = []
+    for ident, r in every:
+        other = F.col("detector_id") == r.detector
+        place = F.when(other & F.col("byte_offset").isNotNull(), F.struct("byte_offset", "line_no"))
+        if r.within_bytes is None and r.direction == "any":
+            above, below = F.max(F.when(other, F.col("line_no"))).over(by_line.rangeBetween(*upto)), F.min(F.when(other, F.col("line_no"))).over(by_line_down.rangeBetween(*upto))
+            met = F.coalesce(F.col("line_no") - above <= r.within_lines, F.lit(False)) | F.coalesce(below - F.col("line_no") <= r.within_lines, F.lit(False))
+        else:
+            reach = upto if r.direction == "any" else strictly
+            sides = {"before": F.max(place).over(by_byte.rangeBetween(*reach)), "after": F.min(place).over(by_byte_down.rangeBetween(*reach))}
+            met = F.lit(False)
+            for side, found in sides.items():
+                if r.direction in ("any", side):
+                    close = F.abs(F.col("line_no") - found["line_no"]) <= r.within_lines
+                    if r.within_bytes is not None:
+                        close = close & (F.abs(F.col("byte_offset") - found["byte_offset"]) <= r.within_bytes)
+                    met = met | F.coalesce(close & F.col("byte_offset").isNotNull(), F.lit(False))
+        faults.append((F.col("detector_id") == ident) & (~met if r.kind == "requires" else met))
+    judged = rows.withColumn("_fault", reduce(or_, faults))
+    return judged.where(((F.col("_place") == F.col("_stretch")) | F.col("_place").isNull()) & ~F.col("_fault")).select(*matches.columns)
 
 
 def attributed(hits: DataFrame, segments: DataFrame) -> DataFrame:

@@ -19,6 +19,72 @@ def windowed(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.withColumn("text", F.substring(F.col("text"), start + 1, F.lit(size)))
 
 
+#: A character that no text holds (a noncharacter of Unicode): where a line goes on with the next. It counts as a line's end.
+JOINT = "\ufdd0"
+#: Characters on either side of a block that are shown beside it.
+REACH = 1 << 12
+MARKS = {"opened": "", "closed": "", "quotes": '"""', "fences": "(?md)^```"}
+
+
+def _cut(size: int) -> str:
+    """A block: what is left if that is short, else whole lines, else whole words, else up to the end of a run that could be one value."""
+    least, run = size // 2, rf"[A-Za-z0-9+/_=.%&;#\\{JOINT}-]"
+    return rf"(?s).{{0,{size}}}\z|.{{{least - 1},{size - 1}}}\n|.{{{least - 1},{size - 1}}}\s|.{{{size}}}{run}*+"
+
+
+def line_ends(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, f"\n{JOINT}", ""))
+
+
+def blocks(chunks: DataFrame, size: int, reach: int = REACH, lines: int = 0) -> DataFrame:
+    """Chunks whose text is over ``size`` characters, cut into blocks, each with its surroundings; all in the row, in linear time.
+
+    A block is some whole lines (of a line that is longer than a block, whole words), at least half of ``size``. ``text`` has up to ``reach`` characters of the blocks beside
+    it (more where ``lines`` lines need them), whole lines if there are any. ``_own``: which of its characters are the block's own; every character of
+    the chunk is some block's own, so that what begins in a block's own part is found once. ``_skip``: the chunk's characters before ``text``; base_line and
+    base_offset go on with them, as does ``_state``, the encrypted blocks, docstring marks and fences that were begun before. Null texts give no block.
+    """
+    from .context import BEGIN_ENCRYPTED, END_ENCRYPTED
+
+    marks = MARKS | {"opened": BEGIN_ENCRYPTED, "closed": END_ENCRYPTED}
+    columns = [c for c in chunks.columns if c not in ("text", "base_line", "base_offset")]
+    n = F.length("text")
+    pieces = F.when(n <= size, F.array("text")).otherwise(F.filter(F.regexp_extract_all("text", F.lit(_cut(size)), F.lit(0)), lambda x: x != ""))
+    rows = chunks.where("text IS NOT NULL").select(F.explode(F.array(F.struct(*columns, "base_line", "base_offset", pieces.alias("_pieces")))).alias("_row")).select("_row.*")
+    measures = {"lines": line_ends, "bytes": F.octet_length, "chars": F.length} | {k: (lambda x, rx=rx: F.regexp_count(x, F.lit(rx))) for k, rx in marks.items()}
+    measured = lambda x: {k: f(x).cast("long") for k, f in measures.items()}
+    nothing = F.struct(*(F.lit(0).cast("long").alias(k) for k in measures))
+
+    def step(acc: Column, piece: Column) -> Column:
+        now = F.struct(*((acc["now"][k] + v).alias(k) for k, v in measured(piece).items()))
+        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+    earlier = F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)  # nothing is counted in a chunk of one block
+    before = F.aggregate(earlier, F.struct(nothing.alias("now"), F.array(nothing).alias("all")), step, lambda acc: acc["all"])
+    rows = rows.select(*columns, "base_line", "base_offset", "_pieces", F.posexplode(before).alias("_at", "_before"))
+    above, below = F.coalesce(F.get("_pieces", F.col("_at") - 1), F.lit("")), F.coalesce(F.get("_pieces", F.col("_at") + 1), F.lit(""))
+    left, right = F.right(above, F.lit(reach)), F.left(below, F.lit(reach))
+    if lines:
+        more_left, more_right = F.substring_index(above, "\n", -(lines + 1)), F.substring_index(below, "\n", lines)
+        left = F.when(F.length(more_left) > reach, more_left).otherwise(left)
+        right = F.when(F.length(more_right) > reach, more_right).otherwise(right)
+    # A piece of a line, or of a word, would look like one of its own.
+    left = F.when(F.length(left) < F.length(above), F.when(F.contains(left, F.lit("\n")), F.regexp_replace(left, r"(?s)\A[^\n]*+\n", "")).otherwise(F.regexp_replace(left, r"\A\S++", ""))).otherwise(left)
+    right = F.when(F.length(right) < F.length(below), F.regexp_replace(right, r"\n[^\n]*+\z", "\n")).otherwise(right)
+    rows = rows.select(F.explode(F.array(F.struct(*columns, "base_line", "base_offset", "_before", left.alias("_left"), F.get("_pieces", F.col("_at")).alias("_piece"), right.alias("_right")))).alias("_row")).select("_row.*")
+    counted = {k: F.col("_before")[k] - v for k, v in measured(F.col("_left")).items()}
+    start = F.length("_left")
+    return rows.select(
+        *columns,
+        F.concat("_left", "_piece", "_right").alias("text"),
+        (F.col("base_line") + counted["lines"]).alias("base_line"),
+        (F.col("base_offset") + counted["bytes"]).alias("base_offset"),
+        counted["chars"].alias("_skip"),
+        F.struct(start.alias("start"), (start + F.length("_piece")).alias("end")).alias("_own"),
+        F.struct(*(counted[k].alias(k) for k in marks)).alias("_state"),
+    )
+
+
 def seams(windows: DataFrame, width: int) -> DataFrame:
     """Between neighbouring windows of a document that don't overlap: the end of one and the beginning of the next."""
     following = F.lead("text").over(Window.partitionBy("doc_id").orderBy("window_no"))
@@ -34,25 +100,31 @@ def continued(lines: DataFrame, end: str = r",$") -> DataFrame:
     return rows.groupBy("doc_id", "_chain").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("line")).drop("_chain")
 
 
-#: How a line says that it goes on: a backslash, an operator that joins strings, or a string that ends where the next line's begins.
-CONTINUES = r"""(?:\\|["'`]\s*[+.&,]?|\+)\s*$"""
+#: How a line says that it goes on, with the next line's beginning: a backslash; or a string that ends (before an operator that joins strings, or none), or a plus, where
+#: the next line begins with a string.
+GOES_ON = r"""(?:["'`][^\S\n]*+[+.&,]?+[^\S\n]*+)?+\\[^\S\n]*+\n[^\S\n]*+(?:[+.&]?[^\S\n]*+["'`])?+|(?:["'`][^\S\n]*+[+.&,]?+|\+)[^\S\n]*+\n[^\S\n]*+[+.&]?+[^\S\n]*+["'`]"""
+
+
+def folded(text: Column) -> Column:
+    """The text with JOINT for each line's end at which a line goes on, and the marks and quotes around it; JSON stays as it is."""
+    plain = F.translate(text, JOINT, " ")
+    json = text.rlike(r"\A\s*+[\[{]") & F.try_parse_json(text).isNotNull()
+    return F.when(text.rlike(GOES_ON) & ~json, F.regexp_replace(plain, GOES_ON, JOINT)).otherwise(plain)
 
 
-def continuations(lines: DataFrame, *keys: str, most: int = 64) -> DataFrame:
+def continuations(chunks: DataFrame, *keys: str, size: int = 1 << 15) -> DataFrame:
     """Values that are written over several lines, as one line: ``keys``, line_no (the first), n_lines and line, without the marks and quotes between.
 
-    ``lines``: keys, line_no, line. A chain goes on while a line ends in a mark of CONTINUES and the next begins with a quote or an operator, or the mark is a
-    backslash; one of over ``most`` lines is no value.
+    The lines of a text are folded in its row, so nothing is shuffled, and a chain may have any number of lines. ``chunks``: keys, text, base_line.
     """
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    last = F.lag("line").over(order)
-    goes_on = F.coalesce(last.rlike(r"\\\s*$") | (last.rlike(CONTINUES) & F.col("line").rlike(r"""^\s*[+.&]?\s*["'`]""")), F.lit(False))
-    rows = lines.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bare = F.when(F.col("_new") == 0, F.regexp_replace("line", r"""^\s*[+.&]?\s*["'`]?""", "")).otherwise(F.col("line"))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", bare.alias("line"))))
-    chains = rows.groupBy(*keys, "_chain").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_lines"), parts.alias("_parts")).where(F.col("n_lines").between(2, most))
-    cut = F.transform("_parts", lambda p, k: F.when(k < F.size("_parts") - 1, F.regexp_replace(p["line"], r"""\s*(?:\\|["'`]\s*[+.&,]?\s*\\?|\+)\s*$""", "")).otherwise(p["line"]))
-    return chains.select(*keys, "line_no", "n_lines", F.array_join(cut, "").alias("line"))
+    from .extract import spans
+
+    chain = rf"(?md)^[^\n{JOINT}]*+{JOINT}[^\n]*+"
+    rows = chunks.select(*keys, "base_line", F.lit(0).cast("long").alias("base_offset"), folded(F.col("text")).alias("text")).where(F.contains("text", F.lit(JOINT)))
+    rows = blocks(rows, size, 0).withColumn("_chains", F.regexp_extract_all("text", F.lit(chain), F.lit(0))).where(F.size("_chains") > 0)
+    rows = rows.select(*keys, "text", "base_line", F.explode(spans(F.split("text", chain, -1), F.col("_chains"))).alias("_span"))
+    before, found = F.left("text", F.col("_span.start")), F.col("_span.value")
+    return rows.select(*keys, (F.col("base_line") + line_ends(before) + 1).alias("line_no"), (line_ends(found) + 1).cast("long").alias("n_lines"), F.replace(found, F.lit(JOINT), F.lit("")).alias("line"))
 
 
 def added_lines(diff: DataFrame) -> DataFrame:

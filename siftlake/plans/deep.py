@@ -136,16 +136,22 @@ def decode_limit(spark: SparkSession, folder: str) -> DataFrame:
     return decode.within_decode_limit(chunks(_docs(spark, folder)), 3000)[1].select("doc_id", "reason", "n_chars")
 
 
-@query("""WITH s AS (SELECT doc_id, sha256(doc_id::VARCHAR)[1:24] AS v, text FROM documents)
-SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2)::BIGINT AS line_no, 3::BIGINT AS n_lines, sha256('api_token = "' || v[1:8] || v[9:16] || v[17:24] || '"') AS line_hash FROM s""")
+GOES_ON_SQL = windows.GOES_ON.replace("*+", "*").replace("?+", "?").replace("'", "''")
+
+
+@query(f"""WITH s AS (SELECT doc_id, sha256(doc_id::VARCHAR)[1:24] AS v, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, text || chr(10) || 'api_token = "' || v[1:8] || (CASE WHEN doc_id % 2 = 0 THEN '" +' || chr(10) || '  "' ELSE chr(92) || chr(10) END) || v[9:16] || (CASE WHEN doc_id % 2 = 0 THEN '" +' || chr(10) || '  "' ELSE chr(92) || chr(10) END) || v[17:24] || '"' AS text FROM s),
+j AS (SELECT doc_id, string_split(regexp_replace(text, '{GOES_ON_SQL}', chr(64976), 'g'), chr(10)) AS lines FROM m),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS k, unnest(lines) AS line FROM j),
+n AS (SELECT *, length(line) - length(replace(line, chr(64976), '')) AS more, k + coalesce(sum(length(line) - length(replace(line, chr(64976), ''))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no FROM l)
+SELECT doc_id, line_no::BIGINT AS line_no, (more + 1)::BIGINT AS n_lines, sha256(replace(line, chr(64976), '')) AS line_hash FROM n WHERE more > 0""")
 def multiline_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Values behind the texts that go on over three lines, by a plus or a backslash; chains of the texts themselves are left out."""
+    """All values of the texts that go on over several lines, and one behind each text that goes on over three, by a plus or a backslash."""
     value = lambda a: F.substring(F.sha2(F.col("doc_id").cast("string"), 256), a, 8)
     plus = F.concat(F.lit('\napi_token = "'), value(1), F.lit('" +\n  "'), value(9), F.lit('" +\n  "'), value(17), F.lit('"'))
     back = F.concat(F.lit('\napi_token = "'), value(1), F.lit("\\\n"), value(9), F.lit("\\\n"), value(17), F.lit('"'))
     rows = chunks(_docs(spark, folder)).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, plus).otherwise(back)))
-    found = windows.continuations(extract.lines(rows), "doc_id").where("line LIKE 'api@_token%' ESCAPE '@'")
-    return found.select("doc_id", "line_no", "n_lines", F.sha2("line", 256).alias("line_hash"))
+    return windows.continuations(rows, "doc_id").select("doc_id", "line_no", "n_lines", F.sha2("line", 256).alias("line_hash"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'none' WHEN event_id % 3 = 1 THEN 'known' ELSE 'unknown' END AS algorithm, epoch(ts) < 1767225600 AS expired, 'event:' || length(event_type) || ',exp:' || length(epoch(ts)::BIGINT::VARCHAR) || ',sub:' || length(user_id::VARCHAR) AS claims FROM events""")

@@ -81,6 +81,8 @@ ASSIGNMENT = Detector(
     "generic-assignment", "Generic Assignment", "generic", "medium", ("token", "secret", "passw", "pwd", "passphrase", "credential", "key", "auth"),
     (Pattern(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|passphrase|credential|api_?key|access_?key|private_?key|auth)[A-Za-z0-9_-]{0,20}["']? ?(?::=|=>|=|:) ?["']?([A-Za-z0-9_+/.=!@#$%^&*-]{8,129})""", 1),),
 )
+#: Characters of a text that are searched at once.
+WINDOW = 1 << 15
 CHANNELS = ("pattern", "assignment", "entropy", "multiline", "fragment", "decoded")
 NUMBERED = r"""([A-Za-z_]{2,40}?)_?[0-9]{1,3} ?[:=] ?["']?([A-Za-z0-9_+/=-]{6,128})"""
 
@@ -90,43 +92,44 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
 
 
-def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
-    """What the producers find, each tagged with its ``channel``: doc_id, path, detector_id, value, line_no, byte_offset, line, context and
-    companions.
+def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW) -> DataFrame:
+    """What the producers find, each tagged with its ``channel``: doc_id, path, detector_id, value, line_no, byte_offset, line, context,
+    companions and around (of decoded text: what stood before the blob on its line; else empty).
 
-    Patterns over the text, over values written on several lines, over joined fragments, and over decoded text; assignments; and tokens of high entropy.
+    Patterns over the text, over values written on several lines, over joined fragments, and over decoded text; assignments; and tokens of high entropy. Texts of more
+    than ``window`` characters are searched and decoded block by block.
     """
     policy = Policy.named(policy) if isinstance(policy, str) else policy
     named = tuple(d for d in detectors if d.id not in GENERIC)
     many = sum(len(d.patterns) for d in named) > 64
-    columns = ("doc_id", "path", "detector_id", "value", "line_no", "byte_offset", "line", "context", "companions", "channel")
+    columns = ("doc_id", "path", "detector_id", "value", "line_no", "byte_offset", "line", "context", "companions", "around", "channel")
 
     def over(rows: DataFrame, channel: str, keep: tuple[str, ...] = ()) -> DataFrame:
-        return extract.scan(rows, named, anchors=many, context=True, keep=keep).withColumn("channel", F.lit(channel))
+        return extract.scan(rows, named, anchors=many, context=True, keep=("around", *keep), window=window).withColumn("channel", F.lit(channel))
 
     # One pass over the text for patterns, assignments and tokens.
-    found = extract.scan(chunks, (*named, ASSIGNMENT, ENTROPY_TOKEN), anchors=many, context=True)
+    found = extract.scan(chunks, (*named, ASSIGNMENT, ENTROPY_TOKEN), anchors=many, context=True, window=window).withColumn("around", F.lit(""))
     found = found.withColumn("channel", F.when(F.col("detector_id") == ASSIGNMENT.id, "assignment").when(F.col("detector_id") == ENTROPY_TOKEN.id, "entropy").otherwise("pattern"))
     entropy, on_line = T.byte_entropy(F.col("value")), F.col("line").rlike("(?i)token|secret|password|key|bearer")
     strong = (on_line & (entropy >= 3.5)) | ((F.trim("line") == F.col("value")) & (entropy >= 4.5))
     found = found.where((F.col("channel") != "entropy") | strong).select(*columns)
 
-    zero = F.lit(None).cast("long")
-    lines = extract.lines(chunks, "path")
-    joined = windows.continuations(lines, "doc_id", "path").select("doc_id", "path", F.col("line").alias("text"), (F.col("line_no") - 1).alias("base_line"), zero.alias("base_offset"))
+    zero, none = F.lit(None).cast("long"), F.lit("").alias("around")
+    joined = windows.continuations(chunks, "doc_id", "path", size=window).select("doc_id", "path", F.col("line").alias("text"), (F.col("line_no") - 1).alias("base_line"), zero.alias("base_offset"), none)
     found = found.unionByName(over(joined, "multiline").select(*columns))
 
     scope = F.concat_ws("\x1f", F.col("doc_id").cast("string"), "path")
+    lines = extract.lines(chunks.where(F.col("text").rlike(NUMBERED)), "path")
     pairs = lines.where(F.col("line").rlike(NUMBERED)).select(scope.alias("path"), F.regexp_extract("line", NUMBERED, 1).alias("prefix"), "line_no", F.regexp_extract("line", NUMBERED, 2).alias("value"))
     whole = windows.joined_fragments(pairs.withColumnRenamed("line_no", "line"))
     parts = F.split("path", "\x1f", 2)
-    fragments = whole.select(F.get(parts, F.lit(0)).try_cast("long").alias("doc_id"), F.get(parts, F.lit(1)).alias("path"), F.col("joined").alias("text"), (F.least("line", "line_b") - 1).alias("base_line"), zero.alias("base_offset"))
+    fragments = whole.select(F.get(parts, F.lit(0)).try_cast("long").alias("doc_id"), F.get(parts, F.lit(1)).alias("path"), F.col("joined").alias("text"), (F.least("line", "line_b") - 1).alias("base_line"), zero.alias("base_offset"), none)
     found = found.unionByName(over(fragments, "fragment").select(*columns))
 
     if policy.depth:
         prefixes = tuple(sorted({d.prefix for d in named if len(d.prefix) >= 3}))
         decoders = {k: v for k, v in ({d: decode.DECODERS[d] for d in decode.DEFAULT if d != "reverse"} | decode.for_prefixes(prefixes)).items()}
-        inner = decode.splice_through(decode.within_decode_limit(chunks)[0], policy.depth, decoders).where(decode.screened(F.col("text")))
+        inner = decode.splice_through(chunks, policy.depth, decoders).where(decode.screened(F.col("text"))).withColumnRenamed("parent", "around")
         deep = over(inner, "decoded", ("span",))
         inside = (F.col("at") < F.col("span.end")) & (F.col("at") + F.length("value") > F.col("span.start"))
         found = found.unionByName(deep.where(inside).select(*columns))
@@ -164,7 +167,7 @@ def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
         F.when(own_lists, "detector_list"),
         F.when(F.col("checksum") == "invalid", "checksum_invalid"),
         F.when(F.col("_sample"), "placeholder"),
-        F.when(F.col("channel") == "decoded", context.decoded_suppression(v, F.lit(""), named)),
+        F.when(F.col("channel") == "decoded", context.decoded_suppression(v, F.col("around"), named)),
         F.when(~named, F.coalesce(suppress.stage(v), shapes.example_ladder(v, F.lit(False)), F.when(context.decoded_benign(v), "decoded_benign"), F.when(shapes.base64_decoy(v), "base64_decoy"))),
         F.when(score.hard_suppressed(F.col("context"), F.col("confidence")), "hard_suppressed_context"),
         F.when(F.col("confidence") < floor, "below_min_confidence"),
@@ -173,14 +176,14 @@ def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
     return once(rows.withColumn("stage", stage).withColumn("reason", reason).drop("_known", "_sample")).withColumn("tier", score.evidence_tier(F.col("reason")))
 
 
-def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
+def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW) -> DataFrame:
     """The scan with all producers: one finding for each credential and path, with what else was found of it.
 
     A named detector wins over an assignment, and that over entropy; then what has a place of its own, confidence, severity and id. ``others``: ids of the
     detectors that found the same value; ``locations``: its distinct other lines in order.
     """
     every = (*detectors, ASSIGNMENT, ENTROPY_TOKEN)
-    rows = extract.with_detector(judged(candidates(chunks, detectors, policy), detectors, policy).where("stage IS NULL"), every)
+    rows = extract.with_detector(judged(candidates(chunks, detectors, policy, window), detectors, policy).where("stage IS NULL"), every)
     rows = rows.withColumn("credential_hash", F.sha2("value", 256)).withColumn("redacted", T.redact(F.col("value"))).withColumn("_rank", F.array_position(F.array(*map(F.lit, ("entropy", "assignment"))), F.col("channel")))
     order = F.struct(F.when(F.col("_rank") == 0, 3).otherwise(F.col("_rank")), ~F.col("channel").isin("decoded", "fragment", "multiline"), "confidence", "severity_rank", "detector_id", -F.coalesce("byte_offset", F.lit(0)))
     picked = F.struct("detector_id", "service", "severity_rank", "redacted", "line_no", "byte_offset", "channel", "context", F.round("confidence", 6).alias("confidence"), "reason", "tier", "companions")

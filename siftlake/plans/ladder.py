@@ -152,14 +152,24 @@ def detector_lists(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "line_no", T.redact(F.col("value")).alias("redacted"))
 
 
-@query(f"""{SCAN}, h AS (SELECT doc_id, detector_id, sha256(value) AS credential_hash, line_no, byte_offset FROM matches WHERE detector_id <> 'generic-secret')
-SELECT h.doc_id, detector_id, credential_hash, line_no, byte_offset, 'pattern' AS channel, CASE WHEN detector_id IN ('json-web-token', 'connection-string') THEN 'structural-grammar' WHEN detector_id = 'aws-access-key' THEN 'required-companion' ELSE 'vendor-pattern' END AS reason FROM h""")
+FULL_NAMED = f"""{SCAN}, h AS (SELECT doc_id, detector_id, sha256(value) AS credential_hash, line_no, byte_offset FROM matches WHERE detector_id <> 'generic-secret')
+SELECT h.doc_id, detector_id, credential_hash, line_no, byte_offset, 'pattern' AS channel, CASE WHEN detector_id IN ('json-web-token', 'connection-string') THEN 'structural-grammar' WHEN detector_id = 'aws-access-key' THEN 'required-companion' ELSE 'vendor-pattern' END AS reason FROM h"""
+
+
+@query(FULL_NAMED)
 def scan_full_named(spark: SparkSession, folder: str) -> DataFrame:
     """What the whole scan, with all producers and decoding, reports by named detectors: every seeded credential, at its place, with its reason."""
     found = engine.full_scan(_seeded(spark, folder)).where(~F.col("detector_id").isin(engine.ASSIGNMENT.id, engine.ENTROPY_TOKEN.id))
     return found.select("doc_id", "detector_id", "credential_hash", "line_no", "byte_offset", "channel", "reason")
 
 
+@query(FULL_NAMED)
+def scan_windowed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over blocks of 4,096 characters: what a match needs is found in its block or beside it, at the same place."""
+    found = engine.full_scan(_seeded(spark, folder), policy="fast", window=4096).where(~F.col("detector_id").isin(engine.ASSIGNMENT.id, engine.ENTROPY_TOKEN.id))
+    return found.select("doc_id", "detector_id", "credential_hash", "line_no", "byte_offset", "channel", "reason")
+
+
 @query()
 def scan_full(spark: SparkSession, folder: str) -> DataFrame:
     """The whole scan: all its findings."""

@@ -118,7 +118,7 @@ def test_very_long_lines_and_values(spark):
     assert context.line_roles(lines).where("role = 'prose'").count() >= 1
     assert lines.select(shapes.shape(F.col("line")).alias("s")).where("s IS NOT NULL").count() == 0
     assert structured.hcl_pairs(lines).count() == 1
-    assert windows.continuations(lines, "doc_id").count() == 0
+    assert windows.continuations(rows, "doc_id").count() == 0
     assert engine.candidates(rows, BUILT_IN, "fast").count() >= 0
 
 
@@ -348,8 +348,12 @@ def test_ignore_files(spark):
 def test_pages_and_continuations(spark):
     page = "<html><style>x{}</style><script>var a=1</script><!-- no --><p>Tom &amp; Jerry&#33;</p>\n<b>end</b>"
     assert column(spark, [page], structured.page_text) == ["Tom & Jerry! end"]
-    rows = spark.createDataFrame([(1, 1, "a = 'x' +"), (1, 2, "  'y' +"), (1, 3, "  'z'"), (1, 4, "b = 1"), (2, 1, "k=ab\\"), (2, 2, "cd"), (3, 1, "f(a +"), (3, 2, "b)")], "doc_id long, line_no long, line string")
-    assert sorted((r.doc_id, r.n_lines, r.line) for r in windows.continuations(rows, "doc_id").collect()) == [(1, 3, "a = 'xyz'"), (2, 2, "k=abcd")]
+    long = "k = '" + "ab' +\n  '" * 90 + "'"
+    texts = ["a = 'x' +\n  'y' +\n  'z'\nb = 1", "k=ab\\\ncd", "f(a +\nb)", '{"a": ["b",\n "c"]}', long, "\n".join(["x"] * 3000 + [long]), None, ""]
+    for size in (1 << 15, 700):
+        found = windows.continuations(chunk(spark, *texts), "doc_id", size=size)
+        assert sorted((r.doc_id, r.line_no, r.n_lines, r.line) for r in found.collect()) == [(0, 1, 3, "a = 'xyz'"), (1, 1, 2, "k=abcd"), (4, 1, 91, f"k = '{'ab' * 90}'"), (5, 3001, 91, f"k = '{'ab' * 90}'")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_fragments_meet_however_many_there_are(spark):
