@@ -81,6 +81,21 @@ def tag_reachability(spark: SparkSession, folder: str) -> DataFrame:
     return packages.tag_messages(tags, commits, head).select("tag", "reachable")
 
 
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS c, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders), t AS (SELECT 3 * count(*) // 4 AS k FROM n),
+r AS (SELECT n.c, n.k FROM n, t WHERE n.k = t.k UNION ALL SELECT n.c, n.k FROM r JOIN n ON n.k = r.k - 1 WHERE r.k > 1 AND r.k % 1000 <> 0)
+SELECT c AS tag, c IN (SELECT c FROM r) AS reachable FROM n""")
+def tag_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as commits of one line, each on the one before, cut at every thousandth; which of them the history of a head at three quarters holds."""
+    from siftlake.streaming.composed import numbered
+
+    orders = numbered(read(spark, folder, "orders").select(F.col("o_orderkey").cast("long").alias("commit")), "commit")
+    before = orders.select(F.col("commit").alias("parent"), (F.col("number") + 1).alias("number"))
+    commits = orders.join(before, "number", "left").select("commit", F.when((F.col("number") % 1000) != 0, F.col("parent")).alias("parent"))
+    head = orders.where(F.col("number") == orders.count() * 3 // 4).select("commit")
+    tags = orders.select(F.col("commit").alias("tag"), F.col("commit").alias("target"), F.lit("release").alias("message"))
+    return packages.tag_messages(tags, commits, head).select("tag", "reachable")
+
+
 @query(f"""WITH {LINES.format(table='documents')} SELECT doc_id, 0 AS cell, 'code' AS kind, line_no::INT AS line_no, sha256(line) AS line_hash FROM lines UNION ALL SELECT doc_id, 1, 'output', 1, sha256(coalesce(lang, '')) FROM documents""")
 def notebook_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Texts as notebooks of one cell of code and one with an output."""

@@ -71,16 +71,34 @@ def fingerprint(blobs: DataFrame, *keys: str) -> DataFrame:
 
 
 def reached(starts: DataFrame, edges: DataFrame, *scope: str) -> DataFrame:
-    """Nodes (scope, node) that edges (scope, a, b) reach from ``starts`` (scope, node): rounds of joins until nothing is new, as many as the longest way has steps."""
+    """Nodes (scope, node) that edges (scope, a, b) reach from ``starts`` (scope, node), themselves included; cycles do no harm.
+
+    By pointer doubling: each node's first edge makes a chain, and tables of jumps of 1, 2, 4, ... steps along the chains are joined with themselves. A set is closed under
+    its chains in as many joins as there are tables. What the other edges lead to is the next set. So the number of jobs is the logarithm of the
+    longest chain, times how often a way has to leave a chain by another edge: a history without branches takes one round, whatever its length.
+    """
     keys = [*scope, "node"]
-    seen = stored(starts.select(*keys).distinct(), "reached")
-    front = seen
-    while True:
-        step = front.join(edges.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node")).distinct()
-        front = stored(step.join(seen, keys, "left_anti"), "front")
-        if not front.limit(1).count():
-            return seen
-        seen = stored(seen.unionByName(front), "reached")
+    edges = stored(edges.select(*scope, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    jumps = [stored(edges.groupBy(*scope, "a").agg(F.min("b").alias("b")), "jump")]
+    nodes = jumps[0].count()
+    while nodes >> len(jumps):  # no chain has more steps than nodes
+        last = jumps[-1]
+        further = stored(last.withColumnRenamed("b", "_at").join(last.select(*scope, F.col("a").alias("_at"), "b"), [*scope, "_at"]).select(*scope, "a", "b"), "jump")
+        if further.isEmpty():
+            break
+        jumps.append(further)
+    others = stored(edges.join(jumps[0], [*scope, "a", "b"], "left_anti"), "others")
+    seen, front = None, stored(starts.select(*keys).distinct(), "front")
+    while not front.isEmpty():
+        for jump in jumps:
+            beyond = front.join(jump.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node"))
+            front = stored(front.unionByName(beyond).distinct(), "front")
+        if seen is not None:
+            front = stored(front.join(seen, keys, "left_anti"), "front")
+        seen = front if seen is None else stored(seen.unionByName(front), "reached")
+        front = front.join(others.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node")).distinct()
+        front = stored(front.join(seen, keys, "left_anti"), "front")
+    return seen if seen is not None else front
 
 
 def tex_roles(members: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.storage import shared_path
 
+from . import composed
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -103,19 +106,20 @@ STATES: dict[str, dict[str, str]] = {
 }
 
 
-def next_state(state: Column, kind: Column) -> Column:
-    found = None
-    for s, steps in STATES.items():
-        for k, to in steps.items():
-            here = (state == s) & (kind == k)
-            found = F.when(here, to) if found is None else found.when(here, to)
-    return found.otherwise(state)
+def final_states(changes: DataFrame) -> DataFrame:
+    """State of each root after all its changes (root, kind, seq) in their order, begun at indexing. Changes compose, so a root's history is spread, see ``composed``."""
+    names = list(STATES)
+    steps = {kind: [names.index(to.get(kind, s)) for s, to in STATES.items()] for to in STATES.values() for kind in to}
+    stay = list(range(len(names)))
 
+    def element(columns: dict) -> np.ndarray:
+        coded = columns["kind"].dictionary_encode(null_encoding="encode")
+        table = np.array([steps.get(k, stay) for k in coded.dictionary.to_pylist()], float).reshape(-1, len(names))
+        return table[np.asarray(coded.indices)]
 
-def final_states(changes: DataFrame) -> DataFrame:
-    """State of each root after all its changes (root, kind, seq) in their order, begun at indexing."""
-    kinds = F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"])
-    return changes.groupBy("root").agg(F.aggregate(kinds, F.lit("indexing"), next_state).alias("state"), F.max("seq").alias("last_seq"))
+    found = composed.composed(changes, "root", "seq", ["kind"], element, composed.then)
+    state = F.get(F.array(*map(F.lit, names)), F.get("element", F.lit(names.index("indexing"))).cast("int"))
+    return found.select("root", state.alias("state"), F.col("last").alias("last_seq"))
 
 
 def root_machine(changes: DataFrame) -> DataFrame:
@@ -156,18 +160,23 @@ def fragment_stream(fragments: DataFrame, near: int = 100, hold: str = "1 hour")
 def rate_limits(answers: DataFrame, start: float = 0.5, longest: float = 8.0, most_errors: int = 50) -> DataFrame:
     """The pause before requests of each service after its answers (service, seq, status) in order: doubled by 429 up to the longest, and half of what is above the start given back by others.
 
-    ``pressed``: the service has had over ``most_errors`` errors without a success between.
+    ``pressed``: the service has had over ``most_errors`` errors without a success between. Answers compose (a pause is a linear function with a bound, a count one with
+    resets), so a service's history is spread, see ``composed``.
     """
-    step = F.struct(F.lit(start).alias("pause"), F.lit(0).alias("errors"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        limited = x["status"] == 429
-        pause = F.when(limited, F.least(F.lit(longest), acc["pause"] * 2)).otherwise(start + (acc["pause"] - start) / 2)
-        return F.struct(pause.alias("pause"), F.when(limited | (x["status"] >= 500), acc["errors"] + 1).otherwise(F.lit(0)).alias("errors"))
-
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "status")))
-    found = answers.groupBy("service").agg(F.aggregate(ordered, step, fold).alias("s"), F.count("*").alias("n"))
-    return found.select("service", F.round("s.pause", 6).alias("pause"), (F.col("s.errors") > most_errors).alias("pressed"), "n")
+    def element(columns: dict) -> np.ndarray:
+        status = np.asarray(columns["status"].fill_null(0))
+        limited = status == 429
+        failed = limited | (status >= 500)
+        pause = np.column_stack([np.where(limited, 2.0, 0.5), np.where(limited, 0.0, start / 2), np.full(len(status), longest)])
+        return np.column_stack([pause, ~failed, failed])
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.column_stack([composed.clamped(a[:, :3], b[:, :3], start), composed.counted(a[:, 3:], b[:, 3:])])
+
+    found = composed.composed(answers, "service", "seq", ["status"], element, join)
+    x = lambda k: F.get("element", F.lit(k))
+    pause = F.least(x(2), x(0) * start + x(1))
+    return found.select("service", F.round(pause, 6).alias("pause"), (x(4) > most_errors).alias("pressed"), "n")
 
 
 def split_readable(rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
