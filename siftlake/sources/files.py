@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from siftlake.operators.suppress import glob_regex
 
 #: First bytes of file formats, in hex.
 MAGIC = (("gzip", "1F8B"), ("zstd", "28B52FFD"), ("xz", "FD377A585A00"), ("lz4", "04224D18"), ("bzip2", "425A68"), ("zip", "504B0304"), ("pdf", "25504446"), ("wasm", "0061736D"), ("exe", "4D5A"), ("elf", "7F454C46"), ("bmp", "424D"), ("png", "89504E47"))
@@ -20,18 +23,36 @@ def magic(content: Column) -> Column:
     return F.coalesce(*(F.when(F.startswith(head, F.lit(h)), name) for name, h in MAGIC))
 
 
-def looks_binary(content: Column, sample: int = 8192) -> Column:
-    """A zero byte among the first ones, or bytes that aren't UTF-8."""
-    head = F.hex(F.substring(content, 1, sample))
-    return head.rlike("^(?:..)*00") | ~F.is_valid_utf8(content.cast("string"))
+#: Formats whose bytes aren't text, and the share of control characters beyond which bytes are none.
+PACKED = ("gzip", "zstd", "xz", "lz4", "bzip2", "zip", "pdf", "wasm", "elf", "png")
+MOST_CONTROLS = 0.05
+_CONTROLS = "".join(map(chr, [*range(9), 11, *range(14, 27), *range(28, 32), 127]))
+
+
+def wide(content: Column) -> Column:
+    """How bytes are written in UTF-16: ``UTF-16`` with a byte-order mark, ``UTF-16LE`` or ``UTF-16BE`` if every other of the first bytes is zero; null if they aren't."""
+    head = F.hex(F.substring(content, 1, 64))
+    marked = F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF"))
+    return F.when(marked, "UTF-16").when(head.rlike("^(?:(?!00)..00){4,}(?:..)?$"), "UTF-16LE").when(head.rlike("^(?:00(?!00)..){4,}(?:..)?$"), "UTF-16BE")
+
+
+def looks_binary(content: Column) -> Column:
+    """A packed format, or too many control characters among all bytes. Text in UTF-16 is none, nor is one with bytes that aren't UTF-8, or a zero byte here and there."""
+    bytes_ = F.decode(content, "ISO-8859-1")
+    controls = F.length(bytes_) - F.length(F.translate(bytes_, _CONTROLS, ""))
+    return F.coalesce(wide(content).isNull() & (magic(content).isin(*PACKED) | (controls > MOST_CONTROLS * F.length(bytes_))), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def _from_wide(content: pd.Series, form: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else bytes(c).decode(f, "replace") for c, f in zip(content, form, strict=True)])
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes in UTF-8, or in UTF-16 with a byte-order mark; invalid sequences become replacement characters."""
-    head = F.hex(F.substring(content, 1, 3))
-    wide = F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF"))
-    plain = F.when(F.startswith(head, F.lit("EFBBBF")), F.substring(content, 4, 1 << 30)).otherwise(content)
-    return F.when(wide, F.decode(content, "UTF-16")).otherwise(F.make_valid_utf8(plain.cast("string")))
+    """Text of bytes in UTF-8 or UTF-16, with a byte-order mark or without; invalid sequences become replacement characters. Only bytes in UTF-16 leave the JVM."""
+    form = wide(content)
+    plain = F.when(F.startswith(F.hex(F.substring(content, 1, 3)), F.lit("EFBBBF")), F.substring(content, 4, 1 << 30)).otherwise(content)
+    return F.coalesce(_from_wide(F.when(form.isNotNull(), content), form), F.make_valid_utf8(plain.cast("string")))
 
 
 def skipped(path: Column) -> Column:
@@ -40,11 +61,58 @@ def skipped(path: Column) -> Column:
     return F.when(extension.isin(*SKIPPED_EXTENSIONS), "extension").when(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))), "folder")
 
 
-def read_files(spark: SparkSession, root: str, most: int = 1 << 27, glob: str = "*") -> tuple[DataFrame, DataFrame]:
-    """Files below ``root``: chunks (path, text, size_bytes) and coverage rows (path, reason) for those that aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+#: Names of files that say which paths beside and below them aren't read.
+IGNORE_FILES = (".gitignore", ".ignore", ".siftignore")
+
+
+def hidden_files(spark: SparkSession, root: str, most: int) -> DataFrame:
+    """Files below ``root`` that Spark's listing leaves out, as their name or a folder's begins with a dot or an underscore: path, length and content (null beyond ``most``).
+
+    The driver lists them, as Spark does for the others; tasks read them through Arrow's file systems. Folders of SKIPPED_FOLDERS are left out.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found = system.makeQualified(base), []
+    listing = system.listFiles(base, True)
+    while listing.hasNext():
+        status = listing.next()
+        path = status.getPath().toString()
+        below = path[len(base.toString()) :].strip("/").split("/")
+        if any(x.startswith((".", "_")) for x in below) and not set(below) & set(SKIPPED_FOLDERS):
+            found.append((path, status.getLen()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for path, length in zip(frame["path"], frame["length"], strict=True):
+                content = None
+                if length <= most:
+                    source, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                    with source.open_input_stream(name) as stream:
+                        content = stream.read()
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [content]})
+
+    paths = spark.createDataFrame(found, "path string, length long")
+    return paths.repartition(max(1, min(len(found) // 64, 1000))).mapInPandas(run, "path string, length long, content binary")
+
+
+def read_files(spark: SparkSession, root: str, most: int = 1 << 27, glob: str = "*", ignore: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Files below ``root``: chunks (path, text, size_bytes) and coverage rows (path, reason) for those that aren't read.
+
+    Files whose names begin with a dot are read, too. With ``ignore``, the rules of ignore files hold for the paths below their folders (reason ``ignored``); paths are judged before any content is opened.
+    """
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length", "content")
+    name = F.element_at(F.split("path", "/"), -1)
+    hidden = hidden_files(spark, root, most)
+    files = plain.unionByName(hidden.where(name.rlike(glob_regex(glob)) & ~name.isin(*IGNORE_FILES if ignore else [])))
     reason = F.coalesce(skipped(F.col("path")), F.when(F.col("length") > most, "too_large"))
     listed = files.select("path", F.col("length").alias("size_bytes"), "content", reason.alias("reason"))
+    if ignore:
+        rules = ignore_rules(hidden.where(name.isin(*IGNORE_FILES)).select("path", decoded(F.col("content")).alias("text")))
+        paths = files.select("path")
+        ignored = paths.join(not_ignored(paths, rules), "path", "left_anti").withColumn("_ignored", F.lit("ignored"))
+        listed = listed.join(ignored, "path", "left").select("path", "size_bytes", "content", F.coalesce("reason", "_ignored").alias("reason"))
     kept = listed.where("reason IS NULL").withColumn("reason", F.when(looks_binary(F.col("content")), "binary"))
     chunks = kept.where("reason IS NULL").select("path", decoded(F.col("content")).alias("text"), "size_bytes")
     return chunks, listed.where("reason IS NOT NULL").select("path", "reason").unionByName(kept.where("reason IS NOT NULL").select("path", "reason"))
