@@ -14,6 +14,7 @@ from siftlake.plans.detectors import ENTROPY_TOKEN, MAX_PATTERNS, SEVERITIES, Co
 
 from . import windows
 from .context import context_of, line_at
+from .suppress import hex_context
 
 ASSIGNMENT = r"""(?i)(token|secret|password|passwd|api_?key)["']? ?[:=] ?["']?([A-Za-z0-9_+/.=-]{8,128})"""
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -125,7 +126,7 @@ def lines_needed(detectors: tuple[Detector, ...]) -> int:
 def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = False, context: bool = False, keep: tuple[str, ...] = (), window: int = 0) -> DataFrame:
     """All non-empty matches of the detectors: doc_id, path, detector_id, pattern_no, value, line_no and byte_offset.
 
-    With ``context`` also the ``line`` of the match, the class of its place, ``at``, its first character in the chunk (from 0), and ``companions``, a map of names
+    With ``context`` also the ``line`` of the match and the one ``above``, whether it stands ``in_hex`` digits, the class of its place, ``at``, its first character in the chunk (from 0), and ``companions``, a map of names
     to the nearest values; ``keep``: further columns of the chunks.
 
     A pattern's group is the value; a match whose group took no part gives no row. Without ``anchors``, patterns are literals that are
@@ -169,7 +170,10 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = Fal
     before = F.left("text", F.col("m.start"))
     line, state = line_at(F.col("text"), F.col("m.start")), F.col("_state") if window else None
     at = F.col("m.start") + (F.col("_skip") if window else F.lit(0))
-    more = [line.alias("line"), context_of(line, before, F.col("path"), state).alias("context"), at.alias("at"), _companions_of(detectors, F.col("text"), F.col("m.start")).alias("companions")] if context else []
+    head = F.substring_index(before, "\n", -2)
+    above = F.when(F.contains(head, F.lit("\n")), F.substring_index(head, "\n", 1)).otherwise("")
+    in_hex = hex_context(F.col("text"), F.col("m.start"), F.length("m.value"))
+    more = [line.alias("line"), above.alias("above"), in_hex.alias("in_hex"), context_of(line, before, F.col("path"), state).alias("context"), at.alias("at"), _companions_of(detectors, F.col("text"), F.col("m.start")).alias("companions")] if context else []
     line_no = F.col("base_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     return rows.select("doc_id", "path", "detector_id", "pattern_no", F.col("m.value").alias("value"), line_no.alias("line_no"), (F.col("base_offset") + F.octet_length(before)).alias("byte_offset"), *more, *keep)
 

@@ -100,6 +100,20 @@ def allowed(path: Column, globs: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (path.rlike(glob_regex(g)) for g in globs), F.lit(False))
 
 
+#: A comment that drops findings of its own line, or of the next one; of one detector, if it names one.
+DIRECTIVE = r"(?i)(?:#|//|/\*|--|;|<!--|%)\s*siftlake:ignore(-next)?(?:\s+detector=([A-Za-z0-9_-]+))?"
+
+
+def directed(line: Column, above: Column, detector_id: Column) -> Column:
+    """A directive on the match's line, or one for the next line above it, speaks of this detector or of all."""
+
+    def says(text: Column, following: str) -> Column:
+        scope = F.regexp_extract(text, DIRECTIVE, 2)
+        return text.rlike(DIRECTIVE) & (F.lower(F.regexp_extract(text, DIRECTIVE, 1)) == following) & ((scope == "") | (scope == detector_id))
+
+    return says(line, "") | says(above, "-next")
+
+
 def with_directive(lines: DataFrame, directive: str = r"(?i)(#|//) ?sample only") -> DataFrame:
     """Adds ``ignored``: the line itself or the one before carries the directive. Lines: doc_id, line_no, line."""
     before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,29 @@ class Policy:
         return presets[name]
 
 
+@dataclass(frozen=True)
+class Controls:
+    """What a caller says about findings, all of it optional.
+
+    ``rules``: tables of conditions, see ``suppress.rules``; ``allow``: globs of paths; ``fixtures`` and ``fixture_parts``: known test values, and parts of such; ``calibration``: detector_id,
+    alpha, beta; ``verified``: credential_hash, outcome; ``baseline`` and ``triage``: detector_id, credential_hash of findings that are known, and that were judged false. Each drop is a stage:
+    ``rule``, ``allowed_path``, ``fixture_value``, ``in_baseline``, ``triaged``.
+    """
+
+    rules: tuple[dict, ...] = ()
+    allow: tuple[str, ...] = ()
+    fixtures: tuple[str, ...] = ()
+    fixture_parts: tuple[str, ...] = ()
+    calibration: DataFrame | None = None
+    verified: DataFrame | None = None
+    baseline: DataFrame | None = None
+    triage: DataFrame | None = None
+
+
+#: A path in a commit of history, and not in what is there now.
+HISTORY = "^[0-9a-f]{40}:"
+
+
 def _by_detector(detectors: tuple[Detector, ...], what) -> Column:
     return F.element_at(F.create_map(*(x for d in detectors for x in (F.lit(d.id), F.lit(what(d))))), F.col("detector_id"))
 
@@ -93,8 +118,8 @@ def once(rows: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW) -> DataFrame:
-    """What the producers find, each tagged with its ``channel``: doc_id, path, detector_id, value, line_no, byte_offset, line, context,
-    companions and around (of decoded text: what stood before the blob on its line; else empty).
+    """What the producers find, each tagged with its ``channel``: doc_id, path, detector_id, pattern_no, value, line_no, byte_offset, line, above,
+    in_hex, context, companions and around (of decoded text: what stood before the blob on its line; else empty).
 
     Patterns over the text, over values written on several lines, over joined fragments, and over decoded text; assignments; and tokens of high entropy. Texts of more
     than ``window`` characters are searched and decoded block by block.
@@ -102,7 +127,7 @@ def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, po
     policy = Policy.named(policy) if isinstance(policy, str) else policy
     named = tuple(d for d in detectors if d.id not in GENERIC)
     many = sum(len(d.patterns) for d in named) > 64
-    columns = ("doc_id", "path", "detector_id", "value", "line_no", "byte_offset", "line", "context", "companions", "around", "channel")
+    columns = ("doc_id", "path", "detector_id", "pattern_no", "value", "line_no", "byte_offset", "line", "above", "in_hex", "context", "companions", "around", "channel")
 
     def over(rows: DataFrame, channel: str, keep: tuple[str, ...] = ()) -> DataFrame:
         return extract.scan(rows, named, anchors=many, context=True, keep=("around", *keep), window=window).withColumn("channel", F.lit(channel))
@@ -136,8 +161,8 @@ def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, po
     return once(found)
 
 
-def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
-    """Candidates with checksum, entropy, confidence, reason and tier of evidence, and ``stage``: why one is dropped; null: it isn't."""
+def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", controls: Controls = Controls()) -> DataFrame:
+    """Candidates with checksum, entropy, confidence, severity, reason and tier of evidence, and ``stage``: why one is dropped; null: it isn't."""
     policy = Policy.named(policy) if isinstance(policy, str) else policy
     every = (*detectors, ASSIGNMENT, ENTROPY_TOKEN)
     named = ~F.col("channel").isin("assignment", "entropy")
@@ -147,13 +172,33 @@ def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
     rows = rows.withColumn("checksum", score.checksum_verdict(v, F.element_at(F.create_map(*(x for d in every for x in (F.lit(d.id), F.array(*map(F.lit, d.validators)).cast("array<string>")))), F.col("detector_id"))))
     prefix = of(lambda d: d.prefix)
     rows = rows.withColumn("entropy", T.byte_entropy(v)).withColumn("_known", (prefix != "") & F.startswith(v, prefix)).withColumn("_sample", score.is_placeholder(v))
+    rows = rows.withColumn("credential_hash", F.sha2(v, 256))
+    if controls.verified is not None:
+        outcomes = controls.verified.groupBy("credential_hash").agg(F.max_by("outcome", F.col("outcome") == "live").alias("_outcome"))
+        rows = rows.join(outcomes, "credential_hash", "left")
+    else:
+        rows = rows.withColumn("_outcome", F.lit(None).cast("string"))
     rows = once(rows)
+    keyword = F.col("line").rlike("(?i)token|secret|password|key|bearer")
     base = score.base_confidence(F.col("entropy"), F.length(v), has_literal_prefix=F.col("_known"), has_context_anchor=named, keyword_nearby=F.lit(True), sensitive_file=score.sensitive_path(F.col("path")), has_companion=F.size("companions") > 0)
-    by_channel = F.when(F.col("channel") == "assignment", score.generic_confidence(F.col("entropy"), F.length(v))).when(F.col("channel") == "entropy", score.fallback_confidence(F.col("entropy"), F.lit(True))).otherwise(score.named_floor(base, named))
+    by_channel = F.when(F.col("channel") == "assignment", score.generic_confidence(F.col("entropy"), F.length(v))).when(F.col("channel") == "entropy", score.fallback_confidence(F.col("entropy"), keyword)).otherwise(score.named_floor(base, named))
     confidence = score.penalised(by_channel, v) * score.context_multiplier(F.col("context"))
     confidence = F.when(F.col("_known") & ~F.col("_sample") & ~F.col("context").isin("encrypted", "test", "documentation", "comment"), F.greatest(confidence, F.lit(0.8))).otherwise(confidence)
     confidence = F.when(F.col("checksum") == "valid", F.greatest(confidence, F.lit(0.9))).otherwise(confidence) * F.when(score.fixture_path(F.col("path")), 0.5).otherwise(1.0)
     rows = once(rows.withColumn("confidence", T.safe_score(confidence)))
+    if controls.calibration is not None:
+        rows = once(score.calibrated(rows, controls.calibration))
+    public = [(d.id, k) for d in detectors for k, p in enumerate(d.patterns) if p.client_safe]
+    client_safe = reduce(or_, ((F.col("detector_id") == i) & (F.col("pattern_no") == k) for i, k in public), F.lit(False))
+    severity = score.adjusted_severity(F.col("severity_rank"), F.col("path").rlike(HISTORY), client_safe, F.coalesce("_outcome", F.lit("")))
+    rows = extract.with_detector(rows, every).withColumn("severity_rank", severity)
+    known = {"in_baseline": controls.baseline, "triaged": controls.triage}
+    for flag, table in known.items():
+        if table is not None:
+            rows = rows.join(table.select(*resolve.KEY).distinct().withColumn(f"_{flag}", F.lit(True)), resolve.KEY, "left")
+    name = F.regexp_extract("line", r"""([A-Za-z0-9_.-]{2,64})["']?\s*(?::=|=>|=|:)""", 1)
+    # A value of a key's own width or alphabet is judged by what it says, not by its shape.
+    canonical = v.rlike("^[A-Za-z0-9+/]{40}$|^[A-Za-z0-9_-]{43}=?$") & v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
     exact, least, most = of(lambda d: d.exact_length), of(lambda d: d.min_length), of(lambda d: d.max_length or LONGEST * 8)
     own_lists = F.lit(False)
     for d in detectors:
@@ -165,26 +210,31 @@ def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
         F.when(F.length(v) < least, "below_detector_min_length"),
         F.when((F.length(v) > most) | ((F.col("channel") == "assignment") & (F.length(v) > LONGEST)), "value_too_long"),
         F.when(own_lists, "detector_list"),
+        F.when(suppress.directed(F.col("line"), F.col("above"), F.col("detector_id")), "inline_directive"),
+        F.when(suppress.rules(list(controls.rules)), "rule") if controls.rules else F.lit(None),
+        F.when(suppress.allowed(F.col("path"), list(controls.allow)), "allowed_path") if controls.allow else F.lit(None),
+        F.when(context.fixture_value(v, controls.fixtures, controls.fixture_parts), "fixture_value") if controls.fixtures or controls.fixture_parts else F.lit(None),
+        *(F.when(F.col(f"_{flag}"), flag) for flag, table in known.items() if table is not None),
         F.when(F.col("checksum") == "invalid", "checksum_invalid"),
         F.when(F.col("_sample"), "placeholder"),
         F.when(F.col("channel") == "decoded", context.decoded_suppression(v, F.col("around"), named)),
-        F.when(~named, F.coalesce(suppress.stage(v), shapes.example_ladder(v, F.lit(False)), F.when(context.decoded_benign(v), "decoded_benign"), F.when(shapes.base64_decoy(v), "base64_decoy"))),
+        F.when(~named, F.coalesce(suppress.stage(v), F.when(F.col("in_hex") & T.is_hex(v), "hex_context"), F.when(shapes.hex_decoy(v, name), "hex_decoy"), shapes.example_ladder(v, canonical), F.when(context.decoded_benign(v), "decoded_benign"), F.when(shapes.base64_decoy(v), "base64_decoy"))),
         F.when(score.hard_suppressed(F.col("context"), F.col("confidence")), "hard_suppressed_context"),
         F.when(F.col("confidence") < floor, "below_min_confidence"),
     )
-    reason = score.evidence_reason(F.col("detector_id"), F.col("channel"), F.col("context"), F.col("path"), F.col("checksum"), F.col("companions"), F.lit(False))
-    return once(rows.withColumn("stage", stage).withColumn("reason", reason).drop("_known", "_sample")).withColumn("tier", score.evidence_tier(F.col("reason")))
+    reason = score.evidence_reason(F.col("detector_id"), F.col("channel"), F.col("context"), F.col("path"), F.col("checksum"), F.col("companions"), F.coalesce(F.col("_outcome") == "live", F.lit(False)))
+    return once(rows.withColumn("stage", stage).withColumn("reason", reason).drop("_known", "_sample", "_outcome", "_in_baseline", "_triaged")).withColumn("tier", score.evidence_tier(F.col("reason")))
 
 
-def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW) -> DataFrame:
+def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW, controls: Controls = Controls()) -> DataFrame:
     """The scan with all producers: one finding for each credential and path, with what else was found of it.
 
+    ``controls``: what the caller knows of findings: rules, paths, fixtures, calibration, verdicts, a baseline and triage.
     A named detector wins over an assignment, and that over entropy; then what has a place of its own, confidence, severity and id. ``others``: ids of the
     detectors that found the same value; ``locations``: its distinct other lines in order.
     """
-    every = (*detectors, ASSIGNMENT, ENTROPY_TOKEN)
-    rows = extract.with_detector(judged(candidates(chunks, detectors, policy, window), detectors, policy).where("stage IS NULL"), every)
-    rows = rows.withColumn("credential_hash", F.sha2("value", 256)).withColumn("redacted", T.redact(F.col("value"))).withColumn("_rank", F.array_position(F.array(*map(F.lit, ("entropy", "assignment"))), F.col("channel")))
+    rows = judged(candidates(chunks, detectors, policy, window), detectors, policy, controls).where("stage IS NULL")
+    rows = rows.withColumn("redacted", T.redact(F.col("value"))).withColumn("_rank", F.array_position(F.array(*map(F.lit, ("entropy", "assignment"))), F.col("channel")))
     order = F.struct(F.when(F.col("_rank") == 0, 3).otherwise(F.col("_rank")), ~F.col("channel").isin("decoded", "fragment", "multiline"), "confidence", "severity_rank", "detector_id", -F.coalesce("byte_offset", F.lit(0)))
     picked = F.struct("detector_id", "service", "severity_rank", "redacted", "line_no", "byte_offset", "channel", "context", F.round("confidence", 6).alias("confidence"), "reason", "tier", "companions")
     best = rows.groupBy("doc_id", "path", "credential_hash").agg(F.max_by(picked, order).alias("f"), F.array_sort(F.collect_set("detector_id")).alias("_ids"), F.array_sort(F.collect_set("line_no")).alias("_lines"))
@@ -192,9 +242,9 @@ def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, pol
     return best.withColumn("companions", F.transform_values("companions", lambda _, x: T.redact(x)))
 
 
-def explain(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default") -> DataFrame:
+def explain(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", controls: Controls = Controls()) -> DataFrame:
     """Every candidate, redacted, with what was said of it: channel, context, checksum, confidence, reason and the stage that drops it (``reported``: none)."""
-    rows = judged(candidates(chunks, detectors, policy), detectors, policy)
+    rows = judged(candidates(chunks, detectors, policy), detectors, policy, controls)
     return rows.select("doc_id", "path", "detector_id", T.redact(F.col("value")).alias("redacted"), "line_no", "channel", "context", "checksum", F.round("confidence", 6).alias("confidence"), "reason", "tier", F.coalesce("stage", F.lit("reported")).alias("stage"))
 
 

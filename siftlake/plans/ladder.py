@@ -170,6 +170,29 @@ def scan_windowed(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "detector_id", "credential_hash", "line_no", "byte_offset", "channel", "reason")
 
 
+@query(f"""WITH f AS ({FULL_NAMED}), p AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || '/' || doc_id || '.txt' AS path FROM documents)
+SELECT f.*, (CASE detector_id WHEN 'stripe-live-key' THEN 5 WHEN 'aws-access-key' THEN 5 WHEN 'github-classic-pat' THEN CASE WHEN doc_id % 20 = 11 THEN 4 ELSE 5 END WHEN 'slack-bot-token' THEN 4 WHEN 'json-web-token' THEN 3 ELSE 4 END)::INT AS severity_rank
+FROM (SELECT * REPLACE (CASE WHEN detector_id = 'json-web-token' AND doc_id % 20 = 6 THEN 'live-verification' ELSE reason END AS reason) FROM f) f JOIN p USING (doc_id)
+WHERE NOT (detector_id = 'slack-bot-token' AND contains(path, '/de/')) AND NOT starts_with(path, 'src1/') AND NOT (detector_id = 'github-classic-pat' AND doc_id % 20 = 1) AND NOT (detector_id = 'stripe-live-key' AND doc_id % 20 = 9)""")
+def scan_policies(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole scan with a rule, an allowed path, a baseline, triage, and verdicts that lower a severity or confirm a finding."""
+    docs, hexes = _docs(spark, folder), F.sha2(F.col("doc_id").cast("string"), 256)
+    part = lambda a, n: F.substring(hexes, a, n)
+    known = lambda k, ident, value: docs.where(F.col("doc_id") % 20 == k).select(F.lit(ident).alias("detector_id"), F.sha2(value, 256).alias("credential_hash"))
+    github = F.concat(F.lit("ghp_"), part(1, 36))
+    web = F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIx"), part(1, 8), F.lit("In0."), part(1, 43))
+    verdict = lambda k, value, said: known(k, "", value).select("credential_hash", F.lit(said).alias("outcome"))
+    controls = engine.Controls(
+        rules=({"detector": "slack-bot-token", "path_contains": "/de/"},),
+        allow=("src1/**",),
+        baseline=known(1, "github-classic-pat", github),
+        triage=known(9, "stripe-live-key", F.concat(F.lit("sk_live_"), part(1, 24))),
+        verified=verdict(11, github, "revoked").unionByName(verdict(6, web, "live")),
+    )
+    found = engine.full_scan(_seeded(spark, folder), policy="fast", controls=controls).where(~F.col("detector_id").isin(engine.ASSIGNMENT.id, engine.ENTROPY_TOKEN.id))
+    return found.select("doc_id", "detector_id", "credential_hash", "line_no", "byte_offset", "channel", "reason", "severity_rank")
+
+
 @query()
 def scan_full(spark: SparkSession, folder: str) -> DataFrame:
     """The whole scan: all its findings."""

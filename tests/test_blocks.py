@@ -122,3 +122,50 @@ def test_relations_are_one_pass(spark):
 def test_decoding_of_one_place_by_two_decoders_is_one_finding(spark):
     rows = decode.splice_through(chunk(spark, "k " + b"x ghp_ab \n".hex() + " z"), 2, ("hex", "base64"))
     assert [r.via for r in rows.where("text LIKE '%ghp@_ab%' ESCAPE '@'").collect()] == ["hex"]
+
+
+def test_candidates_equal_plain_python(spark):
+    """All documents: patterns, assignments and tokens by Python's own regular expressions, with places and classes by counting."""
+    import math
+    import re
+    from collections import Counter
+
+    from siftlake.operators import context
+
+    docs = seeded_chunks(read(spark, DATA, "documents"))
+    found = engine.candidates(docs, BUILT_IN, "fast", 4096).where("channel IN ('pattern', 'assignment', 'entropy')")
+    got = Counter((r.doc_id, r.detector_id, r.value, r.line_no, r.byte_offset, r.context) for r in found.collect())
+
+    def entropy(v):
+        counts = Counter(v.encode())
+        return -sum(n / len(v.encode()) * math.log2(n / len(v.encode())) for n in counts.values())
+
+    def place(text, path, start):
+        before, line = text[:start], text[text.rfind("\n", 0, start) + 1 :].split("\n", 1)[0]
+        count = lambda rx: len(re.findall(rx, before, re.M))
+        if count(context.BEGIN_ENCRYPTED) > count(context.END_ENCRYPTED):
+            kind = "encrypted"
+        elif re.search(context.TEST_PATH, path.lower()):
+            kind = "test"
+        elif re.search(context.DOCUMENTATION_PATH, path.lower()) or count('"""') % 2 or count("^```") % 2:
+            kind = "documentation"
+        else:
+            kind = next((k for k, rx in (("comment", context.COMMENT), ("assignment", context.ASSIGNED), ("string", "[\"'`]")) if re.search(rx, line)), "unknown")
+        return line, before.count("\n") + 1, len(before.encode()), kind
+
+    expected = Counter()
+    detectors = [*(d for d in BUILT_IN if d.id not in engine.GENERIC), engine.ASSIGNMENT, engine.ENTROPY_TOKEN]
+    for r in docs.collect():
+        for d in detectors:
+            if not any(k in r.text.lower() for k in d.keywords):
+                continue
+            for p in d.patterns:
+                for m in re.finditer(p.regex, r.text, re.ASCII):
+                    value, start = m.group(p.group), m.start(p.group)
+                    line, line_no, offset, kind = place(r.text, r.path, start)
+                    if d is engine.ENTROPY_TOKEN:
+                        e = entropy(value)
+                        if not (re.search("(?i)token|secret|password|key|bearer", line) and e >= 3.5) and not (line.strip(" ") == value and e >= 4.5):
+                            continue
+                    expected[(r.doc_id, d.id, value, line_no, offset, kind)] += 1
+    assert got == expected and len(expected) > 150
