@@ -42,6 +42,8 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, digest and refers_to (the smallest page_id with the same payload) of pages that are revisits."""
     keyed = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least)).select("page_id", _digest().alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    # Written, as a join with a table may split a digest that many pages share, and one with an aggregation may not.
+    first = stored(first, "first-payloads")
     return keyed.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
