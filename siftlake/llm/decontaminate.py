@@ -10,7 +10,8 @@ in a join, and only the documents that share one are tiled, a row for each pair.
 
 Nulls, ties and odd rows: null texts and texts without words leak nothing; of equally long matches the one that is earlier in the document,
 then in the item, is marked first; repeated documents are judged each by itself; items with the same ``item_id`` are each
-an item; a null ``item_id`` stays null in the result; other columns are ignored. An empty table gives an empty result.
+an item; a null ``item_id`` stays null in the result; items without words are left out before anything is counted or collected; a word that a text and an item repeat costs their
+places' time, not memory; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,47 +43,40 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, at: list[tuple[int, int]], seed: int) -> list[tuple[int, int, int]]:
+def _equal_runs(doc: np.ndarray, item: np.ndarray, i: int, j: int, n: int, seed: int) -> Iterator[tuple[int, int, int]]:
+    """Of a stretch whose hashes agree, the parts of ``seed`` words or more that agree themselves."""
+    same = np.concatenate([[False], doc[i : i + n] == item[j : j + n], [False]])
+    edges = np.flatnonzero(same[1:] != same[:-1]).tolist()
+    return ((i + a, j + a, z - a) for a, z in zip(edges[::2], edges[1::2], strict=True) if z - a >= seed)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, at: list[tuple[int, int, int]], seed: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in the document, place in the item, length) of the tiles.
 
-    ``at``: the places (document, item) where ``seed`` words agree. Neighbours on a diagonal make maximal matches; the longest free one is
-    marked, and what is left free of one that is partly marked goes back among the others.
+    ``at``: stretches (place in the document, place in the item, words) that agree, as long as they can be. The longest free one is marked, and what is left free of one
+    that is partly marked goes back among the others. It ends when no ``seed`` words of the item are free in a row.
     """
-    matches: list[tuple[int, int, int]] = []
-    last: dict[int, list[int]] = {}
-    for i, j in sorted(at):
-        if not np.array_equal(doc[i : i + seed], item[j : j + seed]):
-            continue
-        run = last.get(i - j)
-        if run and i <= run[0] + run[2]:
-            run[2] = i + seed - run[0]
-        else:
-            if run:
-                matches.append((-run[2], run[0], run[1]))
-            last[i - j] = [i, j, seed]
-    matches += [(-n, i, j) for i, j, n in last.values()]
+    matches = [(-n, i, j) for x in at for i, j, n in _equal_runs(doc, item, *x, seed)]
     heapq.heapify(matches)
-    used_doc: set[int] = set()
-    used_item: set[int] = set()
-    out = []
-    while matches:
+    used_doc, used_item, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
+    room = len(item) >= seed
+    while matches and room:
         n, i, j = heapq.heappop(matches)
-        free = [k for k in range(-n) if i + k not in used_doc and j + k not in used_item]
-        if len(free) == -n:
+        free = ~(used_doc[i : i - n] | used_item[j : j - n])
+        if free.all():
             out.append((i, j, -n))
-            used_doc.update(range(i, i - n))
-            used_item.update(range(j, j - n))
+            used_doc[i : i - n] = used_item[j : j - n] = True
+            gaps = np.diff(np.concatenate([[-1], np.flatnonzero(used_item), [len(item)]])) - 1
+            room = bool(gaps.max() >= seed)
             continue
-        first = 0
-        for k in range(1, len(free) + 1):
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if k - first >= seed:
-                    heapq.heappush(matches, (first - k, i + free[first], j + free[first]))
-                first = k
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))).tolist()
+        for a, z in zip(edges[::2], edges[1::2], strict=True):
+            if z - a >= seed:
+                heapq.heappush(matches, (a - z, i + a, j + a))
     return out
 
 
-def _judged(doc_id, doc: np.ndarray, item_id, item: np.ndarray, at: list[tuple[int, int]], seed: int, coverage: float) -> tuple | None:
+def _judged(doc_id, doc: np.ndarray, item_id, item: np.ndarray, at: list[tuple[int, int, int]], seed: int, coverage: float) -> tuple | None:
     marked = tiles(doc, item, at, min(seed, len(item)))
     n = sum(x[2] for x in marked)
     return (doc_id, item_id, n, len(item), n / len(item), len(marked)) if n >= coverage * len(item) else None
@@ -106,8 +100,8 @@ class Items:
             order = np.argsort(hashes, kind="stable")
             self.seeds[size] = (hashes[order], which[order], place[order])
 
-    def shared(self, tokens: np.ndarray, lengths: np.ndarray, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """For a batch of documents: (document, item, places of the seeds that they share), for each pair that can reach ``coverage``.
+    def shared(self, tokens: np.ndarray, lengths: np.ndarray, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """For a batch of documents: (document, item, stretches in which all seeds agree), for each pair that can reach ``coverage``.
 
         Tiles lie within shared seeds, so the words of an item that any shared seed covers bound what is tiled. This is counted for the
         distinct seeds of a document, and only the pairs that pass get their places.
@@ -139,21 +133,38 @@ class Items:
                 passed = begins[np.add.reduceat(reach, begins) >= coverage * self.lengths[item[begins]]]
                 for k, j in zip(of[passed].tolist(), item[passed].tolist(), strict=True):
                     a, z = np.searchsorted(doc, [k, k + 1])  # hits ascend by document
-                    yield k, j, _meetings(hashes[hit[a:z]], hit[a:z] - starts[k], rolling_hashes(self.items[j][1], size))
+                    yield k, j, _meetings(hashes[hit[a:z]], hit[a:z] - starts[k], rolling_hashes(self.items[j][1], size), size)
                 at = upto
 
 
-def _meetings(hashes: np.ndarray, places: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
-    """(place in the document, place in the item) where the hashes agree."""
-    order = np.argsort(item, kind="stable")
-    low, high = np.searchsorted(item[order], hashes), np.searchsorted(item[order], hashes, "right")
-    return [(int(places[k]), int(x)) for k in np.flatnonzero(high > low).tolist() for x in order[low[k] : high[k]]]
+def _meetings(hashes: np.ndarray, places: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, words) of the longest stretches in which seeds of ``size`` words agree one after the other.
+
+    The item's places are taken in turn, and the diagonals that go on are carried along as sorted arrays. So what is in memory is the places of one seed, and not all
+    places of the document times all of the item, however often both repeat a word.
+    """
+    order = np.lexsort((places, hashes))
+    hashes, places = hashes[order], places[order].astype(np.int64)
+    low, high = np.searchsorted(hashes, item), np.searchsorted(hashes, item, "right")
+    found: list[np.ndarray] = []
+    on, since = np.empty(0, np.int64), np.empty(0, np.int64)  # open diagonals, ascending, and where in the item they began
+    for j in range(len(item) + 1):
+        now = places[low[j] : high[j]] - j if j < len(item) else np.empty(0, np.int64)
+        if not len(on) and not len(now):
+            continue
+        stays = np.isin(on, now, assume_unique=True)
+        ended, began = on[~stays], since[~stays]
+        found.append(np.column_stack([ended + began, began, j - began + size - 1]))
+        begin = np.full(len(now), j)
+        begin[np.searchsorted(now, on[stays])] = since[stays]
+        on, since = now, begin
+    return [tuple(x) for x in np.concatenate(found).tolist()] if found else []
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that leaked into it:
     doc_id, item_id, tiled_words, item_words, coverage (their ratio) and n_tiles."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words"))
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)  # blank items leak nothing
     n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
     if n_words > most_seeds:

@@ -224,3 +224,48 @@ def test_periodic_runs_of_odd_rows(spark, monkeypatch):
     assert [tuple(x) for x in short[0].runs] == [(0, 8, 1)]
     with pytest.raises(ValueError):
         periodic.runs_of(np.zeros(3, np.int64), np.array([0, 3]), exponent=2)
+
+
+# 7 Decontamination: texts that repeat words
+
+
+def test_repeated_words_take_no_memory_for_each_pair(spark):
+    import tracemalloc
+
+    from siftlake.llm import decontaminate
+
+    def points(doc, item, seed):
+        """Tiles by definition, from all pairs of places."""
+        out, used_doc, used_item = [], set(), set()
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(doc)):
+                for j in range(len(item)):
+                    n = 0
+                    while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_doc and j + n not in used_item:
+                        n += 1
+                    if n >= seed and n > best[2]:
+                        best = (i, j, n)
+            if not best[2]:
+                return out
+            out.append(best)
+            used_doc.update(range(best[0], best[0] + best[2]))
+            used_item.update(range(best[1], best[1] + best[2]))
+
+    rng = random.Random(9)
+    for _ in range(60):
+        doc, item = ([rng.randrange(rng.choice([1, 2, 3])) for _ in range(rng.randint(1, 40))] for _ in range(2))
+        doc, item, seed = np.array(doc, np.uint64), np.array(item, np.uint64), rng.choice([1, 2, 4])
+        if len(item) < seed or len(doc) < seed:
+            continue
+        hashes = decontaminate.rolling_hashes(doc, seed)
+        met = decontaminate._meetings(hashes, np.arange(len(hashes)), decontaminate.rolling_hashes(item, seed), seed)
+        assert decontaminate.tiles(doc, item, met, seed) == points(doc.tolist(), item.tolist(), seed)
+    docs = spark.createDataFrame([(1, "ha " * 60_000 + "and so on"), (2, "so it goes " * 20_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "ha " * 600), (8, "so it goes on and on and it goes so far " * 3), (9, "  "), (None, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.coverage) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 7, 1.0)]
+    known = decontaminate.rolling_hashes(np.zeros(200_000, np.uint64), 5)
+    tracemalloc.start()
+    met = decontaminate._meetings(known, np.arange(len(known)), decontaminate.rolling_hashes(np.zeros(100, np.uint64), 5), 5)
+    assert len(met) == len(known) + 95 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
