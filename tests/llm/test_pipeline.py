@@ -57,3 +57,10 @@ def test_stages_decide_on_rows_not_ids(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[k] for k in (0, 1, 3, 6, 7, 8, 9, 11)])
     clean = corpus_pipeline.decontamination(spark, docs, DATA)
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for k, r in enumerate(rows) if k not in (7, 8))
+
+
+def test_near_dedup_keeps_columns_without_an_order(spark):
+    rows = [(1, "one text of some words here", {"a": 1}), (1, "one text of some words here", {"b": 2}), (2, "another text altogether it is", None), (None, None, {"c": 3}), (None, None, {"c": 3})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string, int>")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(1, rows[0][1]), (2, rows[2][1])] and len(kept) == 3
