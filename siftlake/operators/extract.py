@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,22 +67,20 @@ def entropy_tokens(chunks: DataFrame, least: float) -> DataFrame:
     return rows.withColumn("entropy", F.round(T.shannon_entropy(F.col("value")), 6)).where(F.col("entropy") >= least)
 
 
-def _catalogue(detectors: tuple[Detector, ...]) -> Column:
-    flat = [(d, k, p) for d in detectors for k, p in enumerate(d.patterns)]
-    if len(flat) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns in one scan")
-    row = lambda d, k, p: F.struct(F.lit(d.id).alias("detector_id"), F.lit(k).alias("pattern_no"), F.array(*map(F.lit, d.keywords)).cast("array<string>").alias("keywords"), F.array(*map(F.lit, p.required)).cast("array<string>").alias("required"))
-    return F.array(*(row(*x) for x in flat))
-
-
 def triggered(chunks: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
     """Chunks with the patterns that can match them: one of the keywords and all required literals are there, in any case."""
     return chunks.select("*", F.explode(_triggered(F.lower("text"), detectors)).alias("_p")).select("*", "_p.detector_id", "_p.pattern_no").drop("_p")
 
 
 def _triggered(low: Column, detectors: tuple[Detector, ...]) -> Column:
-    can = lambda p: F.exists(p["keywords"], lambda k: F.contains(low, k)) & F.forall(p["required"], lambda k: F.contains(low, F.lower(k)))
-    return F.filter(_catalogue(detectors), can)
+    """The patterns that can match, as (detector_id, pattern_no). A keyword is one search in generated code, whatever patterns ask for it."""
+    has = {k: F.contains(low, F.lit(k)) for d in detectors for k in (*d.keywords, *(x.lower() for p in d.patterns for x in p.required))}
+
+    def can(d: Detector, n: int) -> Column:
+        return reduce(and_, (has[x.lower()] for x in d.patterns[n].required), reduce(or_, (has[k] for k in d.keywords), F.lit(False)))
+
+    rows = (F.when(can(d, n), F.struct(F.lit(d.id).alias("detector_id"), F.lit(n).alias("pattern_no"))) for d, n in _each(detectors))
+    return F.array_compact(F.array(*rows))
 
 
 def _each(detectors: tuple[Detector, ...]) -> list[tuple[Detector, int]]:
@@ -137,7 +135,8 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = Fal
     whole text all the same. That bounds what a match's place costs, and what it has to be near for a companion or the line around it: the blocks beside its own.
     """
     low = F.col("_low")
-    rows = chunks.withColumn("_low", F.lower("text")).withColumn("_can", _triggered_by_anchor(low, detectors) if anchors else _triggered(low, detectors)).drop("_low").where(F.size("_can") > 0)
+    rows = windows.once(chunks.withColumn("_low", F.lower("text"))) if anchors else chunks.withColumn("_low", F.lower("text"))
+    rows = windows.once(rows.withColumn("_can", _triggered_by_anchor(low, detectors) if anchors else _triggered(low, detectors)).drop("_low")).where(F.size("_can") > 0)
     own = []
     if window:
         rows, own = windows.blocks(rows, window, lines=lines_needed(detectors)), ["_own", "_skip", "_state"]

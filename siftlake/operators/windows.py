@@ -19,6 +19,11 @@ def windowed(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.withColumn("text", F.substring(F.col("text"), start + 1, F.lit(size)))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """The rows, with their columns computed once: a generator of one row stands between, so that what follows, a filter too, doesn't repeat their expressions."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
+
+
 #: A character that no text holds (a noncharacter of Unicode): where a line goes on with the next. It counts as a line's end.
 JOINT = "\ufdd0"
 #: Characters on either side of a block that are shown beside it.
@@ -50,7 +55,7 @@ def blocks(chunks: DataFrame, size: int, reach: int = REACH, lines: int = 0) ->
     columns = [c for c in chunks.columns if c not in ("text", "base_line", "base_offset")]
     n = F.length("text")
     pieces = F.when(n <= size, F.array("text")).otherwise(F.filter(F.regexp_extract_all("text", F.lit(_cut(size)), F.lit(0)), lambda x: x != ""))
-    rows = chunks.where("text IS NOT NULL").select(F.explode(F.array(F.struct(*columns, "base_line", "base_offset", pieces.alias("_pieces")))).alias("_row")).select("_row.*")
+    rows = once(chunks.where("text IS NOT NULL").select(*columns, "base_line", "base_offset", pieces.alias("_pieces")))
     measures = {"lines": line_ends, "bytes": F.octet_length, "chars": F.length} | {k: (lambda x, rx=rx: F.regexp_count(x, F.lit(rx))) for k, rx in marks.items()}
     measured = lambda x: {k: f(x).cast("long") for k, f in measures.items()}
     nothing = F.struct(*(F.lit(0).cast("long").alias(k) for k in measures))
@@ -71,7 +76,7 @@ def blocks(chunks: DataFrame, size: int, reach: int = REACH, lines: int = 0) ->
     # A piece of a line, or of a word, would look like one of its own.
     left = F.when(F.length(left) < F.length(above), F.when(F.contains(left, F.lit("\n")), F.regexp_replace(left, r"(?s)\A[^\n]*+\n", "")).otherwise(F.regexp_replace(left, r"\A\S++", ""))).otherwise(left)
     right = F.when(F.length(right) < F.length(below), F.regexp_replace(right, r"\n[^\n]*+\z", "\n")).otherwise(right)
-    rows = rows.select(F.explode(F.array(F.struct(*columns, "base_line", "base_offset", "_before", left.alias("_left"), F.get("_pieces", F.col("_at")).alias("_piece"), right.alias("_right")))).alias("_row")).select("_row.*")
+    rows = once(rows.select(*columns, "base_line", "base_offset", "_before", left.alias("_left"), F.get("_pieces", F.col("_at")).alias("_piece"), right.alias("_right")))
     counted = {k: F.col("_before")[k] - v for k, v in measured(F.col("_left")).items()}
     start = F.length("_left")
     return rows.select(
@@ -105,6 +110,10 @@ def continued(lines: DataFrame, end: str = r",$") -> DataFrame:
 GOES_ON = r"""(?:["'`][^\S\n]*+[+.&,]?+[^\S\n]*+)?+\\[^\S\n]*+\n[^\S\n]*+(?:[+.&]?[^\S\n]*+["'`])?+|(?:["'`][^\S\n]*+[+.&,]?+|\+)[^\S\n]*+\n[^\S\n]*+[+.&]?+[^\S\n]*+["'`]"""
 
 
+#: What a line ends in that may go on.
+LINE_END = r"""["'`\\+][^\S\n]*+[+.&,\\]?+[^\S\n]*+\\?+[^\S\n]*+\n"""
+
+
 def folded(text: Column) -> Column:
     """The text with JOINT for each line's end at which a line goes on, and the marks and quotes around it; JSON stays as it is."""
     plain = F.translate(text, JOINT, " ")
@@ -120,7 +129,8 @@ def continuations(chunks: DataFrame, *keys: str, size: int = 1 << 15) -> DataFra
     from .extract import spans
 
     chain = rf"(?md)^[^\n{JOINT}]*+{JOINT}[^\n]*+"
-    rows = chunks.select(*keys, "base_line", F.lit(0).cast("long").alias("base_offset"), folded(F.col("text")).alias("text")).where(F.contains("text", F.lit(JOINT)))
+    ends = chunks.where(F.col("text").rlike(LINE_END))  # a quick look at what few texts have
+    rows = once(ends.select(*keys, "base_line", F.lit(0).cast("long").alias("base_offset"), folded(F.col("text")).alias("text"))).where(F.contains("text", F.lit(JOINT)))
     rows = blocks(rows, size, 0).withColumn("_chains", F.regexp_extract_all("text", F.lit(chain), F.lit(0))).where(F.size("_chains") > 0)
     rows = rows.select(*keys, "text", "base_line", F.explode(spans(F.split("text", chain, -1), F.col("_chains"))).alias("_span"))
     before, found = F.left("text", F.col("_span.start")), F.col("_span.value")

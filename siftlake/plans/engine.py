@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import context, decode, extract, resolve, score, shapes, suppress, windows
+from siftlake.operators.windows import once
 from siftlake.sources.tables import read, seeded_chunks
 
 from .detectors import BUILT_IN, ENTROPY_TOKEN, Detector, Pattern
@@ -104,19 +105,15 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
 LONGEST = 128
 ASSIGNMENT = Detector(
     "generic-assignment", "Generic Assignment", "generic", "medium", ("token", "secret", "passw", "pwd", "passphrase", "credential", "key", "auth"),
-    (Pattern(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|passphrase|credential|api_?key|access_?key|private_?key|auth)[A-Za-z0-9_-]{0,20}["']? ?(?::=|=>|=|:) ?["']?([A-Za-z0-9_+/.=!@#$%^&*-]{8,129})""", 1),),
+    (Pattern(r"""(?i)(?=[tspca])(?:token|secret|passw(?:or)?d|pwd|passphrase|credential|api_?key|access_?key|private_?key|auth)[A-Za-z0-9_-]{0,20}["']? ?(?::=|=>|=|:) ?["']?([A-Za-z0-9_+/.=!@#$%^&*-]{8,129})""", 1),),
 )
 #: Characters of a text that are searched at once.
 WINDOW = 1 << 15
 CHANNELS = ("pattern", "assignment", "entropy", "multiline", "fragment", "decoded")
+AFTER_NUMBER = "[0-9] ?[:=]"
 NUMBERED = r"""([A-Za-z_]{2,40}?)_?[0-9]{1,3} ?[:=] ?["']?([A-Za-z0-9_+/=-]{6,128})"""
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """The rows, with their columns computed once: a generator of one row stands between, so that what follows doesn't repeat their expressions."""
-    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
-
-
 def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW) -> DataFrame:
     """What the producers find, each tagged with its ``channel``: doc_id, path, detector_id, pattern_no, value, line_no, byte_offset, line, above,
     in_hex, context, companions and around (of decoded text: what stood before the blob on its line; else empty).
@@ -144,7 +141,8 @@ def candidates(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, po
     found = found.unionByName(over(joined, "multiline").select(*columns))
 
     scope = F.concat_ws("\x1f", F.col("doc_id").cast("string"), "path")
-    lines = extract.lines(chunks.where(F.col("text").rlike(NUMBERED)), "path")
+    # A number before a mark is rare, and quickly looked for; only lines that have one are asked for a name.
+    lines = extract.lines(chunks.where(F.col("text").rlike(AFTER_NUMBER)), "path").where(F.col("line").rlike(AFTER_NUMBER))
     pairs = lines.where(F.col("line").rlike(NUMBERED)).select(scope.alias("path"), F.regexp_extract("line", NUMBERED, 1).alias("prefix"), "line_no", F.regexp_extract("line", NUMBERED, 2).alias("value"))
     whole = windows.joined_fragments(pairs.withColumnRenamed("line_no", "line"))
     parts = F.split("path", "\x1f", 2)

@@ -348,10 +348,15 @@ def snapshot_replay(spark: SparkSession, folder: str) -> DataFrame:
     return S.replayed(snapshot, log)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id % 8 AS root, ['create', 'modify', 'remove', 'barrier', 'overflow', 'reconcile', 'rename'][event_id % 7 + 1] AS kind, event_id + 1 AS seq, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events),
+s AS (SELECT root, 'indexing' AS state, 0::BIGINT AS n, 0::BIGINT AS seq FROM (SELECT DISTINCT root FROM l) UNION ALL
+ SELECT l.root, CASE WHEN s.state = 'indexing' THEN CASE l.kind WHEN 'barrier' THEN 'current' WHEN 'overflow' THEN 'degraded' ELSE s.state END WHEN s.state = 'current' THEN CASE WHEN l.kind IN ('create', 'modify', 'remove', 'rename') THEN 'dirty' WHEN l.kind = 'overflow' THEN 'degraded' ELSE s.state END
+  WHEN s.state = 'dirty' THEN CASE l.kind WHEN 'barrier' THEN 'current' WHEN 'overflow' THEN 'degraded' ELSE s.state END WHEN s.state = 'degraded' AND l.kind = 'reconcile' THEN 'indexing' ELSE s.state END, l.n, l.seq FROM s JOIN l ON l.root = s.root AND l.n = s.n + 1)
+SELECT root, max(seq) AS last_seq, arg_max(state, n) AS state FROM s GROUP BY root""")
 def guard_machine(spark: SparkSession, folder: str) -> DataFrame:
-    """The roots' states as a stream."""
-    return S.run(S.root_machine(_log(S.event_stream(spark, folder))), "guard-machine", "update")
+    """The roots' states as a stream with state: what each has come to after the last batch that held changes of it."""
+    after = S.run(S.root_machine(_log(S.event_stream(spark, folder))), "guard-machine", "update")
+    return after.groupBy("root").agg(F.max_by("state", "last_seq").alias("state"), F.max("last_seq").alias("last_seq"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT event_type AS service, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, CASE WHEN event_id % 4 = 0 THEN 429 WHEN event_id % 9 = 0 THEN 500 ELSE 200 END AS status FROM events),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlake.storage import shared_path
 
-from . import composed
+from . import composed, machines
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -123,18 +123,8 @@ def final_states(changes: DataFrame) -> DataFrame:
 
 
 def root_machine(changes: DataFrame) -> DataFrame:
-    """The same as a stream: root, state and last_seq after each batch. A change that is not newer than the last seen of its root is left out, so a log that is read twice counts once."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, last = state.get if state.exists else ("indexing", 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for kind, seq in zip(rows["kind"], rows["seq"], strict=True):
-            if seq > last:
-                now, last = STATES[now].get(kind, now), int(seq)
-        state.update((now, last))
-        yield pd.DataFrame([(key[0], now, last)], columns=["root", "state", "last_seq"])
-
-    return changes.groupBy("root").applyInPandasWithState(update, "root long, state string, last_seq long", "state string, last_seq long", "update", "NoTimeout")
+    """The same as a stream: root, state and last_seq after each batch, see ``machines``."""
+    return machines.root_machine(changes, STATES)
 
 
 def replayed(snapshot: DataFrame, changes: DataFrame) -> DataFrame:

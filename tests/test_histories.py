@@ -80,3 +80,39 @@ def test_reached_in_few_rounds(spark, monkeypatch):
     assert sorted((r.package, r.node) for r in found) == sorted(expected)
     none = packages.reached(spark.createDataFrame([], "node long"), line)
     assert none.count() == 0 and packages.reached(spark.createDataFrame([(1,)], "node long"), line.where("false")).count() == 1
+
+
+def _feed(spark, folder, rows, schema, number):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def _batch(spark, folder, schema, make, mode):
+    """One run over what is new; a second run goes on from the checkpoint."""
+    stream = make(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    out = []
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: out.extend(df.collect())).start()
+    assert query.awaitTermination(60)
+    return out
+
+
+def test_machines_go_on_from_their_checkpoint(spark, tmp_path):
+    schema, log = "root long, kind string, seq long", [(1, "barrier", 1), (1, "modify", 2), (2, "overflow", 3), (None, "stop", 4)]
+    _feed(spark, tmp_path, log, schema, 0)
+    first = {r.root: (r.state, r.last_seq) for r in _batch(spark, tmp_path, schema, events.root_machine, "update")}
+    assert first == {1: ("dirty", 2), 2: ("degraded", 3), None: ("stopped", 4)}
+    _feed(spark, tmp_path, [(1, "stop", 2), (1, "barrier", 5), (2, "reconcile", 6)], schema, 1)  # what is not newer is left out
+    again = {r.root: (r.state, r.last_seq) for r in _batch(spark, tmp_path, schema, events.root_machine, "update")}
+    assert again == {1: ("current", 5), 2: ("indexing", 6)}
+
+
+def test_fragments_are_held_and_evicted(spark, tmp_path):
+    from siftlake.streaming import machines
+
+    schema = "path string, prefix string, line long, value string"
+    make = lambda s: machines.fragment_cache(s, near=100, most=2)
+    _feed(spark, tmp_path, [("p", "k", 1, "a"), ("p", "k", 1, "a"), ("p", "k", 5, "b"), ("q", "k", 1, "z")], schema, 0)
+    assert {(r.line, r.line_b, r.joined) for r in _batch(spark, tmp_path, schema, make, "append")} == {(5, 1, "ba"), (1, 5, "ab")}
+    _feed(spark, tmp_path, [("p", "k", 9, "c"), ("p", "k", 300, "d"), ("p", "k", 2, "e")], schema, 1)
+    # 2 meets 1 and 5; (1, a) is the least of three and goes; 9 meets 2 and 5, and so on; 300 is near none.
+    found = {(r.line, r.line_b) for r in _batch(spark, tmp_path, schema, make, "append")}
+    assert found == {(2, 1), (1, 2), (2, 5), (5, 2), (9, 5), (5, 9), (9, 2), (2, 9)}
