@@ -5,6 +5,10 @@ A finding has doc_id, k, detector_id, service, severity_rank, credential_hash, p
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +76,45 @@ def composites(findings: DataFrame, required: tuple[str, str], bonus: float = 0.
     return found.where(single).select(ident.alias("composite_id"), F.get("a", F.lit(0)).alias("first_path"), F.get("b", F.lit(0)).alias("second_path"), F.least(F.lit(1.0), F.col("best") + bonus).alias("confidence"))
 
 
+@dataclass(frozen=True)
+class Composite:
+    """A credential in several parts, as data: detectors that have to fire and those that may, within one ``folder`` or one ``file``."""
+
+    name: str
+    required: tuple[str, ...]
+    optional: tuple[str, ...] = ()
+    scope: str = "folder"
+    bonus: float = 0.30
+    optional_bonus: float = 0.05
+
+
+def correlated(findings: DataFrame, policies: tuple[Composite, ...]) -> DataFrame:
+    """Places where all required parts of a policy are found: policy, place, mask (bits of the parts that are there, required ones first), parts (detector_id to the value's hash and
+    path) and confidence (that of the strongest part, and what the policy adds for its parts; 1 at most).
+
+    A part that has two values or more in a place says nothing sure: if it is a required one, the place is silent; an optional one doesn't count. All policies are one
+    aggregation with partial sums: bits by or, and a part's least and greatest value. Nulls: a finding without path or hash takes no part.
+    """
+    widest = max((len(p.required) + len(p.optional) for p in policies), default=0)
+    if not widest or any(p.scope not in ("folder", "file") or not p.required for p in policies):
+        raise ValueError("a policy needs required parts, and folder or file as scope")
+    places = {"file": F.col("path"), "folder": F.regexp_replace("path", "/[^/]*$", "")}
+    takes = [F.when(F.col("detector_id") == d, F.struct(F.lit(p.name).alias("policy"), F.lit(k).alias("part"), places[p.scope].alias("place"))) for p in policies for k, d in enumerate((*p.required, *p.optional))]
+    rows = findings.where("path IS NOT NULL AND credential_hash IS NOT NULL").select("detector_id", "credential_hash", "path", "confidence", F.explode(F.array_compact(F.array(*takes))).alias("t")).select("*", "t.*")
+    value = F.struct("credential_hash", "path", "detector_id")
+    here = lambda k: F.when(F.col("part") == k, value)
+    each = [x for k in range(widest) for x in (F.min(here(k)).alias(f"_low{k}"), F.max(F.when(F.col("part") == k, F.col("credential_hash"))).alias(f"_high{k}"))]
+    found = rows.groupBy("policy", "place").agg(F.max("confidence").alias("best"), *each)
+    sure = [F.coalesce(F.col(f"_low{k}.credential_hash") == F.col(f"_high{k}"), F.lit(False)) for k in range(widest)]
+    by_policy = lambda what: F.element_at(F.create_map(*(x for p in policies for x in (F.lit(p.name), F.lit(what(p))))), F.col("policy"))
+    found = found.withColumn("mask", reduce(add, (F.when(s, 1 << k).otherwise(0) for k, s in enumerate(sure))))
+    needed = by_policy(lambda p: (1 << len(p.required)) - 1)
+    more = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not(needed)))
+    parts = F.map_from_entries(F.array_compact(F.array(*(F.when(s, F.struct(F.col(f"_low{k}.detector_id"), F.struct(F.col(f"_low{k}.credential_hash"), F.col(f"_low{k}.path")))) for k, s in enumerate(sure)))))
+    confidence = F.least(F.lit(1.0), F.col("best") + by_policy(lambda p: p.bonus) + more * by_policy(lambda p: p.optional_bonus))
+    return found.where(F.col("mask").bitwiseAND(needed) == needed).select("policy", "place", "mask", parts.alias("parts"), confidence.alias("confidence"))
+
+
 KEY = ["detector_id", "credential_hash"]
 
 

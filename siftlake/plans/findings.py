@@ -75,6 +75,19 @@ def composite_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.composites(rows, ("aws-access-key", "slack-bot-token"))
 
 
+@query(f"""WITH {FINDINGS}, p AS (SELECT *, path || '/' || (doc_id % 50) || '/' || doc_id AS deep FROM findings),
+f AS (SELECT 'keys' AS policy, regexp_replace(deep, '/[^/]*$', '') AS place, detector_id, credential_hash, confidence FROM p UNION ALL SELECT 'login', deep, detector_id, credential_hash, confidence FROM p),
+g AS (SELECT policy, place, max(confidence) FILTER (WHERE detector_id IN ('aws-access-key', 'generic-secret') OR (policy = 'keys' AND detector_id = 'slack-bot-token')) AS best, count(DISTINCT credential_hash) FILTER (WHERE detector_id = 'aws-access-key') AS a,
+ count(DISTINCT credential_hash) FILTER (WHERE detector_id = 'slack-bot-token') AS s, count(DISTINCT credential_hash) FILTER (WHERE detector_id = 'generic-secret') AS g FROM f GROUP BY 1, 2)
+SELECT policy, place, (CASE WHEN policy = 'keys' AND g = 1 THEN 7 ELSE 3 END)::INT AS mask, round(least(1.0::DOUBLE, best + CASE WHEN policy = 'login' THEN 0.1::DOUBLE WHEN g = 1 THEN 0.35::DOUBLE ELSE 0.3::DOUBLE END), 6) AS confidence
+FROM g WHERE a = 1 AND CASE policy WHEN 'keys' THEN s = 1 ELSE g = 1 END""")
+def composite_policies(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys with a token of the same folder and, if there is one, its password; and keys with a password of the same file. Places with two values for a part are silent."""
+    rows = _found(spark, folder).withColumn("path", F.concat_ws("/", "path", (F.col("doc_id") % 50).cast("string"), F.col("doc_id").cast("string")))
+    policies = (resolve.Composite("keys", ("aws-access-key", "slack-bot-token"), ("generic-secret",)), resolve.Composite("login", ("aws-access-key", "generic-secret"), scope="file", bonus=0.1))
+    return resolve.correlated(rows, policies).select("policy", "place", "mask", F.round("confidence", 6).alias("confidence"))
+
+
 BEFORE = "findings WHERE doc_id % 5 <> 0 AND (doc_id + k) % 7 <> 0"
 AFTER = "findings WHERE (doc_id * 3 + k) % 4 <> 0"
 

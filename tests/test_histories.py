@@ -116,3 +116,19 @@ def test_fragments_are_held_and_evicted(spark, tmp_path):
     # 2 meets 1 and 5; (1, a) is the least of three and goes; 9 meets 2 and 5, and so on; 300 is near none.
     found = {(r.line, r.line_b) for r in _batch(spark, tmp_path, schema, make, "append")}
     assert found == {(2, 1), (1, 2), (2, 5), (5, 2), (9, 5), (5, 9), (9, 2), (2, 9)}
+
+
+def test_composites_by_policies(spark):
+    from siftlake.operators.resolve import Composite, correlated
+
+    policies = (Composite("pair", ("a", "b"), ("c",)), Composite("triple", ("a", "b", "c"), scope="file", bonus=0.1), Composite("one", ("d",)))
+    rows = [
+        ("a", "1", "x/p", 0.5), ("a", "1", "x/q", 0.4), ("b", "2", "x/q", 0.6), ("c", "3", "x/r", 0.1),  # pair with its option; no triple, as no file has all
+        ("a", "1", "y/p", 0.5), ("a", "9", "y/q", 0.5), ("b", "2", "y/p", 0.5),  # two values for a: silent
+        ("a", "1", "z/p", 0.5), ("b", "2", "z/p", 0.5), ("c", "3", "z/p", 0.5), ("c", "4", "z/q", 0.5),  # triple in a file; pair without its option, which is ambiguous
+        ("d", "5", "w", 0.95), ("d", None, "v/w", 0.9), ("d", "5", None, 0.9), ("e", "6", "x/p", 0.9),
+    ]
+    df = spark.createDataFrame(rows, "detector_id string, credential_hash string, path string, confidence double")
+    found = {(r.policy, r.place): (r.mask, sorted(r.parts), round(r.confidence, 6)) for r in correlated(df, policies).collect()}
+    assert found == {("pair", "x"): (7, ["a", "b", "c"], 0.95), ("pair", "z"): (3, ["a", "b"], 0.8), ("triple", "z/p"): (7, ["a", "b", "c"], 0.6), ("one", "w"): (1, ["d"], 1.0)}
+    assert correlated(df.where("false"), policies).count() == 0
