@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.operators import context, decode, extract, resolve, score, shapes, suppress, windows
+from siftlake.operators import context, decode, extract, mixture, resolve, score, shapes, suppress, windows
 from siftlake.operators.windows import once
 from siftlake.sources.tables import read, seeded_chunks
 
@@ -43,7 +43,7 @@ class Controls:
 
     ``rules``: tables of conditions, see ``suppress.rules``; ``allow``: globs of paths; ``fixtures`` and ``fixture_parts``: known test values, and parts of such; ``calibration``: detector_id,
     alpha, beta; ``verified``: credential_hash, outcome; ``baseline`` and ``triage``: detector_id, credential_hash of findings that are known, and that were judged false. Each drop is a stage:
-    ``rule``, ``allowed_path``, ``fixture_value``, ``in_baseline``, ``triaged``.
+    ``rule``, ``allowed_path``, ``fixture_value``, ``in_baseline``, ``triaged``. ``model``: a fitted mixture, whose probability is half of the confidence of candidates that no detector names.
     """
 
     rules: tuple[dict, ...] = ()
@@ -54,6 +54,7 @@ class Controls:
     verified: DataFrame | None = None
     baseline: DataFrame | None = None
     triage: DataFrame | None = None
+    model: mixture.Mixture | None = None
 
 
 #: A path in a commit of history, and not in what is there now.
@@ -184,6 +185,9 @@ def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
     confidence = F.when(F.col("_known") & ~F.col("_sample") & ~F.col("context").isin("encrypted", "test", "documentation", "comment"), F.greatest(confidence, F.lit(0.8))).otherwise(confidence)
     confidence = F.when(F.col("checksum") == "valid", F.greatest(confidence, F.lit(0.9))).otherwise(confidence) * F.when(score.fixture_path(F.col("path")), 0.5).otherwise(1.0)
     rows = once(rows.withColumn("confidence", T.safe_score(confidence)))
+    if controls.model is not None:
+        own = (F.col("confidence") + mixture.probability(controls.model, v, F.col("line"), F.col("path"))) / 2
+        rows = once(rows.withColumn("confidence", F.when(named, F.col("confidence")).otherwise(F.round(own, 9))))
     if controls.calibration is not None:
         rows = once(score.calibrated(rows, controls.calibration))
     public = [(d.id, k) for d in detectors for k, p in enumerate(d.patterns) if p.client_safe]
