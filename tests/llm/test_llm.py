@@ -474,6 +474,27 @@ def test_bit_packing_round_trip(bits):
     assert data == np.packbits(planes, bitorder="little").tobytes()
 
 
+def test_token_files_roll_and_spread_equal_rows(spark, plain_ids, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 400)
+    monkeypatch.setattr(token_files, "FILE_DOCS", 7)
+    monkeypatch.setattr(token_files, "FILE_IDS", 600)
+    monkeypatch.setattr(token_files, "UNIT_DOCS", 3)
+    texts = [None, "", "word " * 700] + [f"text {k} " * (k % 9) for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "the same")] * 90 + [(5, "tie b"), (5, "tie a")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    manifest = token_files.write_token_files(df, shared_path(spark, "tokens-test")).orderBy("part", "seq").collect()
+    assert max(r.n_docs for r in manifest) == 7 and len({r.part for r in manifest}) > 2
+    files = spark.createDataFrame(manifest, "part long, seq long, file string, n_docs long, n_ids long")
+    got = sorted(map(tuple, token_files.read_token_files(files).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+    want = sorted((-1 if d is None else d, len(plain_ids(t)) + 1) for d, t in rows)
+    assert sorted((-1 if r[0] is None else r[0], r[2]) for r in got) == want
+    nulls = {r.part for r in manifest for reader in [token_files.Reader(r.file)] if reader.documents(0, 1)[1][0]}
+    assert len(nulls) > 1  # equal rows are in several ranges
+
+
 def test_token_files(spark, odd, plain_ids, monkeypatch):
     monkeypatch.setattr(token_files, "READ_IDS", 5000)
     for df in (table(spark, DATA, "documents"), odd):
@@ -486,7 +507,7 @@ def test_token_files(spark, odd, plain_ids, monkeypatch):
             want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
             start += len(ids)
         assert got == want
-    reader = token_files.Reader(manifest.orderBy("part").first().file)
+    reader = token_files.Reader(manifest.orderBy("part", "seq").first().file)
     whole = reader.ids(0, reader.n_ids)
     assert (reader.ids(3, reader.n_ids - 1) == whole[3:-1]).all()
     assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), shared_path(spark, "tokens-test"))).count() == 0
