@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import DATA, same_rows
-from siftlake.plans import deep, engine, findings, ladder, policies, registry, scans, wider  # noqa: F401
+from siftlake.plans import deep, engine, findings, ladder, policies, registry, scans, sketched, wider  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
