@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import encoder, tokenizer_file
+from .tokens import MAX_RUNS, encoder, tokenizer_file
 
 #: Ids in one batch of sequences of equal length.
 BATCH_TOKENS = 1 << 16
@@ -34,9 +34,9 @@ def cuts(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length() - 1)) if n % longest >> k & 1]
 
 
-def pack_powers_of_two(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str | None = None, added_tokens: bool = False, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def pack_powers_of_two(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str | None = None, added_tokens: bool = False, batch_tokens: int = BATCH_TOKENS, most_runs: int = MAX_RUNS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text), batch by batch: doc_id, start, length, bucket, ids (little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset, batch_id and place."""
+    sequence_id, offset, batch_id and place. ``most_runs``: what a worker's encoder remembers at most."""
     if length < 1 or length & (length - 1) or batch_tokens < length:
         raise ValueError("length must be a power of two, and a batch hold one sequence at least")
     definition, end = tokenizer_file(docs.sparkSession, tokenizer), np.array([end_id], "<u4").tobytes()
@@ -46,7 +46,7 @@ def pack_powers_of_two(docs: DataFrame, length: int = 1024, end_id: int = 0, tok
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        encode, sequence, made = encoder(definition, added_tokens), first, first
+        encode, sequence, made = encoder(definition, added_tokens, most_runs), first, first
         open_batches: list[list[tuple]] = [[] for _ in range(length.bit_length())]
 
         def whole(rows: list[tuple]) -> pa.RecordBatch:

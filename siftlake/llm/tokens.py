@@ -79,12 +79,12 @@ class Encoder:
     """Encodes a text to the bytes of its ids; with ``added_tokens`` equal to ``encode(text, add_special_tokens=False)``.
 
     A byte-level pre-tokenizer cuts a text into runs of letters, digits, other marks and white space, and each run is encoded by
-    itself, so each distinct run is encoded only once. The class of a character outside of the common ones is asked of the
+    itself, so each distinct run is encoded only once while it is remembered (``most_runs``, in two generations). The class of a character outside of the common ones is asked of the
     pre-tokenizer. Strings of special tokens in a text count as ordinary text, unless ``added_tokens`` is true: then a text that holds
     one is encoded whole by the library. Other kinds of tokenizer get each text whole.
     """
 
-    def __init__(self, definition: str, added_tokens: bool = False):
+    def __init__(self, definition: str, added_tokens: bool = False, most_runs: int = MAX_RUNS):
         import json
 
         from tokenizers import Tokenizer
@@ -99,7 +99,7 @@ class Encoder:
             self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
             # A byte-level pre-tokenizer writes each byte as a character of its own, which the model takes.
             self.written, self.classes = _Characters(lambda c: "".join(x for x, _ in self.split(c))), _Characters(self._like)
-            self.runs = _Remembered(self._run, MAX_RUNS // 2)
+            self.runs = _Remembered(self._run, most_runs // 2)
 
     def _run(self, run: str) -> bytes:
         return array.array("I", [t.id for t in self.model.tokenize(run.translate(self.written))]).tobytes()
@@ -130,12 +130,12 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(definition: Broadcast, added_tokens: bool = False) -> Encoder:
+def encoder(definition: Broadcast, added_tokens: bool = False, most_runs: int = MAX_RUNS) -> Encoder:
     """One encoder for each worker process and definition, kept from task to task with what it remembers."""
-    key = definition.value, added_tokens
+    key = definition.value, added_tokens, most_runs
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(*key)

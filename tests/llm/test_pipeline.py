@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 from siftlake.llm.common import stored, table
@@ -64,3 +66,34 @@ def test_near_dedup_keeps_columns_without_an_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string, int>")
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(1, rows[0][1]), (2, rows[2][1])] and len(kept) == 3
+
+
+@pytest.mark.parametrize("stage", ["language_id", "near_dedup", "substring_dedup", "decontamination", "packing"])
+def test_stages_bound_the_bytes_of_batches(spark, stage):
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).alias("n_chars"))
+    bound = spark.conf.get(corpus_pipeline.BATCH_CONF)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(3), DATA)
+        found = docs.select("doc_id", "text").mapInArrow(seen, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 1500 and max(r.bytes for r in found) < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(corpus_pipeline.BATCH_CONF, "1m")  # a smaller bound of the session stays
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(3), DATA)
+        assert spark.conf.get(corpus_pipeline.BATCH_CONF) == "1m"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_CONF, bound)
+
+
+def test_packing_remembers_few_runs():
+    import public_tokenizers
+    from siftlake.llm.tokens import Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    few, many = Encoder(definition, True, most_runs=20), Encoder(definition, True)
+    for text in (" ".join(f"w{k % 50} x{k} caf\u00e9{k % 7}" for k in range(300)), "again w1 x1 w1"):
+        assert few(text) == many(text)
+        assert len(few.runs) + len(few.runs.before) <= 20
