@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
@@ -225,7 +225,14 @@ def judged(found: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy:
         F.when(F.col("confidence") < floor, "below_min_confidence"),
     )
     reason = score.evidence_reason(F.col("detector_id"), F.col("channel"), F.col("context"), F.col("path"), F.col("checksum"), F.col("companions"), F.coalesce(F.col("_outcome") == "live", F.lit(False)))
-    return once(rows.withColumn("stage", stage).withColumn("reason", reason).drop("_known", "_sample", "_outcome", "_in_baseline", "_triaged")).withColumn("tier", score.evidence_tier(F.col("reason")))
+    rows = once(rows.withColumn("stage", stage).withColumn("reason", reason).drop("_known", "_sample", "_outcome", "_in_baseline", "_triaged"))
+    if policy.depth:
+        # A value that a named detector reports as it stands is the credential there; what its characters say in some code, too, isn't another one.
+        place = Window.partitionBy("doc_id", "path", "detector_id", "line_no", "byte_offset")
+        plain = F.max((F.col("channel") == "pattern") & F.col("stage").isNull()).over(place)
+        again = F.col("stage").isNull() & (F.col("channel") == "decoded") & F.col("byte_offset").isNotNull() & plain
+        rows = rows.withColumn("stage", F.when(again, "decoded_of_finding").otherwise(F.col("stage")))
+    return rows.withColumn("tier", score.evidence_tier(F.col("reason")))
 
 
 def full_scan(chunks: DataFrame, detectors: tuple[Detector, ...] = BUILT_IN, policy: Policy | str = "default", window: int = WINDOW, controls: Controls = Controls()) -> DataFrame:
