@@ -70,12 +70,22 @@ def fingerprint(blobs: DataFrame, *keys: str) -> DataFrame:
     return blobs.groupBy(*keys).agg(F.pmod(F.sum(part.cast("decimal(38,0)")), F.lit((1 << 61) - 1).cast("decimal(38,0)")).cast("long").alias("fingerprint"), F.count("*").alias("n_blobs"))
 
 
+#: Rows of a set of nodes up to which it is broadcast.
+FEW = 100_000
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """A stored table as it is to be joined, by its rows: the size of its files says little, as numbers in order take next to none, and what is small on disk may not fit in the driver."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows.hint("merge")
+
+
 def reached(starts: DataFrame, edges: DataFrame, *scope: str) -> DataFrame:
     """Nodes (scope, node) that edges (scope, a, b) reach from ``starts`` (scope, node), themselves included; cycles do no harm.
 
     By pointer doubling: each node's first edge makes a chain, and tables of jumps of 1, 2, 4, ... steps along the chains are joined with themselves. A set is closed under
     its chains in as many joins as there are tables. What the other edges lead to is the next set. So the number of jobs is the logarithm of the
     longest chain, times how often a way has to leave a chain by another edge: a history without branches takes one round, whatever its length.
+    Tables of edges and jumps are never broadcast, sets of nodes only if they are small.
     """
     keys = [*scope, "node"]
     edges = stored(edges.select(*scope, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
@@ -83,22 +93,22 @@ def reached(starts: DataFrame, edges: DataFrame, *scope: str) -> DataFrame:
     nodes = jumps[0].count()
     while nodes >> len(jumps):  # no chain has more steps than nodes
         last = jumps[-1]
-        further = stored(last.withColumnRenamed("b", "_at").join(last.select(*scope, F.col("a").alias("_at"), "b"), [*scope, "_at"]).select(*scope, "a", "b"), "jump")
+        further = stored(last.withColumnRenamed("b", "_at").join(last.select(*scope, F.col("a").alias("_at"), "b").hint("merge"), [*scope, "_at"]).select(*scope, "a", "b"), "jump")
         if further.isEmpty():
             break
         jumps.append(further)
-    others = stored(edges.join(jumps[0], [*scope, "a", "b"], "left_anti"), "others")
+    others = stored(edges.join(jumps[0].hint("merge"), [*scope, "a", "b"], "left_anti"), "others")
     seen, front = None, stored(starts.select(*keys).distinct(), "front")
     while not front.isEmpty():
         for jump in jumps:
-            beyond = front.join(jump.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node"))
+            beyond = _sized(front).join(jump.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node"))
             front = stored(front.unionByName(beyond).distinct(), "front")
         if seen is not None:
-            front = stored(front.join(seen, keys, "left_anti"), "front")
+            front = stored(front.join(_sized(seen), keys, "left_anti"), "front")
         seen = front if seen is None else stored(seen.unionByName(front), "reached")
-        front = front.join(others.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node")).distinct()
-        front = stored(front.join(seen, keys, "left_anti"), "front")
-    return seen if seen is not None else front
+        front = _sized(front).join(others.withColumnRenamed("a", "node"), keys).select(*scope, F.col("b").alias("node")).distinct()
+        front = stored(front.join(_sized(seen), keys, "left_anti"), "front")
+    return _sized(seen if seen is not None else front)
 
 
 def tex_roles(members: DataFrame) -> DataFrame:
