@@ -138,11 +138,14 @@ def replayed(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
 def fragment_stream(fragments: DataFrame, near: int = 100, hold: str = "1 hour") -> DataFrame:
     """Fragments of values (path, prefix, line, value, ts) joined with those of the same path and prefix that came before and are near, over batches.
 
-    A self join of the stream with a bound on time: what is older than ``hold`` is forgotten.
+    A self join of the stream with a bound on time: what is older than ``hold`` is forgotten. The join is on stretches of lines, too, so that a fragment meets those near it and not all of its
+    path and prefix: an own one stands in its stretch, the other one in each stretch that is near it (at most two, as a stretch is four times as long as ``near``).
     """
-    own = fragments.withWatermark("ts", hold)
-    other = fragments.select(F.col("path").alias("path_b"), F.col("prefix").alias("prefix_b"), F.col("line").alias("line_b"), F.col("value").alias("value_b"), F.col("ts").alias("ts_b")).withWatermark("ts_b", hold)
-    same = (F.col("path") == F.col("path_b")) & (F.col("prefix") == F.col("prefix_b")) & (F.abs(F.col("line") - F.col("line_b")) < near) & (F.col("line") != F.col("line_b"))
+    stretch = lambda line: F.floor(line / (4 * near))
+    own = fragments.withColumn("_at", stretch(F.col("line"))).withWatermark("ts", hold)
+    places = F.array_distinct(F.array(stretch(F.col("line") - near + 1), stretch(F.col("line") + near - 1)))
+    other = fragments.select(F.col("path").alias("path_b"), F.col("prefix").alias("prefix_b"), F.col("line").alias("line_b"), F.col("value").alias("value_b"), F.col("ts").alias("ts_b"), F.explode(places).alias("_at_b")).withWatermark("ts_b", hold)
+    same = (F.col("path") == F.col("path_b")) & (F.col("prefix") == F.col("prefix_b")) & (F.col("_at") == F.col("_at_b")) & (F.abs(F.col("line") - F.col("line_b")) < near) & (F.col("line") != F.col("line_b"))
     in_time = (F.col("ts_b") <= F.col("ts") + F.expr(f"INTERVAL {hold}")) & (F.col("ts_b") >= F.col("ts") - F.expr(f"INTERVAL {hold}"))
     return own.join(other, same & in_time).select("path", "prefix", "line", "line_b", F.concat("value", "value_b").alias("joined"))
 
