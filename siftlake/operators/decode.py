@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from siftlake.functions import codecs as C
 
 from . import windows
-from .extract import spans
 
 WORD = r"\S{8,}"
 #: Decoders in order: the shape of a blob, what else it must show (null: nothing), and what it says. A decoder gives null where a blob isn't one.
@@ -99,21 +98,35 @@ def decode_through(chunks: DataFrame, depth: int, decoders=DEFAULT, keys: tuple[
     return out
 
 
-def _placed(decoders: dict) -> Column:
-    """The blobs of ``text`` with their places: array of (decoder, blob, decoded, start), every place of a blob that repeats."""
-    kind = "array<struct<decoder: string, blob: string, decoded: string, start: int>>"
+def _placed(rows: DataFrame, decoders: dict, columns: list[str]) -> DataFrame:
+    """A row for each blob of ``text`` that a decoder takes, every place of one that repeats: ``columns`` and c (decoder, blob, decoded, start).
+
+    In steps whose columns are computed once, as an expression inside a lambda would be computed for each blob: first what the shapes find says, then the texts are cut at a
+    shape only where one of its blobs is taken.
+    """
 
     def of(name: str) -> Column:
         regex, sign, decode = decoders[name]
         found = F.regexp_extract_all("text", F.lit(regex), F.lit(0))
-        at = spans(F.split("text", regex, -1), found)
-        if sign:
-            at = F.when(F.col("text").rlike(f"(?s){sign}"), F.filter(at, lambda b: b["value"].rlike(sign)))
-        made = F.transform(at, lambda b: F.struct(F.lit(name).alias("decoder"), b["value"].alias("blob"), decode(b["value"]).alias("decoded"), b["start"].alias("start")))
-        told = F.filter(made, lambda c: c["decoded"].isNotNull() & (c["decoded"] != "") & (c["decoded"] != c["blob"]))
-        return F.when(F.col("text").rlike(regex), F.coalesce(told, F.array().cast(kind))).otherwise(F.array().cast(kind))
+        if sign and regex == WORD:  # most of a text is words: one without the sign isn't cut into them at all
+            found = F.when(F.col("text").rlike(f"(?s){sign}"), found)
+        said = F.transform(found, lambda b: F.struct(b.alias("blob"), (F.when(b.rlike(sign), decode(b)) if sign else decode(b)).alias("decoded")))
+        told = F.transform(said, lambda c: F.struct(c["blob"].alias("blob"), F.when((c["decoded"] != "") & (c["decoded"] != c["blob"]), c["decoded"]).alias("decoded")))
+        return F.struct(F.lit(name).alias("decoder"), told.alias("all"))
+
+    rows = windows.once(rows.select(*columns, F.array(*map(of, decoders)).alias("_all")))
+    rows = rows.select(*columns, F.explode(F.filter("_all", lambda x: F.exists(x["all"], lambda c: c["decoded"].isNotNull()))).alias("_x"))
+    parts = F.coalesce(*(F.when(F.col("_x.decoder") == name, F.split("text", regex, -1)) for name, (regex, _, _) in decoders.items()))
+    rows = windows.once(rows.select(*columns, F.col("_x.decoder").alias("_decoder"), F.col("_x.all").alias("_told"), parts.alias("_parts")))
+    kind = "array<struct<decoder: string, blob: string, decoded: string, start: int>>"
 
-    return F.concat(*map(of, decoders))
+    def step(acc: Column, k: Column) -> Column:
+        at, one = acc["at"] + F.length(F.get("_parts", k)), F.get("_told", k)
+        here = F.struct(F.col("_decoder").alias("decoder"), one["blob"].alias("blob"), one["decoded"].alias("decoded"), at.alias("start"))
+        return F.struct((at + F.length(one["blob"])).alias("at"), F.when(one["decoded"].isNotNull(), F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    return rows.select(*columns, F.explode(F.aggregate(F.sequence(F.lit(0), F.size("_told") - 1), begin, step, lambda acc: acc["out"])).alias("c"))
 
 
 def spliced(chunks: DataFrame, decoders, around: int = AROUND, window: int = WINDOW) -> DataFrame:
@@ -127,7 +140,7 @@ def spliced(chunks: DataFrame, decoders, around: int = AROUND, window: int = WIN
     again = "via" in chunks.columns
     more = ["via", "span"] if again else []
     rows = windows.blocks(chunks.select(*CHUNK, *more), window, max(around, windows.REACH))
-    rows = rows.select(*CHUNK, *more, "_own", "_skip", F.explode(_placed(_chosen(decoders))).alias("c")).where((F.col("c.start") >= F.col("_own.start")) & (F.col("c.start") < F.col("_own.end")))
+    rows = _placed(rows, _chosen(decoders), [*CHUNK, *more, "_own", "_skip"]).where((F.col("c.start") >= F.col("_own.start")) & (F.col("c.start") < F.col("_own.end")))
     if again:
         rows = rows.where((F.col("_skip") + F.col("c.start") < F.col("span.end")) & (F.col("_skip") + F.col("c.start") + F.length("c.blob") > F.col("span.start")))
     rows = rows.withColumn("_at", F.col("c.start")).withColumn("_from", F.greatest(F.lit(0), F.col("_at") - around))
