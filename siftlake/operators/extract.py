@@ -159,7 +159,7 @@ def scan(chunks: DataFrame, detectors: tuple[Detector, ...], anchors: bool = Fal
         whole = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(0)))
         inner = by_pattern(lambda p: F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)) if p.group else F.col("_whole"))
         parts = by_pattern(lambda p: F.split("text", p.regex, -1))
-    rows = rows.drop("_can").withColumn("_whole", whole).where(F.size("_whole") > 0).withColumn("_inner", inner)
+    rows = windows.once(rows.drop("_can").withColumn("_whole", whole)).where(F.size("_whole") > 0).withColumn("_inner", inner)
     rows = rows.withColumn("_parts", parts).withColumn("_spans", spans(F.col("_parts"), F.col("_whole")))
     first = lambda s, k: F.instr(s["value"], F.get("_inner", k)) - 1
     pairs = F.transform("_spans", lambda s, k: F.struct((s["start"] + first(s, k)).alias("start"), F.get("_inner", k).alias("value"), s["start"].alias("begin")))

@@ -49,14 +49,14 @@ def blocks(chunks: DataFrame, size: int, reach: int = REACH, lines: int = 0) ->
     the chunk is some block's own, so that what begins in a block's own part is found once. ``_skip``: the chunk's characters before ``text``; base_line and
     base_offset go on with them, as does ``_state``, the encrypted blocks, docstring marks and fences that were begun before. Null texts give no block.
     """
-    from .context import BEGIN_ENCRYPTED, END_ENCRYPTED
+    from .context import BEGIN_ENCRYPTED, END_ENCRYPTED, marked
 
     marks = MARKS | {"opened": BEGIN_ENCRYPTED, "closed": END_ENCRYPTED}
     columns = [c for c in chunks.columns if c not in ("text", "base_line", "base_offset")]
     n = F.length("text")
     pieces = F.when(n <= size, F.array("text")).otherwise(F.filter(F.regexp_extract_all("text", F.lit(_cut(size)), F.lit(0)), lambda x: x != ""))
     rows = once(chunks.where("text IS NOT NULL").select(*columns, "base_line", "base_offset", pieces.alias("_pieces")))
-    measures = {"lines": line_ends, "bytes": F.octet_length, "chars": F.length} | {k: (lambda x, rx=rx: F.regexp_count(x, F.lit(rx))) for k, rx in marks.items()}
+    measures = {"lines": line_ends, "bytes": F.octet_length, "chars": F.length} | {k: (lambda x, rx=rx: marked(x, rx)) for k, rx in marks.items()}
     measured = lambda x: {k: f(x).cast("long") for k, f in measures.items()}
     nothing = F.struct(*(F.lit(0).cast("long").alias(k) for k in measures))
 
