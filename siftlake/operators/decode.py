@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import codecs as C
+from siftlake.storage import stored
 
 from . import windows
 
@@ -159,10 +160,10 @@ def spliced(chunks: DataFrame, decoders, around: int = AROUND, window: int = WIN
 
 
 def splice_through(chunks: DataFrame, depth: int, decoders=DEFAULT) -> DataFrame:
-    """Spliced chunks of up to ``depth`` steps with their depth. All in the row: nothing is shuffled."""
+    """Spliced chunks of up to ``depth`` steps with their depth. All in the row: nothing is shuffled. What is decoded further is stored, as two plans read it."""
     level, out = chunks.select(*CHUNK), None
     for k in range(1, depth + 1):
-        level = spliced(level, decoders)
+        level = spliced(level, decoders) if k == depth else stored(spliced(level, decoders), "spliced")
         out = level.withColumn("depth", F.lit(k)) if out is None else out.unionByName(level.withColumn("depth", F.lit(k)))
     return out
 
